@@ -22,6 +22,7 @@ INVALID_ANSWER = "The model's answer is not valid review JSON"
 DEFAULT_CATEGORY = "code_smell"
 DEFAULT_SEVERITY = "medium"
 MAX_TITLE = 255
+_NUMBER_FIELDS = ["line_start", "line_end", "confidence"]
 _TEXT_FIELDS = ["file_path", "category", "severity", "title", "explanation", "suggestion"]
 
 
@@ -43,83 +44,101 @@ def _field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def _kind(v: Column) -> Column:
-    """number, string, bool, null, array, object; SQL null for a missing field."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(name.rlike(r"^(BIGINT|DOUBLE|DECIMAL)"), "number")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "bool")
-        .when(name == "VOID", "null")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-    )
+def _type(v: Column) -> Column:
+    """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID, ARRAY.., OBJECT..; SQL null
+    for a missing field."""
+    return F.schema_of_variant(v)
 
 
-def _number(v: Column) -> Column:
-    """The value as double where a lax validator takes it for a number, else null.
+def _scalar(v: Column, name: str) -> Column:
+    """Type, text and number of a field, for the checks below to choose from."""
+    field = _field(v, name)
+    return F.struct(
+        _type(field).alias("type"),
+        F.try_variant_get(v, f"$.{name}", "string").alias("text"),
+        F.try_variant_get(v, f"$.{name}", "double").alias("number"),
+    ).alias(name)
 
-    Numbers, numeric strings and booleans pass.
-    """
-    kind = _kind(v)
-    text = strip(F.try_variant_get(v, "$", "string"))
+
+def _read_issue(v: Column) -> Column:
+    """The fields of one list entry as they come."""
+    return F.struct(
+        _type(v).alias("type"),
+        *[_scalar(v, f) for f in _NUMBER_FIELDS],
+        *[
+            F.when(_type(_field(v, f)) == "STRING", F.try_variant_get(v, f"$.{f}", "string")).alias(f)
+            for f in _TEXT_FIELDS
+        ],
+    )
+
+
+def _number(s: Column) -> Column:
+    """The value where a lax validator takes it for a number, else null: numbers,
+    numeric strings and booleans pass."""
+    text = strip(s["text"])
     numeric = text.rlike(r"^[+-]?(\d+(_\d+)*)?\.?\d*([eE][+-]?\d+)?\z") & text.rlike(r"\d")
+    from_text = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
     return (
-        F.when(kind == "number", F.try_variant_get(v, "$", "double"))
-        .when(kind == "bool", F.try_variant_get(v, "$", "boolean").cast("double"))
-        .when(
-            (kind == "string") & numeric,
-            F.replace(text, F.lit("_"), F.lit("")).try_cast("double"),
-        )
+        F.when(s["type"].rlike("^(BIGINT|DECIMAL|DOUBLE)"), s["number"])
+        .when(s["type"] == "BOOLEAN", F.when(s["text"] == "true", 1.0).otherwise(0.0))
+        .when((s["type"] == "STRING") & numeric, from_text)
     )
 
 
-def _whole(v: Column) -> Column:
+def _whole(s: Column) -> Column:
     """The value as a whole number, or null: 3, 3.0 and "3" pass, 3.5 and "3e0" do not."""
-    value = _number(v)
-    text = strip(F.try_variant_get(v, "$", "string"))
-    plain = (_kind(v) != "string") | text.rlike(r"^[+-]?\d+(_\d+)*(\.0*)?\z")
-    fits = plain & (value == F.floor(value)) & value.between(-(2.0**31), 2.0**31 - 1)
-    return F.when(fits, value.cast("int"))
-
-
-def _checked_issue(v: Column) -> Column:
-    texts = {f: F.try_variant_get(_field(v, f), "$", "string") for f in _TEXT_FIELDS}
-    start, end = _whole(_field(v, "line_start")), _whole(_field(v, "line_end"))
-    end_kind = F.coalesce(_kind(_field(v, "line_end")), F.lit("null"))
-    confidence = _number(_field(v, "confidence"))
-    checks = [_kind(v) == "object", start >= 1, confidence.between(0.0, 1.0)]
-    checks += [_kind(_field(v, f)) == "string" for f in _TEXT_FIELDS]
-    checks.append((end_kind == "null") | end.isNotNull())
-    valid = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])
+    plain = (s["type"] != "STRING") | strip(s["text"]).rlike(r"^[+-]?\d+(_\d+)*(\.0*)?\z")
+    value = F.when(plain, _number(s))
+    return F.when(value % 1 == 0, value.try_cast("int"))
+
+
+def _numbers(r: Column) -> Column:
     return F.struct(
-        valid.alias("valid"),
-        start.alias("line_start"),
-        end.alias("line_end"),
-        confidence.alias("confidence"),
-        *[texts[f].alias(f) for f in _TEXT_FIELDS],
+        r["type"].alias("type"),
+        _whole(r["line_start"]).alias("line_start"),
+        _whole(r["line_end"]).alias("line_end"),
+        F.coalesce(r["line_end"]["type"] == "VOID", F.lit(True)).alias("no_end"),
+        _number(r["confidence"]).alias("confidence"),
+        *[r[f].alias(f) for f in _TEXT_FIELDS],
     )
 
 
+def _checked(n: Column) -> Column:
+    checks = [n["type"].startswith("OBJECT"), n["line_start"] >= 1, n["confidence"].between(0.0, 1.0)]
+    checks += [n[f].isNotNull() for f in _TEXT_FIELDS]
+    checks.append(n["no_end"] | n["line_end"].isNotNull())
+    valid = F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+    fields = ["line_start", "line_end", "confidence", *_TEXT_FIELDS]
+    return F.struct(valid.alias("valid"), *[n[f].alias(f) for f in fields])
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """review_id, status, error_message, summary, issues (array of structs)."""
+    """review_id, status, error_message, summary, issues (array of structs).
+
+    Each step binds what the next one names more than once: inside one expression
+    a value named twice would be computed, and planned, twice.
+    """
     parsed = answers.select("review_id", parse_json(F.col("raw")).alias("_v"))
     read = parsed.select(
         "review_id",
-        _kind(F.col("_v")).alias("_kind"),
-        _kind(_field(F.col("_v"), "summary")).alias("_summary_kind"),
+        _type(F.col("_v")).alias("_type"),
+        _type(_field(F.col("_v"), "summary")).alias("_summary_type"),
         F.try_variant_get(F.col("_v"), "$.summary", "string").alias("summary"),
-        _kind(_field(F.col("_v"), "issues")).alias("_issues_kind"),
-        F.try_variant_get(F.col("_v"), "$.issues", "array<variant>").alias("_items"),
-    )
-    checked = read.withColumn(
-        "_issues", F.transform(F.coalesce("_items", F.array().cast("array<variant>")), _checked_issue)
+        _type(_field(F.col("_v"), "issues")).alias("_issues_type"),
+        F.transform(
+            F.coalesce(
+                F.try_variant_get(F.col("_v"), "$.issues", "array<variant>"),
+                F.array().cast("array<variant>"),
+            ),
+            _read_issue,
+        ).alias("_read"),
     )
+    checked = read.withColumn("_issues", F.transform(F.transform("_read", _numbers), _checked))
     # A missing list is an empty one; null or anything else is an error.
     valid = (
-        F.coalesce(F.col("_kind") == "object", F.lit(False))
-        & F.coalesce(F.col("_summary_kind") == "string", F.lit(False))
-        & (F.coalesce(F.col("_issues_kind"), F.lit("array")) == "array")
+        F.coalesce(F.startswith("_type", F.lit("OBJECT")), F.lit(False))
+        & F.coalesce(F.col("_summary_type") == "STRING", F.lit(False))
+        & F.startswith(F.coalesce("_issues_type", F.lit("ARRAY")), F.lit("ARRAY"))
         & F.forall("_issues", lambda i: i["valid"])
     )
     return checked.withColumn("_valid", valid).select(

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.operators.joins import first_per_key, position_within, rows_of
 
-_NEWEST_FIRST = [F.desc("created_at"), F.asc("id")]
+
+
+def _newest_first() -> list[Column]:
+    return [F.desc("created_at"), F.asc("id")]
 
 
 class ReviewDetail(NamedTuple):
@@ -71,23 +74,23 @@ def ready_gate(requests: DataFrame, repositories: DataFrame) -> DataFrame:
 def latest_reviews(reviews: DataFrame, by_type: bool = False) -> DataFrame:
     """The newest review per repository and user, and per type when asked; any status."""
     keys = ["repository_id", "user_id", *(["review_type"] if by_type else [])]
-    return first_per_key(reviews, keys, _NEWEST_FIRST).drop("_rank")
+    return first_per_key(reviews, keys, _newest_first()).drop("_rank")
 
 
 def list_reviews(reviews: DataFrame, repository_id: str, user_id: str) -> DataFrame:
     """One repository's reviews, newest first."""
     mine = (F.col("repository_id") == repository_id) & (F.col("user_id") == user_id)
-    return reviews.where(mine).orderBy(*_NEWEST_FIRST)
+    return reviews.where(mine).orderBy(*_newest_first())
 
 
 def list_repositories(repositories: DataFrame, user_id: str) -> DataFrame:
     """One user's repositories, newest first."""
-    return repositories.where(F.col("user_id") == user_id).orderBy(*_NEWEST_FIRST)
+    return repositories.where(F.col("user_id") == user_id).orderBy(*_newest_first())
 
 
 def _with_position(df: DataFrame, keys: list[str]) -> DataFrame:
     day = F.to_date("created_at")
-    return position_within(df, keys, day, _NEWEST_FIRST, descending=True)
+    return position_within(df, keys, day, _newest_first(), descending=True)
 
 
 def reviews_in_order(reviews: DataFrame) -> DataFrame:

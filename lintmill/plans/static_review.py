@@ -23,20 +23,17 @@ class StaticReview(NamedTuple):
     reviews: DataFrame
 
 
-def file_issues(files: DataFrame) -> DataFrame:
-    """Issues that one file alone decides."""
+def all_issues(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Issues of every rule; ``facts`` saves parsing again what was parsed already."""
     return (
         line_issues(files)
         .unionByName(large_file_issues(files))
         .unionByName(long_function_issues(files))
-        .unionByName(python_issues(python_facts(files)))
+        .unionByName(python_issues(python_facts(files) if facts is None else facts))
+        .unionByName(duplicate_issues(files))
     )
 
 
-def all_issues(files: DataFrame) -> DataFrame:
-    return file_issues(files).unionByName(duplicate_issues(files))
-
-
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -54,12 +51,13 @@ def run_static_review(
 ) -> StaticReview:
     """Issues, file results and finished review rows for ``files``.
 
-    The corpus is read for the issues and for the line counts; everything after
-    works on the two small written tables.
+    The corpus is read for facts, issues and line counts; everything after works
+    on these written tables.
     """
-    issues = _written(all_issues(files), "issues")
+    facts = _written(python_facts(files), "python_facts")
+    issues = _written(all_issues(files, facts), "issues")
     counted = _written(line_counts(files), "line_counts")
-    failures = _written(parser_failures(python_facts(files)), "failures")
+    failures = parser_failures(facts)
     results = file_results(counted, issues)
     done = review_summaries(results, issues, reviews, repositories)
     finished = done.join(failures.select("review_id", F.lit(True).alias("_failed")), "review_id", "left")

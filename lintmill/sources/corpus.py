@@ -9,12 +9,15 @@ from lintmill.functions.text import csv_list, decode, language_of, path_key, suf
 from lintmill.schemas import DEFAULT_SETTINGS, MAX_FILE_SIZE_SETTING
 
 
-def not_ignored(path: Column, folders: Column, extensions: Column) -> Column:
-    """No part of the path is an ignored folder, and the last extension is not ignored."""
-    lowered = F.transform(extensions, F.lower)
-    return ~F.arrays_overlap(F.split(path, "/", -1), folders) & ~F.array_contains(
-        lowered, suffix(path)
-    )
+def outside_folders(path: Column, folders: Column) -> Column:
+    """No part of the path, the file name included, is one of the folders."""
+    return ~F.arrays_overlap(F.split(path, "/", -1), folders)
+
+
+def without_extensions(path: Column, extensions: Column) -> Column:
+    """The last extension is none of these; only the last one is looked at, so an
+    entry such as ``.min.js`` matches nothing."""
+    return ~F.array_contains(F.transform(extensions, F.lower), suffix(path))
 
 
 def analyzable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame:
@@ -44,7 +47,8 @@ def analyzable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame
     keep = (
         language.isNotNull()
         & (F.col("size_bytes") <= F.col("_max"))
-        & not_ignored(path, csv_list(F.col("_folders")), csv_list(F.col("_extensions")))
+        & outside_folders(path, csv_list(F.col("_folders")))
+        & without_extensions(path, csv_list(F.col("_extensions")))
     )
     return limited.where(keep).select(*columns, language.alias("language"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintmill.operators.joins import rows_not_of
 from lintmill.operators.maintenance import stable_id
@@ -95,7 +96,8 @@ def replace_results(
     Only the buckets these reviews lie in are read and rewritten.
     """
     touched = _bucketed(finished.select("review_id")).select("review_bucket").distinct()
-    stored = spark.read.schema(TABLES[name].add("review_bucket", "int")).parquet(f"{folder}/{name}")
+    schema = T.StructType([*TABLES[name].fields, T.StructField("review_bucket", T.IntegerType())])
+    stored = spark.read.schema(schema).parquet(f"{folder}/{name}")
     # At most BUCKETS numbers, hence a broadcast and a pruned scan.
     old = stored.join(F.broadcast(touched), "review_bucket", "left_semi").drop("review_bucket")
     write_children(replace_children(old, new, finished), folder, name, mode="overwrite")

@@ -1,17 +1,15 @@
-"""Line rules over arriving files.
+"""Line and file rules over arriving files.
 
-Line and file rules look at one file only and keep no state, so they run on a
-stream as they are.  Duplicate blocks and scores need whole reviews and stay batch.
+These rules look at one file only and keep no state, so they run on a stream as
+they are.  Duplicate blocks and scores need whole reviews and stay batch.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
 
 from lintmill.operators.line_rules import large_file_issues, line_issues
 from lintmill.schemas import FILES
-from lintmill.sources.sinks import replace_results
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,14 +20,3 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
 def stream_issues(files: DataFrame) -> DataFrame:
     """Issues of arriving files."""
     return line_issues(files).unionByName(large_file_issues(files))
-
-
-def store_line_issues(files: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Keep ``review_issues`` in step: a batch replaces the issues of its reviews, so a
-    repeated batch changes nothing."""
-
-    def store(batch: DataFrame, _: int) -> None:
-        new = line_issues(batch).unionByName(large_file_issues(batch))
-        replace_results(batch.sparkSession, folder, "review_issues", new, batch.select("review_id"))
-
-    return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
