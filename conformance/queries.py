@@ -26,7 +26,7 @@ from lintmill.operators import (
     search,
     settings,
 )
-from lintmill.plans import static_review
+from lintmill.plans import ai_review, export, static_review
 from lintmill.schemas import DEFAULT_SETTINGS
 from lintmill.sources import corpus, sinks, tables
 
@@ -550,20 +550,22 @@ def ai_issues(spark, sf):
     return ai_ingest.ai_issues(ai_ingest.parse_answers(_answers(spark, sf)))
 
 
+def _ingested(spark: SparkSession, sf: str) -> ai_review.Ingested:
+    reviews, repos, _ = _catalogue(spark, sf)
+    at = F.lit("2024-05-01").cast("timestamp")
+    return ai_review.ingest(_answers(spark, sf), _chosen(spark, sf), reviews, repos, at)
+
+
 @query
 def ai_file_scores(spark, sf):
-    parsed = ai_ingest.parse_answers(_answers(spark, sf))
-    return ai_ingest.ai_file_scores(_chosen(spark, sf), parsed, ai_ingest.ai_issues(parsed))
+    return _ingested(spark, sf).file_results
 
 
 @query
 def ai_review_summary(spark, sf):
-    parsed = ai_ingest.parse_answers(_answers(spark, sf))
-    issues = ai_ingest.ai_issues(parsed)
-    results = ai_ingest.ai_file_scores(_chosen(spark, sf), parsed, issues)
-    reviews, repos, _ = _catalogue(spark, sf)
-    done = ai_ingest.ai_review_summaries(parsed, results, issues, reviews, repos)
-    return done.select("review_id", "status", "files_analyzed", "issues_count", "overall_score", "summary")
+    return _ingested(spark, sf).reviews.select(
+        "review_id", "status", "files_analyzed", "issues_count", "overall_score", "summary"
+    )
 
 
 # ---- reports ----------------------------------------------------------------
@@ -599,12 +601,14 @@ def report_issue_lines(spark, sf):
 
 @query
 def report_markdown(spark, sf):
-    return reports.build_markdown(_joined(spark, sf), *_children(spark, sf))
+    children = _children(spark, sf)
+    return reports.render_markdown(reports.report_index(_joined(spark, sf), *children), *children)
 
 
 @query
 def report_json(spark, sf):
-    built = reports.build_json(_joined(spark, sf), *_children(spark, sf))
+    children = _children(spark, sf)
+    built = reports.render_json(reports.report_index(_joined(spark, sf), *children), *children)
     shape = """review struct<id: string, status: string, overall_score: double, created_at: string>,
         repository struct<owner: string, name: string, default_branch: string>,
         file_results array<struct<file_path: string, issues_count: int, file_score: double>>,
@@ -632,7 +636,7 @@ def report_json(spark, sf):
 @query
 def report_bundle(spark, sf):
     reviews, repos, _ = _catalogue(spark, sf)
-    bundle = reports.report_bundle(reviews, repos, *_children(spark, sf))
+    bundle = export.export_reports(reviews, repos, *_children(spark, sf))
     digest = F.when(F.col("format") != "json", F.md5("body"))
     return bundle.select("review_id", "format", "filename", "media_type", "volume", digest.alias("digest"))
 
@@ -651,7 +655,7 @@ def _references(spark: SparkSession, sf: str) -> DataFrame:
                when 3 then 'owner' || k || '/name.git'
                when 4 then '   '
                when 5 then 'only' || k
-               when 6 then 'https://example.com/a' || k || '/b'
+               when 6 then 'https://notgithub.com/a' || k || '/b'
                when 7 then 'https://github.com/a' || k || '/b/tree'
                when 8 then 'own' || k || '/re;po'
                else '-own' || k || '/repo' end as url

@@ -11,19 +11,26 @@ SALTS = 16
 
 
 def salted_join(
-    rows: DataFrame, keys: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str
+    rows: DataFrame,
+    keys: DataFrame,
+    on: Sequence[str],
+    spread_by: Sequence[str],
+    how: str,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """Join many ``rows`` to one row per key, a hot key spread over several tasks.
 
     ``keys`` is repeated once per salt, so it should be far smaller than
     ``rows`` (one row per review against all issues, say).  ``spread_by`` are
-    columns of ``rows`` that vary within a key.
+    columns of ``rows`` that vary within a key.  A grouping that follows and holds
+    both can keep ``_salt`` among its keys and needs no further shuffle.
     """
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
     salted_keys = keys.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     )
-    return salted_rows.join(salted_keys, [*on, "_salt"], how).drop("_salt")
+    joined = salted_rows.join(salted_keys, [*on, "_salt"], how)
+    return joined if keep_salt else joined.drop("_salt")
 
 
 def rows_of(rows: DataFrame, reviews: DataFrame, spread_by: Sequence[str] = ("file_path",)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lintmill.operators import ai_ingest, ai_prepare
 from lintmill.operators.scoring import line_counts
+from lintmill.session import written
 
 
 class Prepared(NamedTuple):
@@ -43,8 +44,11 @@ def prepare(
 def ingest(
     answers: DataFrame, chosen: DataFrame, reviews: DataFrame, repositories: DataFrame, at: Column
 ) -> Ingested:
-    """Answers (review_id, raw) to issues, file results and finished review rows."""
-    parsed = ai_ingest.parse_answers(answers)
+    """Answers (review_id, raw) to issues, file results and finished review rows.
+
+    The parsed answers are written once, as three results are drawn from them.
+    """
+    parsed = written(ai_ingest.parse_answers(answers), "answers")
     issues = ai_ingest.ai_issues(parsed)
     results = ai_ingest.ai_file_scores(chosen, parsed, issues)
     summaries = ai_ingest.ai_review_summaries(parsed, results, issues, reviews, repositories)

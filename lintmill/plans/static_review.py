@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from lintmill.operators.long_functions import long_function_issues
 from lintmill.operators.python_facts import python_facts
 from lintmill.operators.python_rules import parser_failures, python_issues
 from lintmill.operators.scoring import file_results, line_counts, review_summaries
-from lintmill.session import checkpoint_dir
+from lintmill.session import written
 
 
 class StaticReview(NamedTuple):
@@ -34,18 +33,6 @@ def all_issues(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
-
-    What follows depends on the written files, not on tasks that would scan and
-    parse the corpus again when an executor is lost.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lintmill/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def run_static_review(
     files: DataFrame, reviews: DataFrame, repositories: DataFrame, at: Column
 ) -> StaticReview:
@@ -54,9 +41,9 @@ def run_static_review(
     The corpus is read for facts, issues and line counts; everything after works
     on these written tables.
     """
-    facts = _written(python_facts(files), "python_facts")
-    issues = _written(all_issues(files, facts), "issues")
-    counted = _written(line_counts(files), "line_counts")
+    facts = written(python_facts(files), "python_facts")
+    issues = written(all_issues(files, facts), "issues")
+    counted = written(line_counts(files), "line_counts")
     failures = parser_failures(facts)
     results = file_results(counted, issues)
     done = review_summaries(results, issues, reviews, repositories)

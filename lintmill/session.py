@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +21,8 @@ SETTINGS = {
     # Source texts are wide rows: few of them fill an Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Walking the Python stack for every column expression slows plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -55,3 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="lintmill-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    What follows depends on the written files, so a lost executor costs no second
+    scan of the corpus, and the plans that follow stay small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/lintmill/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
