@@ -525,7 +525,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
                 else concat('{{{{"summary": "', case when kind = 4 then '  ' else 'fine' end, '", "issues": [',
                   items, ']}}}}') end as raw
             from listed""",
-        orders=V.table(spark, sf, "orders"),
+        orders=V.corpus_table(spark, sf, "orders", "o_orderkey"),
     )
 
 
@@ -687,7 +687,7 @@ def register_repositories(spark, sf):
                || case when c_custkey % 2 = 0 then 'repo-' else 'new-' end || cast(c_custkey as string) as url,
              case when o_orderkey % 50 = 0 then repeat('b', 256) else 'main' end as branch
            from {orders} join {customer} on c_custkey = o_custkey""",
-        orders=V.table(spark, sf, "orders"),
+        orders=V.corpus_table(spark, sf, "orders", "o_orderkey"),
         customer=V.table(spark, sf, "customer"),
     )
     decided = maintenance.register_repositories(requests, V.catalogue(spark, sf, "repos_v"))

@@ -98,6 +98,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are rendered to texts, spread over tasks first.
+
+    It comes as one row group, a single task's work, though its texts are many times
+    larger.  A stored corpus has splits enough and needs no such step.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, name).repartition(n, key)
+
+
 def catalogue(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = CATALOGUE[name]
     used = {t: table(spark, sf_dir, t) for t in SOURCE_TABLES if "{" + t + "}" in text}
@@ -133,7 +143,7 @@ def paths_v(spark: SparkSession, sf_dir: str) -> DataFrame:
                 else 'f' || cast(doc_id as string) || {_array(EXTENSIONS)}[int(doc_id % 17)] end as file_path,
               n_chars as size_bytes
             from {{documents}}""",
-        documents=table(spark, sf_dir, "documents"),
+        documents=corpus_table(spark, sf_dir, "documents", "doc_id"),
     )
 
 
@@ -141,7 +151,7 @@ def docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """select source as review_id, 'src/' || lang || '/' || cast(doc_id as string) || '.js' as file_path,
              'javascript' as language, n_chars as size_bytes, text as content from {documents}""",
-        documents=table(spark, sf_dir, "documents"),
+        documents=corpus_table(spark, sf_dir, "documents", "doc_id"),
     )
 
 
@@ -150,7 +160,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select 'pages' as review_id, 'pages/' || cast(page_id as string) || '.js' as file_path,
              'javascript' as language, cast(length(html) as bigint) as size_bytes, html as content
            from {pages}""",
-        pages=table(spark, sf_dir, "pages"),
+        pages=corpus_table(spark, sf_dir, "pages", "page_id"),
     )
 
 
@@ -251,7 +261,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
               'src/' || cast(o_orderkey as string) || {endings}[int(o_orderkey % 7)] as file_path,
               array_join(case o_orderkey % 7 {texts} end, '\\n') as content
             from {{orders}}""",
-        orders=table(spark, sf_dir, "orders"),
+        orders=corpus_table(spark, sf_dir, "orders", "o_orderkey"),
     )
     return df.withColumn("language", language_of(df["file_path"]))
 
@@ -267,7 +277,7 @@ def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         f"""select 'u' || cast(user_id as string) as review_id, 'm/' || cast(event_id as string) || '.go' as file_path,
               'go' as language, repeat('x\\n', int({_K} * 10 + event_id % 2)) as content from {{events}}""",
-        events=table(spark, sf_dir, "events"),
+        events=corpus_table(spark, sf_dir, "events", "event_id"),
     )
 
 
@@ -296,7 +306,7 @@ def python_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> Data
                    when 'signup' then '    subprocess.call("x", shell=False)\\n' else '    pass\\n' end
               || '    return a\\n' || {bad} as content
             from {{events}}""",
-        events=table(spark, sf_dir, "events"),
+        events=corpus_table(spark, sf_dir, "events", "event_id"),
     )
 
 
@@ -311,5 +321,5 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
               || repeat('    a += 2;\\n', int(floor(value)) % 70) || '  ' || '}}}}\\n'
               || case when event_id % 17 = 0 then '' else '}}}}\\n' end || 'x;\\nx;\\n' as content
             from {{events}}""",
-        events=table(spark, sf_dir, "events"),
+        events=corpus_table(spark, sf_dir, "events", "event_id"),
     )

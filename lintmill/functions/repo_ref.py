@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintmill.functions.text import strip
+from lintmill.functions.text import let, strip
 
 # ---- fixed values: hosts, name patterns, forbidden characters ---------------
 
@@ -16,34 +16,60 @@ NAME = r"^[a-zA-Z0-9._-]+\z"
 FORBIDDEN = "[\\n\\r\\x00;|&$`<>\"'\\\\]"
 
 
-def parse_repo_ref(source: Column) -> Column:
-    """Struct of owner, name, error; error is null for a valid reference."""
-    text = strip(source)
-    is_short = ~F.contains(F.lower(text), F.lit(HOST))
+def _short_parts(text: Column) -> Column:
+    """Parts of ``owner/name``; an empty one is kept, for the check to fail on."""
+    return F.split(F.btrim(text, F.lit("/")), "/", -1)
+
+
+def _url_parts(text: Column) -> Column:
+    """Host, then the non-empty parts of the path; query and fragment are dropped."""
     with_scheme = F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
-    url = F.replace(with_scheme, F.lit("\t"), F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"(?s)^https?://([^/?#]*)([^?#]*)", 1))
-    path = F.regexp_extract(url, r"(?s)^https?://([^/?#]*)([^?#]*)", 2)
-    # The short form keeps empty parts, and fails on them; a URL path drops them.
-    short_parts = F.split(F.btrim(text, F.lit("/")), "/", -1)
-    url_parts = F.filter(F.split(path, "/", -1), lambda p: p != "")
-    parts = F.when(is_short, short_parts).otherwise(url_parts)
-    owner = F.get(parts, F.lit(0))
-    name = F.regexp_replace(F.get(parts, F.lit(1)), r"\.git\z", "")
-    empty_part = (F.get(parts, F.lit(0)) == "") | (F.get(parts, F.lit(1)) == "")
-    error = (
-        F.when(text == "", "empty")
-        .when(text.rlike(FORBIDDEN), "forbidden_character")
-        .when(is_short & ((F.size(parts) != 2) | empty_part), "not_owner_and_name")
-        .when(~is_short & ~host.isin(HOSTS), "unsupported_host")
-        .when(F.size(parts) != 2, "not_owner_and_name")
-        .when(~owner.rlike(OWNER), "invalid_owner")
-        .when(~name.rlike(NAME), "invalid_name")
+    rest = F.regexp_replace(F.replace(with_scheme, F.lit("\t"), F.lit("")), r"(?s)^https?://|[?#].*\z", "")
+    return let(
+        F.split(rest, "/", -1),
+        lambda p: F.concat(
+            F.array(F.lower(F.get(p, F.lit(0)))), F.filter(F.slice(p, F.lit(2), F.size(p)), lambda x: x != "")
+        ),
     )
-    return F.struct(
-        F.when(error.isNull(), owner).alias("owner"),
-        F.when(error.isNull(), name).alias("name"),
-        error.alias("error"),
+
+
+def _judged(owner: Column, name: Column, error: Column) -> Column:
+    error = error.when(~owner.rlike(OWNER), "invalid_owner").when(~name.rlike(NAME), "invalid_name")
+    return F.struct(owner.alias("owner"), name.alias("name"), error.alias("error"))
+
+
+def _from_parts(parts: Column, first: int, bad_host: Column) -> Column:
+    owner, name = F.get(parts, F.lit(first)), F.get(parts, F.lit(first + 1))
+    not_two = (F.size(parts) != first + 2) | (owner == "") | (name == "")
+    error = F.when(bad_host, "unsupported_host").when(not_two, "not_owner_and_name")
+    return _judged(owner, F.regexp_replace(name, r"\.git\z", ""), error)
+
+
+def parse_repo_ref(source: Column) -> Column:
+    """Struct of owner, name, error; error is null for a valid reference."""
+    nothing = F.lit(None).cast("string")
+
+    def failed(code: str) -> Column:
+        return F.struct(nothing.alias("owner"), nothing.alias("name"), F.lit(code).alias("error"))
+
+    def parsed(text: Column) -> Column:
+        is_short = ~F.contains(F.lower(text), F.lit(HOST))
+        short = let(_short_parts(text), lambda p: _from_parts(p, 0, F.lit(False)))
+        url = let(_url_parts(text), lambda p: _from_parts(p, 1, ~F.get(p, F.lit(0)).isin(HOSTS)))
+        return (
+            F.when(text == "", failed("empty"))
+            .when(text.rlike(FORBIDDEN), failed("forbidden_character"))
+            .when(is_short, short)
+            .otherwise(url)
+        )
+
+    return let(
+        let(strip(source), parsed),
+        lambda r: F.struct(
+            F.when(r["error"].isNull(), r["owner"]).alias("owner"),
+            F.when(r["error"].isNull(), r["name"]).alias("name"),
+            r["error"].alias("error"),
+        ),
     )
 
 

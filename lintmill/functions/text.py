@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,15 @@ def decode(raw: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _has_rare_line_end(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(e)) for e in RARE_LINE_ENDS])
+
+
 def with_lines(df: DataFrame, content: str = "content", into: str = "lines") -> DataFrame:
     """Add the array of lines; a final line end opens no further line.
 
@@ -49,13 +59,23 @@ def with_lines(df: DataFrame, content: str = "content", into: str = "lines") ->
     texts that have none of them, where splitting at ``\\n`` is far faster.
     """
     text = F.col(content)
-    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(e)) for e in RARE_LINE_ENDS])
-    parts = F.when(rare, F.split(text, LINE_END, -1)).otherwise(F.split(text, "\n", -1))
+    parts = F.when(_has_rare_line_end(text), F.split(text, LINE_END, -1)).otherwise(
+        F.split(text, "\n", -1)
+    )
     last_is_empty = F.element_at(F.col(into), -1) == ""
     kept = F.size(into) - F.when(last_is_empty, 1).otherwise(0)
     return df.withColumn(into, parts).withColumn(into, F.slice(F.col(into), F.lit(1), kept))
 
 
+def line_count(text: Column) -> Column:
+    """Number of lines, counted from the line ends without cutting the text up."""
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    rest = F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)
+    rare_ends = F.regexp_count(text, F.lit(LINE_END))
+    rare_rest = F.when((text == "") | text.rlike(f"(?:{LINE_END})\\z"), 0).otherwise(1)
+    return F.when(_has_rare_line_end(text), rare_ends + rare_rest).otherwise(ends + rest)
+
+
 def explode_lines(df: DataFrame, *keep: str) -> DataFrame:
     """One row per line: ``keep`` columns, 1-based ``line_no``, ``line``.
 

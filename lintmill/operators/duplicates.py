@@ -22,11 +22,12 @@ def shingles(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
     windows = with_lines(files.select("review_id", "file_path", "content")).select(
         "review_id", "file_path", "lines", F.size("lines").alias("_n")
     )
-    windows = windows.where(F.col("_n") >= size).select(
-        "review_id",
-        "file_path",
-        "lines",
-        F.explode(F.sequence(F.lit(1), F.col("_n") - (size - 1))).alias("line_start"),
+    # The outer form of explode, here and elsewhere, keeps the optimizer from putting
+    # a filter on the array, and with it a second split, below.  Short files give one
+    # null start, which has no code.
+    starts = F.when(F.col("_n") >= size, F.sequence(F.lit(1), F.col("_n") - (size - 1)))
+    windows = windows.select(
+        "review_id", "file_path", "lines", F.explode_outer(starts).alias("line_start")
     )
     block = [strip(F.get("lines", F.col("line_start") + (k - 1))) for k in range(size)]
 

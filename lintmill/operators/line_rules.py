@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.functions.text import BLANK, explode_lines, unicode_pattern, with_lines
+from lintmill.functions.text import BLANK, explode_lines, line_count, unicode_pattern
 from lintmill.operators.rule_catalog import (
     COMMON_RULES,
     LANGUAGE_RULES,
@@ -92,7 +92,7 @@ def line_issues(files: DataFrame, only: set[str] | None = None) -> DataFrame:
             for r in _ALL_RULES
         ]
     )
-    found = hits.select("review_id", "file_path", "line_no", "line", F.explode(broken).alias("_no"))
+    found = hits.select("review_id", "file_path", "line_no", "line", F.explode_outer(broken).alias("_no"))
     issue = found.withColumn("_rule", F.get(details, F.col("_no")))
     explanation = F.when(
         F.col("_rule.rule_id") == LONG_LINE.rule_id,
@@ -118,7 +118,9 @@ def line_issues(files: DataFrame, only: set[str] | None = None) -> DataFrame:
 def large_file_issues(files: DataFrame) -> DataFrame:
     """One issue for each file of more than 500 lines, blank ones included."""
     known = files.where(F.col("language").isin(list(LANGUAGE_RULES)))
-    counted = with_lines(known).select("review_id", "file_path", F.size("lines").alias("_n"))
+    # A text of so many lines has at least as many bytes less one.
+    long_enough = known.where(F.octet_length("content") >= MAX_FILE_LINES)
+    counted = long_enough.select("review_id", "file_path", line_count(F.col("content")).alias("_n"))
     return counted.where(F.col("_n") > MAX_FILE_LINES).select(
         "review_id",
         "file_path",

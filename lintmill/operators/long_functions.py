@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintmill.functions.text import unicode_pattern, with_lines
+from lintmill.functions.text import line_count, unicode_pattern, with_lines
 from lintmill.operators.rule_catalog import FUNCTION_START, MAX_FUNCTION_LINES
 from lintmill.schemas import ISSUE_COLUMNS
 
@@ -25,10 +25,14 @@ def function_spans(files: DataFrame, min_lines: int = 1) -> DataFrame:
     """review_id, file_path, name, line_start, line_end of all functions in brace
     files of at least ``min_lines`` lines."""
     texts = files.where(F.col("language").isin(BRACE_FUNCTION_LANGUAGES))
-    counted = with_lines(texts.select("review_id", "file_path", "content")).select(
+    # Counting line ends is cheap; a filter on the split lines would be pushed down
+    # and split every text again.
+    content = F.col("content")
+    large = texts.where(F.octet_length(content) >= min_lines - 1).where(line_count(content) >= min_lines)
+    counted = with_lines(large.select("review_id", "file_path", "content")).select(
         "review_id", "file_path", "lines", F.size("lines").alias("_n_lines")
     )
-    exploded = counted.where(F.col("_n_lines") >= min_lines).select(
+    exploded = counted.select(
         "review_id", "file_path", "_n_lines", F.posexplode_outer("lines").alias("_pos", "line")
     )
     line = F.col("line")
@@ -111,8 +115,8 @@ def function_spans(files: DataFrame, min_lines: int = 1) -> DataFrame:
         "_n_lines",
         "_line",
         "_name",
-        F.explode(F.concat(falls, waits)).alias("_e"),
-    ).select("review_id", "file_path", "_n_lines", "_line", "_name", "_e.*")
+        F.explode_outer(F.concat(falls, waits)).alias("_e"),
+    ).where(F.col("_e").isNotNull()).select("review_id", "file_path", "_n_lines", "_line", "_name", "_e.*")
 
     # At one line the start comes first here, so that a line does not end a
     # function it opens after the braces were counted.

@@ -34,8 +34,9 @@ _FACT_FIELDS = [
 
 # The calls some rule asks about, and what adds a branch.
 WATCHED_CALLS = {"eval", "exec", "subprocess.run", "subprocess.call"}
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith)
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_BRANCHES = {ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith}
+_FUNCTIONS = {ast.FunctionDef, ast.AsyncFunctionDef}
+_LEAVES = {ast.Load, ast.Store, ast.Del, ast.Constant, ast.Pass, ast.Break, ast.Continue}
 
 
 def _dotted(node: ast.AST) -> str:
@@ -72,42 +73,53 @@ def facts_of(source: str) -> list[dict]:
     used: set[str] = set()
     facts: list[dict] = []
     functions: list[tuple[dict, int]] = []  # fact, index of the enclosing function
+    branches: list[int] = []  # per function, without the functions inside it
     pending: list[tuple[ast.AST, int]] = [(tree, -1)]
     while pending:
         node, owner = pending.pop()
-        if isinstance(node, _FUNCTIONS):
-            fact = {"kind": "function", "name": node.name, "line_start": node.lineno,
-                    "line_end": node.end_lineno, "has_docstring": bool(ast.get_docstring(node)),
-                    "complexity": 0}
-            functions.append((fact, owner))
-            owner = len(functions) - 1
-        elif isinstance(node, ast.Name):
+        kind = type(node)
+        if kind is ast.Name:
             used.add(node.id)
-        elif isinstance(node, ast.Call):
+            continue
+        if kind in _LEAVES:
+            continue
+        if kind in _BRANCHES:
+            if owner >= 0:
+                branches[owner] += 1
+        elif kind is ast.BoolOp:
+            if owner >= 0:
+                branches[owner] += len(node.values) - 1
+        elif kind is ast.Call:
             name = _dotted(node.func)
             if name in WATCHED_CALLS:
                 facts.append({"kind": "call", "name": name, "line_start": node.lineno,
                               "line_end": node.lineno, "shell_true": _shell_is_true(node)})
-        elif isinstance(node, ast.ClassDef):
+        elif kind in _FUNCTIONS:
+            fact = {"kind": "function", "name": node.name, "line_start": node.lineno,
+                    "line_end": node.end_lineno, "has_docstring": bool(ast.get_docstring(node))}
+            functions.append((fact, owner))
+            branches.append(0)
+            owner = len(functions) - 1
+        elif kind is ast.ClassDef:
             facts.append({"kind": "class", "name": node.name, "line_start": node.lineno,
                           "line_end": node.end_lineno,
                           "has_docstring": bool(ast.get_docstring(node))})
-        elif isinstance(node, ast.Import):
+        elif kind is ast.Import:
             imported.update(a.asname or a.name.partition(".")[0] for a in node.names)
-        elif isinstance(node, ast.ImportFrom):
+        elif kind is ast.ImportFrom:
             imported.update(a.asname or a.name for a in node.names if a.name != "*")
-        if owner >= 0:
-            if isinstance(node, _BRANCHES):
-                functions[owner][0]["complexity"] += 1
-            elif isinstance(node, ast.BoolOp):
-                functions[owner][0]["complexity"] += len(node.values) - 1
-        pending.extend((child, owner) for child in ast.iter_child_nodes(node))
+        for value in node.__dict__.values():
+            if isinstance(value, ast.AST):
+                pending.append((value, owner))
+            elif isinstance(value, list):
+                pending.extend((v, owner) for v in value if isinstance(v, ast.AST))
 
     # An inner function comes after its outer one, whose branches include its own.
-    for fact, outer in reversed(functions):
+    for i in range(len(functions) - 1, -1, -1):
+        fact, outer = functions[i]
         if outer >= 0:
-            functions[outer][0]["complexity"] += fact["complexity"]
-        fact["complexity"] += 1
+            branches[outer] += branches[i]
+        fact["complexity"] = branches[i] + 1
         facts.append(fact)
     facts.append({"kind": "module", "line_start": 1, "line_end": 1,
                   "has_docstring": bool(ast.get_docstring(tree)),
@@ -133,6 +145,13 @@ def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    """One row per fact; ``used`` holds those imported names that occur as identifiers."""
+    """One row per fact; ``used`` holds those imported names that occur as identifiers.
+
+    Parsing costs far more per byte than moving the text, and a scan task may hold
+    thousands of files.  Hence the files are spread by their key first, into a fixed
+    number of partitions, as adaptive merging would go by bytes again.
+    """
     sources = files.where(F.col("language") == "python").select("review_id", "file_path", "content")
-    return sources.mapInPandas(_facts_of_batches, FACTS_SCHEMA)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sources.repartition(n, "review_id", "file_path")
+    return spread.mapInPandas(_facts_of_batches, FACTS_SCHEMA)

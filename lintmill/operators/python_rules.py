@@ -120,8 +120,8 @@ def python_issues(facts: DataFrame) -> DataFrame:
         ),
     )
     return facts.select(
-        "review_id", "file_path", F.explode(F.concat(F.array_compact(rules), unused_issues)).alias("_i")
-    ).select("review_id", "file_path", "_i.*").select(*ISSUE_COLUMNS)
+        "review_id", "file_path", F.explode_outer(F.concat(F.array_compact(rules), unused_issues)).alias("_i")
+    ).where(F.col("_i").isNotNull()).select("review_id", "file_path", "_i.*").select(*ISSUE_COLUMNS)
 
 
 def parser_failures(facts: DataFrame) -> DataFrame:
