@@ -530,7 +530,7 @@ _ISSUE_TEXT = """concat_ws(chr(10), '#### ' || title, '', '- **Location:** `' ||
       '- **Category:** ' || replace(category, '_', ' '), '- **Severity:** ' || severity,
       '- **Confidence:** ' || printf('%.0f', confidence * 100) || '%', '- **Rule:** `' || rule_id || '`', '',
       explanation, '', '**Suggestion:** ' || suggestion, '', '')"""
-ORACLES["report_issue_lines"] = f"with {_ISSUES} select review_id, {_ISSUE_TEXT} as text from issues_v"
+ORACLES["report_issue_lines"] = f"with {_ISSUES} select review_id, chr(10) || ({_ISSUE_TEXT})[:-2] as text from issues_v"
 _MARKDOWN = f"""
     {_RR}, {_ISSUES}, {V.oracle_ctes("file_results_v")},
     tables as (

@@ -265,7 +265,7 @@ def audit_unique(tables: dict[str, DataFrame]) -> DataFrame:
     """Values that occur more than once where they must not."""
     parts = []
     for table, column in UNIQUE_KEYS:
-        if table in tables:
+        if table in tables and column in tables[table].columns:
             counts = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
             parts.append(
                 counts.where(F.col("_n") > 1).select(

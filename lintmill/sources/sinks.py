@@ -93,14 +93,22 @@ def replace_results(
 ) -> None:
     """Replace the children of finished reviews in place.
 
-    Only the buckets these reviews lie in are read and rewritten.
+    Only the buckets these reviews lie in are read and rewritten.  A bucket that
+    loses its last row is not among the partitions written, so it is emptied apart.
     """
     touched = _bucketed(finished.select("review_id")).select("review_bucket").distinct()
     schema = T.StructType([*TABLES[name].fields, T.StructField("review_bucket", T.IntegerType())])
     stored = spark.read.schema(schema).parquet(f"{folder}/{name}")
     # At most BUCKETS numbers, hence a broadcast and a pruned scan.
     old = stored.join(F.broadcast(touched), "review_bucket", "left_semi").drop("review_bucket")
-    write_children(replace_children(old, new, finished), folder, name, mode="overwrite")
+    replaced = replace_children(old, new, finished)
+    remaining = _bucketed(replaced.select("review_id")).select("review_bucket").distinct()
+    # At most BUCKETS numbers, as a rule none.
+    emptied = [r.review_bucket for r in touched.join(remaining, "review_bucket", "left_anti").collect()]
+    write_children(replaced, folder, name, mode="overwrite")
+    for bucket in emptied:
+        nothing = spark.createDataFrame([], TABLES[name])
+        nothing.write.mode("overwrite").parquet(f"{folder}/{name}/review_bucket={bucket}")
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
