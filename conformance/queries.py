@@ -601,14 +601,14 @@ def report_issue_lines(spark, sf):
 
 @query
 def report_markdown(spark, sf):
-    children = _children(spark, sf)
-    return reports.render_markdown(reports.report_index(_joined(spark, sf), *children), *children)
+    reviews, repos, _ = _catalogue(spark, sf)
+    return export.export_markdown(reviews, repos, *_children(spark, sf))
 
 
 @query
 def report_json(spark, sf):
-    children = _children(spark, sf)
-    built = reports.render_json(reports.report_index(_joined(spark, sf), *children), *children)
+    reviews, repos, _ = _catalogue(spark, sf)
+    built = export.export_json(reviews, repos, *_children(spark, sf))
     shape = """review struct<id: string, status: string, overall_score: double, created_at: string>,
         repository struct<owner: string, name: string, default_branch: string>,
         file_results array<struct<file_path: string, issues_count: int, file_score: double>>,

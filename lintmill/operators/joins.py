@@ -24,12 +24,16 @@ def salted_join(
     ``rows`` (one row per review against all issues, say).  ``spread_by`` are
     columns of ``rows`` that vary within a key.  A grouping that follows and holds
     both can keep ``_salt`` among its keys and needs no further shuffle.
+
+    The hint asks for a shuffled hash join: salted keys are spread evenly, so each
+    task holds a small table of them and the many rows need no sort.  Left alone,
+    Spark would judge the keys by their size before the repetition and broadcast.
     """
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
     salted_keys = keys.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     )
-    joined = salted_rows.join(salted_keys, [*on, "_salt"], how)
+    joined = salted_rows.join(salted_keys.hint("shuffle_hash"), [*on, "_salt"], how)
     return joined if keep_salt else joined.drop("_salt")
 
 
