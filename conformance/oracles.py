@@ -576,6 +576,11 @@ ORACLES["report_bundle"] = f"""
     union all select id, 'json', {_file_name("json")}, 'application/json; charset=utf-8', '', null from rr
     union all select id, 'summary', {_file_name("summary")}, 'text/plain; charset=utf-8', '', md5({_SUMMARY}) from rr"""
 
+ORACLES["report_stored"] = f"""
+    with {_MARKDOWN}
+    select id, issues_count, md5(body) as digest from rr join bodies b on b.review_id = rr.id
+    where status = 'completed'"""
+
 # ---- maintenance ------------------------------------------------------------
 
 ORACLES["parse_repo_ref"] = """

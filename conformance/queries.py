@@ -641,6 +641,15 @@ def report_bundle(spark, sf):
     return bundle.select("review_id", "format", "filename", "media_type", "volume", digest.alias("digest"))
 
 
+@query
+def report_stored(spark, sf):
+    """Completed reviews get fresh Markdown, as after a run."""
+    reviews, repos, _ = _catalogue(spark, sf)
+    done = reviews.where(F.col("status") == "completed")
+    stored = export.store_markdown(done, repos, *_children(spark, sf))
+    return stored.select("id", "issues_count", F.md5("report_markdown").alias("digest"))
+
+
 # ---- maintenance ------------------------------------------------------------
 
 

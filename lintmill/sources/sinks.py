@@ -11,9 +11,6 @@ from lintmill.operators.maintenance import stable_id
 from lintmill.schemas import DEFAULT_SETTINGS, TABLES
 from lintmill.sources.tables import BUCKETS
 
-# Rows of one bucket that go to one writer are spread by path over so many tasks.
-WRITERS_PER_BUCKET = 8
-
 
 def create_reviews(requests: DataFrame, at: Column) -> DataFrame:
     """New review rows for (repository_id, user_id, review_type, status).
@@ -79,10 +76,10 @@ def _bucketed(df: DataFrame) -> DataFrame:
 def write_children(df: DataFrame, folder: str, name: str, mode: str = "append") -> None:
     """Write issues or file results in buckets by review.
 
-    A bucket is written by several tasks, so that one huge review does not hang on one.
+    Rebalancing gives each bucket few files and lets adaptive execution split a bucket
+    that one huge review fills over as many writers as its size asks for.
     """
-    spread = F.pmod(F.xxhash64("file_path"), F.lit(WRITERS_PER_BUCKET))
-    out = _bucketed(df).withColumn("_spread", spread).repartition("review_bucket", "_spread").drop("_spread")
+    out = _bucketed(df).hint("rebalance", "review_bucket")
     out.write.mode(mode).partitionBy("review_bucket").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(f"{folder}/{name}")
@@ -113,6 +110,6 @@ def replace_results(
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
     """Reports by format; the volumes of a long one lie in order."""
-    reports.repartition("format", "review_id").sortWithinPartitions(
+    reports.hint("rebalance", "format", "review_id").sortWithinPartitions(
         "review_id", "volume"
     ).write.mode(mode).partitionBy("format").parquet(path)

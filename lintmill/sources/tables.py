@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.schemas import COLUMN_DEFAULTS, TABLES
+from lintmill.schemas import AI_RESPONSES, COLUMN_DEFAULTS, TABLES
 
 BUCKETS = 512
 BUCKETED = {"review_issues", "file_analysis_results"}
@@ -17,6 +17,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return backfill(name, df)
 
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Model answers as JSON lines, each with review_id and the raw answer text."""
+    return spark.read.schema(AI_RESPONSES).json(path)
+
+
 def read_catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, folder, name) for name in TABLES}
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lintmill.operators import scoring
-from lintmill.plans.static_review import all_issues, run_static_review
+from lintmill.plans.static_review import DETECTORS, all_issues, run_static_review
 
 
 def test_rounding_equals_python(spark):
@@ -55,3 +55,5 @@ def test_static_review_end_to_end(spark, files):
     per_file = done.file_results.groupBy("review_id").agg(F.sum("issues_count").alias("n")).collect()
     assert {r.review_id: r.n for r in per_file} == {"r1": 4, "r2": 0}
     assert all_issues(df).count() == done.issues.count() == 4
+    without_python = {k: d for k, d in DETECTORS.items() if k != "python"}
+    assert all_issues(df, without_python).count() == 2

@@ -91,6 +91,12 @@ def test_reports_on_disk(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "reports")).where("format = 'json'").count() == 1
 
 
+def test_answers_from_json_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"review_id": "r", "raw": "{\\"summary\\": \\"s\\"}"}\n')
+    [row] = tables.read_answers(spark, str(tmp_path)).collect()
+    assert tuple(row) == ("r", '{"summary": "s"}')
+
+
 def test_line_rules_on_a_stream(spark, tmp_path):
     path = str(tmp_path / "files")
     spark.createDataFrame([("r", "a.js", "javascript", 7, "eval(1)\n"), ("r", "b.go", "go", 600, "\n" * 600)], FILES).write.parquet(path)
