@@ -69,11 +69,15 @@ def with_lines(df: DataFrame, content: str = "content", into: str = "lines") ->
 
 def line_count(text: Column) -> Column:
     """Number of lines, counted from the line ends without cutting the text up."""
-    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    rest = F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)
-    rare_ends = F.regexp_count(text, F.lit(LINE_END))
-    rare_rest = F.when((text == "") | text.rlike(f"(?:{LINE_END})\\z"), 0).otherwise(1)
-    return F.when(_has_rare_line_end(text), rare_ends + rare_rest).otherwise(ends + rest)
+
+    def count(t: Column) -> Column:
+        ends = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+        rest = F.when((t == "") | F.endswith(t, F.lit("\n")), 0).otherwise(1)
+        rare_ends = F.regexp_count(t, F.lit(LINE_END))
+        rare_rest = F.when((t == "") | t.rlike(f"(?:{LINE_END})\\z"), 0).otherwise(1)
+        return F.when(_has_rare_line_end(t), rare_ends + rare_rest).otherwise(ends + rest)
+
+    return let(text, count)
 
 
 def explode_lines(df: DataFrame, *keep: str) -> DataFrame:

@@ -34,7 +34,7 @@ def local_session(name: str = "lintmill", cores: int | None = None) -> SparkSess
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LINTMILL_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("LINTMILL_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(n))
     )
     for key, value in SETTINGS.items():
