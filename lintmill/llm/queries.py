@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
@@ -20,7 +22,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def bpe(spark: SparkSession) -> Bpe:
+    import public_tokenizers
+
+    return Bpe(spark, read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coder = bpe(spark)
+    coded = coder.decode(coder.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
 }
