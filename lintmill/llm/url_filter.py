@@ -86,13 +86,12 @@ def domain_of(host: Column) -> Column:
     return F.when(F.size(parts) <= labels, host).otherwise(F.array_join(F.slice(parts, -labels, labels), "."))
 
 
-def _shrunk(level: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame:
-    """Posterior (alpha, beta) of each key of a level under its parent's mean.
+def _shrunk(joined: DataFrame, key: str) -> DataFrame:
+    """Posterior (alpha, beta) of each key of a level with labels; ``prior`` is its parent's mean.
 
     The prior's weight is (mean(1-mean) - s) / s, where s is the variance of the
     children's rates about their parents' means beyond what sampling explains.
     """
-    joined = level.join(parent.select(on, F.col("mean").alias("prior")), on)
     noise = F.col("prior") * (1 - F.col("prior"))
     spread = joined.agg(
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)).alias("squares"),
@@ -109,7 +108,7 @@ def _shrunk(level: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame
         joined.withColumn("alpha", F.col("bad") + weight * F.col("prior"))
         .withColumn("beta", F.col("n") - F.col("bad") + weight * (1 - F.col("prior")))
         .withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
-        .select(key, *[c for c in ("domain", "suffix") if c in level.columns and c != key], "alpha", "beta", "mean")
+        .select(*[c for c in (key, "suffix") if c in joined.columns], "alpha", "beta", "mean")
     )
 
 
@@ -127,23 +126,21 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = written(hosts, "hosts")
     named = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = written(named, "domains")
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(0))
-    total = suffixes.groupBy("root").agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("mean"))
-    labelled = F.col("n") > 0
-
-    def chained(level: DataFrame, parent: DataFrame, on: str, key: str) -> DataFrame:
-        """Labelled keys have their own posterior, the others their parent's prior."""
-        own = _shrunk(level.where(labelled), parent, on, key)
-        inherited = level.where(~labelled).join(parent.select(on, F.col("mean").alias("prior")), on)
-        prior = inherited.withColumn("mean", F.col("prior"))
-        cols = [key, *[c for c in ("domain", "suffix") if c in level.columns and c != key]]
-        rest = prior.select(*cols, F.col("prior").alias("alpha"), (1 - F.col("prior")).alias("beta"), "mean")
-        return own.unionByName(rest)
-
-    by_suffix = written(chained(suffixes, total, "root", "suffix"), "suffix_rates")
-    by_domain = written(chained(domains, by_suffix, "suffix", "domain").drop("suffix"), "domain_rates")
-    by_host = chained(hosts, by_domain, "domain", "host")
-    return by_host.select("host", "alpha", "beta", "mean")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    overall = suffixes.agg((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).first()[0]  # one number
+
+    def under(level: DataFrame, parent: DataFrame, on: str) -> DataFrame:
+        return level.join(parent.select(on, F.col("mean").alias("prior")), on)
+
+    def chained(level: DataFrame, key: str) -> DataFrame:
+        """Labelled keys have their own posterior, the others their parent's mean."""
+        own = _shrunk(level.where(F.col("n") > 0), key)
+        rest = level.where(F.col("n") == 0).withColumns({"alpha": F.col("prior"), "beta": 1 - F.col("prior"), "mean": F.col("prior")})
+        return own.unionByName(rest.select(*own.columns))
+
+    by_suffix = written(chained(suffixes.withColumn("prior", F.lit(overall)), "suffix"), "suffix_rates")
+    by_domain = written(chained(under(domains, by_suffix, "suffix"), "domain").drop("suffix"), "domain_rates")
+    return chained(under(hosts, by_domain, "domain"), "host").select("host", "alpha", "beta", "mean")
 
 
 def lower_bound(alpha: Column, beta: Column, z: float) -> Column:
