@@ -108,7 +108,7 @@ def _shrunk(joined: DataFrame, key: str) -> DataFrame:
         joined.withColumn("alpha", F.col("bad") + weight * F.col("prior"))
         .withColumn("beta", F.col("n") - F.col("bad") + weight * (1 - F.col("prior")))
         .withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
-        .select(*[c for c in (key, "suffix") if c in joined.columns], "alpha", "beta", "mean")
+        .select(*[c for c in dict.fromkeys((key, "suffix")) if c in joined.columns], "alpha", "beta", "mean")
     )
 
 
@@ -127,7 +127,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     named = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = written(named, "domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
-    overall = suffixes.agg((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).first()[0]  # one number
+    overall = suffixes.agg((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).first()[0] or 0.5  # one number
 
     def under(level: DataFrame, parent: DataFrame, on: str) -> DataFrame:
         return level.join(parent.select(on, F.col("mean").alias("prior")), on)
