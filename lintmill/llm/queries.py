@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
+from lintmill.llm.html_extract import extract_text
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
 
@@ -39,8 +40,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_html_extraction": op9_html_extraction,
 }
