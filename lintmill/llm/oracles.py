@@ -72,4 +72,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and bad.bad is null) as kept from b left join bad on b.source is not distinct from bad.source
 """
 
-ORACLES = {"op3_url_filters": OP3, "op4_quality_rules": OP4}
+OP10 = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b)::bigint as payload_bytes, sha256(b) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f
+"""
+
+ORACLES = {"op3_url_filters": OP3, "op4_quality_rules": OP4, "op10_warc": OP10}

@@ -10,6 +10,7 @@ from lintmill.llm.common import table
 from lintmill.llm.html_extract import extract_text
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
+from lintmill.llm.warc import page_facts, round_trip
 
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 
@@ -45,9 +46,14 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_facts(round_trip(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_html_extraction": op9_html_extraction,
+    "op10_warc": op10_warc,
 }
