@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
 from lintmill.llm.html_extract import extract_text
+from lintmill.llm.pii import KINDS, find_spans, spans_text
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
 from lintmill.llm.warc import page_facts, round_trip
@@ -31,8 +32,7 @@ def bpe(spark: SparkSession) -> Bpe:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coder = bpe(spark)
-    coded = coder.decode(coder.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    coded = bpe(spark).encode(table(spark, sf_dir, "documents").select("doc_id", "text"), back=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -41,6 +41,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_spans(docs)
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
@@ -54,6 +63,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
 }
