@@ -20,6 +20,24 @@ def _level(name: str, key: str, up: str, parent: str, extra: str = "") -> str:
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+OP1 = rf"""
+with d as (select row_number() over () as k, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+i as (select item_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+iw as (select item_id, size, array_to_string(w[s:s + size - 1], ' ') as t
+  from (select *, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from i where len(w) > 0)),
+sizes as (select distinct size from iw),
+dw as (select k, s, size, array_to_string(w[s:s + size - 1], ' ') as t
+  from (select k, w, size, unnest(range(1, len(w) - size + 2)) as s from d, sizes where len(w) >= size)),
+h as (select dw.k, dw.s, dw.size, iw.item_id from dw join iw using (size, t)),
+n as (select k, count(distinct s + o) as n_hit from (select distinct k, s, size from h), range(0, 10) r(o) where o < size group by k),
+m as (select k, list_sort(list(distinct item_id::varchar)) as ids from h group by k)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(len(ids), 0)::bigint as n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (k) left join m using (k)
+"""
+
 OP3 = f"""
 with cut as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
 placed as (select page_id,
@@ -80,4 +98,4 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
   case when page_id <> first then first end as refers_to from f
 """
 
-ORACLES = {"op3_url_filters": OP3, "op4_quality_rules": OP4, "op10_warc": OP10}
+ORACLES = {"op1_benchmark_decontamination": OP1, "op3_url_filters": OP3, "op4_quality_rules": OP4, "op10_warc": OP10}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
+from lintmill.llm.decontaminate import covered, find_hits
 from lintmill.llm.html_extract import extract_text
 from lintmill.llm.pii import KINDS, find_spans, spans_text
 from lintmill.llm.quality_rules import judge_quality
@@ -16,6 +17,19 @@ from lintmill.llm.warc import page_facts, round_trip
 URL_RULES = ["block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/"]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = covered(F.col("hits"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -60,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
