@@ -9,6 +9,7 @@ from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
 from lintmill.llm.decontaminate import covered, find_hits
 from lintmill.llm.html_extract import extract_text
+from lintmill.llm.language_id import held_out, identify, train
 from lintmill.llm.pii import KINDS, find_spans, spans_text
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
@@ -55,6 +56,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_spans(docs)
@@ -78,6 +86,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
