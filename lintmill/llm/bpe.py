@@ -21,19 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import key_of, written
+from lintmill.llm.common import key_of, slices, written
 
 CHUNK = 32_768
 OVERLAP = 1_024
-#: Output batches end at about this many bytes of text.
-SLICE = 4 << 20
 #: Pre-tokens a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,16 +66,13 @@ def _id_lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE bytes."""
-    size, start = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
-        if size >= SLICE:
-            yield batch.slice(start, i + 1 - start)
-            size, start = 0, i + 1
-    if start < batch.num_rows:
-        yield batch.slice(start)
+def _tokens(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {rank: piece for piece, rank in ranks.items()}
+
+
+def _bytes_of(lists: pa.ListArray, token: dict[int, bytes]) -> pa.Array:
+    """The bytes of each list of ids; null for null."""
+    return pa.array([b"".join(map(token.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in lists], pa.binary())
 
 
 class Bpe:
@@ -91,20 +85,22 @@ class Bpe:
         self.ranks = spark.sparkContext.broadcast(ranks)
         self.pattern, self.chunk, self.overlap = pattern, chunk, overlap
 
-    def _map_text(self, df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-        """``keys`` and the ids of every row's text."""
+    def _map_text(self, df: DataFrame, text: str, keys: list[str], back: bool = False) -> DataFrame:
+        """``keys`` and the ids of every row's text; ``back``: and the bytes that the ids stand for."""
         ranks, pattern = self.ranks, self.pattern
+        names = [*keys, "ids", *["decoded"] * back]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = _Encoder(ranks.value, pattern)
+            token = _tokens(ranks.value)
             for batch in batches:
-                for part in _slices(batch, len(keys)):
+                for part in slices(batch, len(keys)):
                     ids = _id_lists([encoder.encode(t or "") for t in part.column(len(keys)).to_pylist()])
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], ids], [*keys, "ids"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], ids, *[_bytes_of(ids, token)] * back], names)
 
         chosen = df.select(*keys, F.col(text).alias("_text"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-        return chosen.mapInArrow(run, f"{schema}, ids array<int>")
+        return chosen.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * back)
 
     def _chunks(self, df: DataFrame) -> DataFrame:
         """Chunks of ``df(_key, _text)`` with the places where their scans begin a pre-token inside the overlaps."""
@@ -152,11 +148,15 @@ class Bpe:
         joined = chunks.select("_key", "chunk", "text", "last").join(starts, ["_key", "chunk"], "left").join(ends, ["_key", "chunk"], "left")
         return joined.select("_key", "chunk", F.substr("text", begin + 1, length).alias("text"))
 
-    def encode(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None) -> DataFrame:
-        """``keys`` (all other columns by default) and ``ids`` array<int> of every row."""
-        keys = [c for c in docs.columns if c not in (text, "ids")] if keys is None else keys
+    def encode(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None, back: bool = False) -> DataFrame:
+        """``keys`` (all other columns by default) and ``ids`` array<int> of every row.
+
+        ``back``: also ``decoded``, the bytes that the ids stand for; short texts
+        are then decoded by the worker that has encoded them.
+        """
+        keys = [c for c in docs.columns if c not in (text, "ids", *["decoded"] * back)] if keys is None else keys
         long = F.coalesce(F.length(F.col(text)) > self.chunk, F.lit(False))
-        short = self._map_text(docs.where(~long), text, keys)
+        short = self._map_text(docs.where(~long), text, keys, back)
         far = docs.where(long).withColumn("_key", key_of(*[F.col(k) for k in keys], F.col(text)))
         chunks = written(self._chunks(far.select("_key", F.col(text).alias("_text"))), "bpe_chunks")
         pieces = written(self._map_text(self._pieces(chunks).where(F.col("text").isNotNull()), "text", ["_key", "chunk"]), "bpe_pieces")
@@ -168,7 +168,8 @@ class Bpe:
         joined = far.select(*keys, "_key").join(whole, "_key", "left")
         stitched = joined.where(F.col("ids").isNotNull()).select(*keys, "ids")
         unseamed = far.join(whole.select("_key"), "_key", "left_anti")
-        return short.unionByName(stitched).unionByName(self._map_text(unseamed, text, keys))
+        stitched = self.decode(stitched) if back else stitched
+        return short.unionByName(stitched).unionByName(self._map_text(unseamed, text, keys, back))
 
     def decode(self, encoded: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
         """The rows with the bytes that their ids stand for."""
@@ -176,11 +177,10 @@ class Bpe:
         place = names.index(ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token = {rank: piece for piece, rank in ranks.value.items()}.__getitem__
+            token = _tokens(ranks.value)
             for batch in batches:
-                lists = batch.column(place)
-                raw = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in lists]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, to])
+                for part in slices(batch, place):
+                    yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(part.column(place), token)], [*names, to])
 
         schema = ", ".join(f"`{c}` {dict(encoded.dtypes)[c]}" for c in names)
         return encoded.select(*names).mapInArrow(run, f"{schema}, `{to}` binary")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintmill.session import written
 
-__all__ = ["broadcast_if_small", "key_of", "let", "lower_ascii", "table", "written"]
+__all__ = ["broadcast_if_small", "key_of", "let", "lower_ascii", "slices", "table", "written"]
 
 #: A side is broadcast only if its measured size stays below this many bytes.
 BROADCAST_BYTES = 64 << 20
 
+#: Python tasks take up about this many bytes of text at a time.
+SLICE_BYTES = 2 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,3 +56,16 @@ def broadcast_if_small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """
     size = df.agg(F.coalesce(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` bytes (of a list: elements) in the column."""
+    values, size, start = batch.column(column), 0, 0
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    for i, n in enumerate(length(values).to_pylist()):
+        size += n or 0
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            size, start = 0, i + 1
+    if start < batch.num_rows:
+        yield batch.slice(start)
