@@ -10,6 +10,7 @@ from lintmill.llm.common import table
 from lintmill.llm.decontaminate import covered, find_hits
 from lintmill.llm.html_extract import extract_text
 from lintmill.llm.language_id import held_out, identify, train
+from lintmill.llm.ngram_join import join_components
 from lintmill.llm.pii import KINDS, find_spans, spans_text
 from lintmill.llm.quality_rules import judge_quality
 from lintmill.llm.url_filter import judge_urls
@@ -63,6 +64,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(table(spark, sf_dir, "documents")).drop("key", "root")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_spans(docs)
@@ -87,6 +92,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
