@@ -116,23 +116,28 @@ def records_of(page_id: int | None, uri: str, payload: bytes, digest: str, copy:
 def write_archive(pages: DataFrame, path: str, payload: str = "html", date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT) -> None:
     """Archive files of ``pages(page_id, url, payload)`` in the folder ``path``.
 
-    First the digests alone are grouped; then the pages move once, by page and
-    digest, to meet the ids that they revisit. No key there is hot.
+    The digests alone are grouped. Pages that revisit another, or that stand in
+    the table more than once, are marked; the marks are broadcast if measured
+    small, else the pages move once, by page and digest, where no key is hot.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("uri"), body.alias("payload"))
     full = full.withColumn("digest", F.sha2("payload", 256))
-    slim = written(full.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest"), "warc_digests")
-    groups = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
+    slim = written(full.select("page_id", "digest", (F.octet_length("payload") >= REVISIT_BYTES).alias("large")), "warc_digests")
+    per = slim.groupBy("page_id", "digest", "large").agg((F.count(F.lit(1)) > 1).alias("again"))
+    groups = per.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     groups = broadcast_if_small(written(groups, "warc_groups"), 128)
-    revisits = slim.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
-    placed = full.join(
-        revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first"),
-        F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")),
-        "left",
-    )
+    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    marks = per.join(groups, "digest", "left").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), first.alias("first"), "again")
+    marks = broadcast_if_small(written(marks.where(F.col("first").isNotNull() | F.col("again")), "warc_marks"), 160)
+    placed = full.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
+    again = F.coalesce("again", F.lit(False))
+    columns = ["page_id", "uri", "payload", "digest"]
     copies = Window.partitionBy("page_id", "digest").orderBy("uri")
-    rows = placed.select("page_id", "uri", "payload", "digest", F.row_number().over(copies).alias("copy"), "first")
+    rows = (
+        placed.where(~again).select(*columns, F.lit(1).alias("copy"), "first")
+        .unionByName(placed.where(again).select(*columns, F.row_number().over(copies).alias("copy"), "first"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +186,15 @@ def _parsed_file(data: bytes, file: str) -> Iterator[dict]:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archive files in ``path``."""
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch], blocks: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for file, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size += len(value)
                 if value.strip():
-                    rows.append(_parsed(value, file) or dict.fromkeys(_RECORDS.names) | {"file": file, "whole": False})
+                    row = _parsed(value, file) or dict.fromkeys(_RECORDS.names) | {"file": file, "whole": False}
+                    if blocks or not row["whole"]:
+                        rows.append(row if blocks else row | {"block": None})
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_pylist(rows, _RECORDS)
                     rows, size = [], 0
@@ -201,12 +208,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     text = spark.read.option("lineSep", MARK.decode()).text(path)
     cut = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    found = written(cut.mapInArrow(pieces, RECORDS), "warc_records")
-    broken = [r["file"] for r in found.where(~F.col("whole")).select("file").distinct().collect()]  # names of files
+    # The first pass looks for broken pieces only; writing the records instead would store the archive twice.
+    torn = cut.mapInArrow(lambda batches: pieces(batches, False), RECORDS).select("file").distinct()
+    broken = [r["file"] for r in torn.collect()]  # names of files
     if not broken:
-        return found
+        return cut.mapInArrow(lambda batches: pieces(batches, True), RECORDS)
     again = spark.read.format("binaryFile").load(broken).select("path", "content").mapInArrow(files, RECORDS)
-    return found.where(~F.col("file").isin(broken)).unionByName(again)
+    return cut.where(~F.col("file").isin(broken)).mapInArrow(lambda batches: pieces(batches, True), RECORDS).unionByName(again)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
