@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import key_of, slices, written
+from lintmill.llm.common import fresh, key_of, slices, written
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -98,7 +98,7 @@ class Bpe:
                     ids = _id_lists([encoder.encode(t or "") for t in part.column(len(keys)).to_pylist()])
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], ids, *[_bytes_of(ids, token)] * back], names)
 
-        chosen = df.select(*keys, F.col(text).alias("_text"))
+        chosen = df.select(*keys, F.col(text))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
         return chosen.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * back)
 
@@ -157,17 +157,19 @@ class Bpe:
         keys = [c for c in docs.columns if c not in (text, "ids", *["decoded"] * back)] if keys is None else keys
         long = F.coalesce(F.length(F.col(text)) > self.chunk, F.lit(False))
         short = self._map_text(docs.where(~long), text, keys, back)
-        far = docs.where(long).withColumn("_key", key_of(*[F.col(k) for k in keys], F.col(text)))
-        chunks = written(self._chunks(far.select("_key", F.col(text).alias("_text"))), "bpe_chunks")
+        # Below, a row of a long text is known by its digest; its other columns wait in ``far``.
+        own = fresh(docs, "_key")
+        far = docs.where(long).withColumn(own, key_of(*[F.col(k) for k in keys], F.col(text)))
+        chunks = written(self._chunks(far.select(F.col(own).alias("_key"), F.col(text).alias("_text"))), "bpe_chunks")
         pieces = written(self._map_text(self._pieces(chunks).where(F.col("text").isNotNull()), "text", ["_key", "chunk"]), "bpe_pieces")
         counts = chunks.groupBy("_key").agg(F.max("chunk").alias("most"))
         # One text's pieces; the set drops those of repeated rows.
         whole = pieces.groupBy("_key").agg(F.collect_set(F.struct("chunk", "ids")).alias("parts")).join(counts, "_key")
         whole = whole.where(F.size("parts") == F.col("most") + 1)
         whole = written(whole.select("_key", F.flatten(F.sort_array("parts")["ids"]).alias("ids")), "bpe_long")
-        joined = far.select(*keys, "_key").join(whole, "_key", "left")
-        stitched = joined.where(F.col("ids").isNotNull()).select(*keys, "ids")
-        unseamed = far.join(whole.select("_key"), "_key", "left_anti")
+        whole = whole.withColumnRenamed("_key", own)
+        stitched = far.select(*keys, own).join(whole, own).select(*keys, "ids")
+        unseamed = far.join(whole.select(own), own, "left_anti")
         stitched = self.decode(stitched) if back else stitched
         return short.unionByName(stitched).unionByName(self._map_text(unseamed, text, keys, back))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lintmill.session import written
 
-__all__ = ["broadcast_if_small", "key_of", "let", "lower_ascii", "slices", "table", "written"]
+__all__ = ["broadcast_if_small", "fresh", "key_of", "let", "lower_ascii", "slices", "table", "written"]
 
 #: A side is broadcast only if its measured size stays below this many bytes.
 BROADCAST_BYTES = 64 << 20
@@ -35,6 +35,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     plain = F.octet_length(text) == F.length(text)

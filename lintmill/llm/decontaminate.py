@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import BROADCAST_BYTES, key_of, let, lower_ascii, written
+from lintmill.llm.common import BROADCAST_BYTES, fresh, key_of, let, lower_ascii, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -152,8 +152,9 @@ def covered(hits: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), **sizes: int) -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    bad = find_hits(docs, items, text, keys, **sizes).where(F.size("hits") > 0).select(F.col("key").alias("_key")).distinct()
+    name = fresh(docs, "_key")
+    bad = find_hits(docs, items, text, keys, **sizes).where(F.size("hits") > 0).select(F.col("key").alias(name)).distinct()
     bad = written(bad, "contaminated")
     count = bad.count()
     bad = F.broadcast(bad) if count * 64 <= BROADCAST_BYTES else bad
-    return docs.join(bad, key_of(*[F.col(k) for k in keys], F.col(text)) == F.col("_key"), "left_anti")
+    return docs.join(bad, key_of(*[F.col(k) for k in keys], F.col(text)) == F.col(name), "left_anti")

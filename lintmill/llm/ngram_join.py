@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import broadcast_if_small, key_of, slices, written
+from lintmill.llm.common import broadcast_if_small, fresh, key_of, slices, written
 from lintmill.llm.graph import components
 
 N = 4
@@ -294,12 +294,12 @@ def keep_one(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_
     first = F.struct(F.col(keys[0]).isNull().alias("null"), F.col(keys[0]).alias("id"), F.col("key").alias("key"))
     stays = found.groupBy("root").agg(F.min(first)["key"].alias("key"))
     stays = written(stays, "stays")
-    lost = found.select("key").distinct().join(stays.select("key"), "key", "left_anti").select(F.col("key").alias("_key"), F.lit(True).alias("_lost"))
+    own, key, gone = fresh(docs, "_own"), fresh(docs, "_key"), fresh(docs, "_lost")
+    lost = found.select("key").distinct().join(stays.select("key"), "key", "left_anti").select(F.col("key").alias(key), F.lit(True).alias(gone))
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(stays.select("key"), "key", "left_semi")
-    marks = written(lost.unionByName(again.select(F.col("key").alias("_key"), F.lit(False).alias("_lost"))), "join_marks")
+    marks = written(lost.unionByName(again.select(F.col("key").alias(key), F.lit(False).alias(gone))), "join_marks")
     marks = broadcast_if_small(marks, 80)
-    own = key_of(*[F.col(k) for k in keys], F.col(text))
-    placed = docs.withColumn("_own", own).join(marks, F.col("_own") == F.col("_key"), "left")
-    once = placed.where("_lost is null").select(*docs.columns)
-    twice = placed.where("not _lost").dropDuplicates(["_own"]).select(*docs.columns)
+    placed = docs.withColumn(own, key_of(*[F.col(k) for k in keys], F.col(text))).join(marks, F.col(own) == F.col(key), "left")
+    once = placed.where(F.col(gone).isNull()).select(*docs.columns)
+    twice = placed.where(~F.col(gone)).dropDuplicates([own]).select(*docs.columns)
     return once.unionByName(twice)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import broadcast_if_small, key_of, written
+from lintmill.llm.common import broadcast_if_small, fresh, key_of, written
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -179,7 +179,8 @@ def disclosing(scanned: DataFrame, together: int = MIN_TOGETHER, disclosure: flo
 
 def find_spans(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
     """``keys``, ``key`` (a digest of keys and text) and ``spans`` array<struct<start,end,kind>> of every row, sorted."""
-    scanned = written(scan(docs, text, keys), "pii_scan")
+    renamed = docs.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col(text).alias("text"))
+    scanned = written(scan(renamed, "text", tuple(f"k_{k}" for k in keys)), "pii_scan")
     revealing = written(disclosing(scanned, **limits), "pii_revealing")
     revealing = broadcast_if_small(revealing, F.octet_length("entity") + F.octet_length("term") + 64)
     rows = scanned.where("word is null")
@@ -190,7 +191,7 @@ def find_spans(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("do
     both = F.concat("spans", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
     ordered = F.transform(both, lambda s: F.struct(s["start"].alias("start"), kind_place(s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.sort_array(ordered), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return rows.select(*keys, "key", "spans").join(added, "key", "left").select(*keys, "key", spans.alias("spans"))
+    return rows.join(added, "key", "left").select(*[F.col(f"k_{k}").alias(k) for k in keys], "key", spans.alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -217,10 +218,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
     """The rows of ``docs`` with the text sanitised; rows without spans don't move unless there are many with."""
+    key, spans = fresh(docs, "_key"), fresh(docs, "_spans")
     found = find_spans(docs, text, keys, **limits).where(F.size("spans") > 0)
-    found = written(found.dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "pii_spans")
-    found = broadcast_if_small(found, F.size("_spans") * 40 + 96)
-    joined = docs.join(found, key_of(*[F.col(k) for k in keys], F.col(text)) == F.col("_key"), "left").drop("_key")
+    found = written(found.dropDuplicates(["key"]).select(F.col("key").alias(key), F.col("spans").alias(spans)), "pii_spans")
+    found = broadcast_if_small(found, F.size(spans) * 40 + 96)
+    joined = docs.join(found, key_of(*[F.col(k) for k in keys], F.col(text)) == F.col(key), "left").drop(key)
     names = docs.columns
     place = names.index(text)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import broadcast_if_small, let, written
+from lintmill.llm.common import broadcast_if_small, fresh, let, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A source is dropped if its posterior failure rate less Z deviations is this high.
@@ -115,13 +115,15 @@ def bad_sources(outcomes: DataFrame, source: str, limit: float = MAX_FAILURES, z
     return by.where(surely >= limit).select("_source", F.lit(True).alias("_bad"))
 
 
-def with_verdicts(measured: DataFrame, source: str, m: str) -> DataFrame:
-    """``measured`` with ``base_failed`` and ``kept``; ``m`` names its struct of measures."""
-    bad = written(bad_sources(measured.select(source, failed(F.col(m)).alias("failed")), source), "bad_sources")
-    bad = broadcast_if_small(bad, F.coalesce(F.octet_length("_source"), F.lit(0)) + 32)
-    joined = measured.join(bad, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
-    base = base_failed(F.col(m))
-    return joined.select(*measured.columns, base.alias("base_failed"), (~base & F.col("_bad").isNull()).alias("kept"))
+def with_verdicts(measured: DataFrame, source: str, m: str) -> tuple[DataFrame, Column]:
+    """``measured`` joined with its sources' verdicts, and whether a row is kept; ``m`` names its struct of measures."""
+    outcomes = measured.select(F.col(source).alias("source"), failed(F.col(m)).alias("failed"))
+    bad = written(bad_sources(outcomes, "source"), "bad_sources")
+    name, mark = fresh(measured, "_source"), fresh(measured, "_bad")
+    bad = bad.select(F.col("_source").alias(name), F.col("_bad").alias(mark))
+    bad = broadcast_if_small(bad, F.coalesce(F.octet_length(name), F.lit(0)) + 32)
+    joined = measured.join(bad, F.col(source).eqNullSafe(F.col(name)), "left")
+    return joined, ~base_failed(F.col(m)) & F.col(mark).isNull()
 
 
 def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -131,8 +133,8 @@ def judge_quality(docs: DataFrame, text: str = "text", source: str = "source", k
     the shared folder and serve both the sums by source and the verdicts.
     """
     slim = docs.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col(source).cast("string").alias("src"), measures(F.col(text)).alias("m"))
-    judged = with_verdicts(written(slim, "measures"), "src", "m")
-    return judged.select(*[F.col(f"k_{k}").alias(k) for k in keys], "m.*", "base_failed", "kept")
+    judged, kept = with_verdicts(written(slim, "measures"), "src", "m")
+    return judged.select(*[F.col(f"k_{k}").alias(k) for k in keys], "m.*", base_failed(F.col("m")).alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -141,5 +143,6 @@ def keep_good(docs: DataFrame, text: str = "text", source: str = "source") -> Da
     Reads the texts twice instead of joining verdicts to them: first for the
     sums by source, then to filter. No text is shuffled.
     """
-    measured = docs.select("*", measures(F.col(text)).alias("_m"), F.col(source).cast("string").alias("_src"))
-    return with_verdicts(measured, "_src", "_m").where("kept").select(*docs.columns)
+    m, src = fresh(docs, "_m"), fresh(docs, "_src")
+    judged, kept = with_verdicts(docs.select("*", measures(F.col(text)).alias(m), F.col(source).cast("string").alias(src)), src, m)
+    return judged.where(kept).select(*docs.columns)

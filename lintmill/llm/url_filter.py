@@ -20,7 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import broadcast_if_small, lower_ascii, written
+from lintmill.llm.common import broadcast_if_small, fresh, lower_ascii, written
 
 #: Second-level labels that act as part of the suffix below a country code.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -161,11 +161,12 @@ def judge_urls(pages: DataFrame, rules: list[str], threshold: float = 0.5, z: fl
     clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     # A column of that name that came with the pages gives way to ours.
     placed = pages.drop(*clash).select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    placed = placed.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), parsed))
-    bad = F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int"))
+    rule, name = fresh(placed, "_rule"), fresh(placed, "_host")
+    placed = placed.withColumn(rule, matching_rule(F.col("host"), F.col("path"), parsed))
+    bad = F.when(F.col(rule).isNotNull(), (F.col(rule)["verdict"] == "block").cast("int"))
     rates = reputation(placed.select("host", bad.alias("bad")))
-    blocked = written(rates.where(lower_bound(F.col("alpha"), F.col("beta"), z) >= threshold).select(F.col("host").alias("_host")), "blocked_hosts")
-    blocked = broadcast_if_small(blocked, F.octet_length("_host") + 32)
-    out = placed.join(blocked, F.col("host") == F.col("_host"), "left")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_host").isNotNull(), "block").otherwise("allow"))
-    return out.select(*[c for c in placed.columns if c != "_rule"], F.col("_rule.text").alias("rule"), verdict.alias("verdict"))
+    blocked = written(rates.where(lower_bound(F.col("alpha"), F.col("beta"), z) >= threshold).select(F.col("host").alias(name)), "blocked_hosts")
+    blocked = broadcast_if_small(blocked, F.octet_length(name) + 32)
+    out = placed.join(blocked, F.col("host") == F.col(name), "left")
+    verdict = F.coalesce(F.col(rule)["verdict"], F.when(F.col(name).isNotNull(), "block").otherwise("allow"))
+    return out.select(*[c for c in placed.columns if c != rule], F.col(rule)["text"].alias("rule"), verdict.alias("verdict"))
