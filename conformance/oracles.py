@@ -46,19 +46,22 @@ ORACLES["filter_ignored_ext"] = f"select doc_id from documents where {_EXT_KEPT}
 _USER = "(doc_id % 100)"
 _MAX_SIZE = f"case {_USER} % 6 when 3 then 2000 when 5 then 4096 else 1048576 end"
 _USER_EXISTS = f"{_USER} in (select c_custkey from customer)"
+# A user without a row has the defaults.
+_KIND = f"(case when {_USER_EXISTS} then {_USER} % 6 else 0 end)"
+_MAX_OR_DEFAULT = f"case {_KIND} when 3 then 2000 when 5 then 4096 else 1048576 end"
 ORACLES["filter_size"] = f"select doc_id from documents where {_USER_EXISTS} and n_chars <= {_MAX_SIZE}"
 ORACLES["analyzable_files"] = f"""
     select doc_id, 'u' || {_USER} as user_id, {_LANGUAGE} as language from documents
-    where {_USER_EXISTS} and n_chars <= {_MAX_SIZE} and {_LANGUAGE} <> 'unknown'
-      and case {_USER} % 6
+    where n_chars <= {_MAX_OR_DEFAULT} and {_LANGUAGE} <> 'unknown'
+      and case {_KIND}
         when 2 then doc_id % 9 not in (0, 6, 7)   -- src, src/build/x, a/b/c
         when 5 then doc_id % 9 <> 4               -- lib/venv2
         else {_FOLDER_KEPT} end
-      and case {_USER} % 6
+      and case {_KIND}
         when 3 then doc_id % 17 not in (0, 3, 11) -- .py, .ts, .PY
         when 5 then doc_id % 17 <> 6              -- .go
         else true end
-      and ({_USER} % 6 <> 5 or doc_id % 9 not in (4, 1) or doc_id % 9 = 1 and false)"""
+      and ({_KIND} <> 5 or doc_id % 9 not in (4, 1) or doc_id % 9 = 1 and false)"""
 
 _OWN = "c_custkey % 6"
 _D = DEFAULT_SETTINGS
@@ -692,6 +695,19 @@ ORACLES["resolve_accounts"] = f"""
         when kind = 0 then last_name
         else coalesce(full_name, first_name) end as full_name,
       github_id, github_username, avatar_url, 'github' as auth_provider from m"""
+ORACLES["merge_accounts"] = f"""
+    with {V.oracle_ctes("users_v")},
+    p as (select s_suppkey as k, s_suppkey % 4 as kind, s_name, 'name' || s_suppkey as username,
+      case when s_suppkey % 4 = 0 then s_suppkey * 3 else 1000000 + s_suppkey end as github_id,
+      case when s_suppkey % 4 = 1 then 'c' || s_suppkey || '@x.io' else 's' || s_suppkey || '@y.io' end as email
+      from supplier where s_suppkey % 5 <> 0),
+    m as (select p.*, u.id, u.full_name as old_name, u.auth_provider as old_provider from p left join users_v u
+      on (kind = 0 and u.github_id = p.github_id) or (kind = 1 and u.email = p.email))
+    select coalesce(m.id, 'new') as id, email, case when id is null or kind = 0 then s_name else coalesce(nullif(old_name, ''), s_name) end as full_name,
+      github_id, username as github_username, case when kind = 1 and old_provider <> 'local' then old_provider else 'github' end as auth_provider from m
+    union all
+    select id, email, full_name, github_id, github_username, auth_provider from users_v
+    where id not in (select id from m where id is not null)"""
 ORACLES["register_accounts"] = """
     with q as (select o_orderkey as seq, o_custkey as k, row_number() over (partition by o_custkey order by o_orderkey) as rn
       from orders)

@@ -884,6 +884,26 @@ def resolve_accounts(spark, sf):
     return resolved.withColumn("user_id", F.when(F.col("action") != "create", F.col("user_id")))
 
 
+@query
+def merge_accounts(spark, sf):
+    """The users table after profiles of which every fifth supplier's have no usable address."""
+    profiles = spark.sql(
+        """select case s_suppkey % 4 when 0 then s_suppkey * 3 else 1000000 + s_suppkey end as github_id,
+             'name' || cast(s_suppkey as string) as username, if(s_suppkey % 2 = 0, '', cast(null as string)) as email,
+             array(named_struct('email', case when s_suppkey % 4 = 1 then 'C' || cast(s_suppkey as string) || '@X.io'
+               else 's' || cast(s_suppkey as string) || '@y.io' end, 'primary', true, 'verified', s_suppkey % 5 <> 0)) as emails,
+             s_name as full_name, 'http://a' as avatar_url, s_suppkey as seq from {supplier}""",
+        supplier=V.table(spark, sf, "supplier"),
+    )
+    users = V.catalogue(spark, sf, "users_v")
+    resolved = maintenance.resolve_accounts(users, maintenance.with_primary_email(profiles))
+    merged = maintenance.merge_accounts(users, resolved, F.lit("2030-01-01").cast("timestamp"))
+    known = users.select(F.col("id").alias("_id"))
+    return merged.join(known, F.col("id") == F.col("_id"), "left").select(
+        F.coalesce("_id", F.lit("new")).alias("id"), "email", "full_name", "github_id", "github_username", "auth_provider"
+    )
+
+
 @query
 def register_accounts(spark, sf):
     """Sign-ups with an address by order customer: known for even keys."""

@@ -57,7 +57,7 @@ def parse_repo_ref(source: Column) -> Column:
         short = let(_short_parts(text), lambda p: _from_parts(p, 0, F.lit(False)))
         url = let(_url_parts(text), lambda p: _from_parts(p, 1, ~F.get(p, F.lit(0)).isin(HOSTS)))
         return (
-            F.when(text == "", failed("empty"))
+            F.when(text.isNull() | (text == ""), failed("empty"))
             .when(text.rlike(FORBIDDEN), failed("forbidden_character"))
             .when(is_short, short)
             .otherwise(url)

@@ -117,11 +117,14 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
 
     Returns one row per touched account: action (update, link, create), user_id and
     the values the account has afterwards.  Matching looks at ``users`` as given.
+    A profile without an address touches nothing: each comes back with the action
+    ``rejected`` and no user, also if its github_id is known.
     A profile that comes twice counts once, the last time; several profiles with
     one e-mail address end in one account that holds the last one's link and the
     first name given.
     """
-    latest = first_per_key(profiles, ["github_id"], [F.desc("seq")]).drop("_rank")
+    addressed = F.coalesce(F.col("email"), F.lit("")) != ""
+    latest = first_per_key(profiles.where(addressed), ["github_id"], [F.desc("seq")]).drop("_rank")
     by_id = users.where(F.col("github_id").isNotNull()).select(
         "github_id", F.col("id").alias("_id"), F.col("full_name").alias("_name")
     )
@@ -165,19 +168,70 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("_last.avatar_url").alias("avatar_url"),
         provider.alias("auth_provider"),
     )
-    return updated.unionByName(others)
+    nothing = F.lit(None).cast("string")
+    rejected = profiles.where(~addressed).select(
+        F.lit("rejected").alias("action"),
+        nothing.alias("user_id"),
+        nothing.alias("email"),
+        name.alias("full_name"),
+        "github_id",
+        F.col("username").alias("github_username"),
+        "avatar_url",
+        nothing.alias("auth_provider"),
+    )
+    return updated.unionByName(others).unionByName(rejected)
+
+
+def merge_accounts(users: DataFrame, resolved: DataFrame, at: Column) -> DataFrame:
+    """The ``users`` table after the decisions of ``resolve_accounts``.
+
+    Accounts that were updated or linked get their new values, created ones are
+    added without a password, rejected profiles leave no trace.
+    """
+    changed = ["email", "full_name", "github_id", "github_username", "avatar_url", "auth_provider"]
+    touched = resolved.where(F.col("action").isin("update", "link", "create"))
+    new = touched.select(F.col("user_id").alias("id"), F.struct("action", *changed).alias("_new"))
+    joined = users.join(new.where(F.col("_new.action") != "create"), "id", "left")
+    hit = F.col("_new").isNotNull()
+    kept = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in changed}
+    kept["updated_at"] = F.when(hit, at).otherwise(F.col("updated_at"))
+    old = joined.select(*[kept.get(c, F.col(c)).alias(c) for c in users.columns])
+    added = {c: F.col(f"_new.{c}") for c in changed}
+    added |= {"id": F.col("id"), "hashed_password": F.lit(None).cast("string"), "is_active": F.lit(True)}
+    added |= {"created_at": at, "updated_at": at}
+    created = new.where(F.col("_new.action") == "create")
+    return old.unionByName(created.select(*[added[c].alias(c) for c in users.columns]))
+
+
+def new_users(decided: DataFrame, at: Column) -> DataFrame:
+    """Rows to append for the sign-ups (with hashed_password) that were registered."""
+    nothing = F.lit(None).cast("string")
+    return decided.where(F.col("outcome") == "registered").select(
+        stable_id("email").alias("id"),
+        "email",
+        "hashed_password",
+        "full_name",
+        F.lit(None).cast("long").alias("github_id"),
+        nothing.alias("github_username"),
+        nothing.alias("avatar_url"),
+        F.lit("local").alias("auth_provider"),
+        F.lit(True).alias("is_active"),
+        at.alias("created_at"),
+        at.alias("updated_at"),
+    )
 
 
 def register_accounts(users: DataFrame, requests: DataFrame) -> DataFrame:
-    """Decide sign-ups (seq, email, full_name): registered or duplicate_email."""
-    lowered = requests.withColumn("email", F.lower("email"))
+    """Decide sign-ups (seq, email, ...): registered, duplicate_email, or rejected for want of an address."""
+    every = requests.withColumn("email", F.nullif(F.lower("email"), F.lit("")))
+    lowered = every.where(F.col("email").isNotNull())
+    rejected = every.where(F.col("email").isNull()).withColumn("outcome", F.lit("rejected"))
     taken = users.select("email").distinct().withColumn("_taken", F.lit(True))
     firsts = lowered.groupBy("email").agg(F.min("seq").alias("_first")).join(taken, "email", "left")
     judged = salted_join(lowered, firsts, ["email"], ["seq"], "inner")
     free = F.col("_taken").isNull() & (F.col("seq") == F.col("_first"))
-    return judged.select(
-        "seq", "email", "full_name", F.when(free, "registered").otherwise("duplicate_email").alias("outcome")
-    )
+    outcome = F.when(free, "registered").otherwise("duplicate_email").alias("outcome")
+    return judged.select(*requests.columns, outcome).unionByName(rejected.select(*requests.columns, "outcome"))
 
 
 # ---- deletes ----------------------------------------------------------------

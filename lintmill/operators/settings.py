@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.functions.text import csv_list, strip, unicode_pattern
@@ -35,13 +37,30 @@ def settings_lists(effective: DataFrame) -> DataFrame:
     ).withColumn("ignored_extension_list", csv_list(F.col("ignored_extensions")))
 
 
-def patch_settings(settings: DataFrame, patches: DataFrame) -> DataFrame:
+def check_patches(patches: DataFrame) -> DataFrame:
+    """Add ``error`` to patches (user_id, seq, changes); null means accepted.
+
+    A patch is accepted or refused whole.  A size that is no number is refused.
+    """
+    value = {f: F.try_element_at("changes", F.lit(f)) for f in FIELDS}
+    size = F.nullif(value[SIZE_FIELD], F.lit(""))
+    read = patches.select(
+        "*", F.struct(*[value[f].alias(f) for f in TEXT_FIELDS], size.try_cast("int").alias(SIZE_FIELD)).alias("_p")
+    )
+    number = F.when(size.isNotNull() & size.try_cast("int").isNull(), "size_not_a_number")
+    return read.withColumn("error", F.coalesce(number, _error(lambda f: F.col("_p")[f]))).drop("_p")
+
+
+def patch_settings(settings: DataFrame, patches: DataFrame, at: Column | None = None) -> DataFrame:
     """Apply patches (user_id, seq, changes map<string,string>) in order of seq.
 
     A field not named is kept, null or empty clears it, anything else sets it.
     Per field the last patch that names it decides, so a user's patches fold in
-    one aggregation; a user without a row gets one.
+    one aggregation; a user without a row gets one.  Patches that
+    ``check_patches`` refuses change nothing.  With ``at`` the rows are complete
+    rows of the settings table: those of patched users are stamped with it.
     """
+    patches = check_patches(patches).where(F.col("error").isNull())
 
     def last(field: str):
         changes = F.col("changes")
@@ -53,23 +72,31 @@ def patch_settings(settings: DataFrame, patches: DataFrame) -> DataFrame:
         ).alias(f"_{field}")
 
     folded = patches.groupBy("user_id").agg(*[last(f) for f in FIELDS])
-    joined = settings.select("user_id", *FIELDS).join(folded, "user_id", "full_outer")
+    stamps = ["created_at", "updated_at"] if at is not None else []
+    folded = folded.withColumn("_patched", F.lit(True))
+    joined = settings.select("user_id", *FIELDS, *stamps).join(folded, "user_id", "full_outer")
     columns = []
     for f in FIELDS:
         value = F.nullif(F.col(f"_{f}.value"), F.lit(""))
-        value = value.cast("int") if f == SIZE_FIELD else value
+        value = value.try_cast("int") if f == SIZE_FIELD else value
         columns.append(F.when(F.col(f"_{f}").isNotNull(), value).otherwise(F.col(f)).alias(f))
+    if at is not None:
+        columns.append(F.coalesce("created_at", at).alias("created_at"))
+        columns.append(F.when(F.col("_patched"), at).otherwise(F.col("updated_at")).alias("updated_at"))
     return joined.select("user_id", *columns)
 
 
-def validate_settings(updates: DataFrame) -> DataFrame:
-    """Add ``error`` to settings updates; null means accepted."""
-    url, model, size = F.col("ollama_base_url"), F.col("ollama_model"), F.col(SIZE_FIELD)
+def _error(field: Callable[[str], Column]) -> Column:
+    url, model, size = field("ollama_base_url"), field("ollama_model"), field(SIZE_FIELD)
     bad_scheme = (url != "") & ~strip(url).rlike(unicode_pattern("^(?i)https?://"))
-    error = (
+    return (
         F.when(F.length(url) > 512, "url_too_long")
         .when(F.length(model) > 128, "model_too_long")
         .when((size < MIN_FILE_SIZE_SETTING) | (size > MAX_FILE_SIZE_SETTING), "size_out_of_range")
         .when(bad_scheme, "url_scheme")
     )
-    return updates.withColumn("error", error)
+
+
+def validate_settings(updates: DataFrame) -> DataFrame:
+    """Add ``error`` to settings updates; null means accepted."""
+    return updates.withColumn("error", _error(F.col))

@@ -185,8 +185,22 @@ COLUMN_DEFAULTS = {
 
 # Longest value each text column may hold.
 MAX_LENGTHS = {
-    "users": {"email": 255},
-    "repositories": {"url": 512, "owner": 255, "name": 255, "local_path": 1024, "status": 32},
+    "users": {
+        "email": 255,
+        "hashed_password": 255,
+        "full_name": 255,
+        "github_username": 255,
+        "avatar_url": 512,
+        "auth_provider": 32,
+    },
+    "repositories": {
+        "url": 512,
+        "owner": 255,
+        "name": 255,
+        "default_branch": 255,
+        "local_path": 1024,
+        "status": 32,
+    },
     "reviews": {"status": 32, "review_type": 32, "ai_model": 128},
     "review_issues": {
         "file_path": 1024,
@@ -196,6 +210,7 @@ MAX_LENGTHS = {
         "title": 255,
     },
     "file_analysis_results": {"file_path": 1024, "language": 64},
+    "user_settings": {"ollama_base_url": 512, "ollama_model": 128},
 }
 
 VALUE_DOMAINS = {

@@ -24,7 +24,8 @@ def analyzable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame
     """Files (file_path, size_bytes, ...) that are to be analysed, with ``language``.
 
     With ``settings`` (see ``effective_settings``) each file is held against the
-    limits of its ``user_id``; otherwise against the defaults.
+    limits of its ``user_id``; otherwise, and for users not in it, against the
+    defaults.
     """
     columns = [c for c in files.columns if c != "language"]
     if settings is None:
@@ -41,7 +42,9 @@ def analyzable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame
             F.col("ignored_extensions").alias("_extensions"),
             F.col("max_file_size_bytes").alias("_max"),
         )
-        limited = files.select(*columns).join(limits, "user_id")
+        joined = files.select(*columns).join(limits, "user_id", "left")
+        defaults = {"_folders": "ignored_folders", "_extensions": "ignored_extensions", "_max": "max_file_size_bytes"}
+        limited = joined.withColumns({c: F.coalesce(c, F.lit(DEFAULT_SETTINGS[f])) for c, f in defaults.items()})
     path = F.col("file_path")
     language = language_of(path)
     keep = (
