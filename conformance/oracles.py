@@ -560,24 +560,29 @@ _MARKDOWN = f"""
         || coalesce(s.t, '_No issues detected._' || chr(10) || chr(10)) as text, report_markdown
       from rr left join tables t on t.review_id = rr.id left join sections s on s.review_id = rr.id),
     bodies as (select review_id, text[:-2] as body, report_markdown from documents_md)"""
-ORACLES["report_markdown"] = f"with {_MARKDOWN} select review_id, '' as volume, body from bodies"
+ORACLES["report_markdown"] = f"with {_MARKDOWN} select review_id, body from bodies"
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S+00:00')"
+_ISSUE_FIELDS = """concat_ws(':', file_path, line_start, coalesce(line_end::varchar, '-'), category, severity,
+    round(confidence * 1000)::bigint, rule_id, title, explanation, suggestion)"""
 ORACLES["report_json"] = f"""
     with {_RR}, {_ISSUES}, {V.oracle_ctes("file_results_v")},
-    f as (select review_id, md5(string_agg(t, ';' order by t)) as d from (
-      select review_id, concat_ws(':', file_path, issues_count) as t from file_results_v) group by review_id),
-    i as (select review_id, md5(string_agg(t, ';' order by t)) as d from (
-      select review_id, concat_ws(':', file_path, line_start, line_end, severity, title) as t from issues_v) group by review_id)
-    select id as review_id, status, overall_score, strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') as created_at,
-      owner || '/' || name as repository, default_branch, coalesce(f.d, md5('')) as files_digest,
-      coalesce(i.d, md5('')) as issues_digest
+    f as (select review_id, md5(string_agg(concat_ws(':', file_path, language, line_count, issues_count, round(file_score * 1000)::bigint),
+      ';' order by string_split(file_path, '/'))) as d from file_results_v group by review_id),
+    i as (select review_id, md5(string_agg({_ISSUE_FIELDS}, ';' order by string_split(file_path, '/'),
+      line_start, rule_id, title, line_end nulls first, explanation, suggestion)) as d from issues_v group by review_id)
+    select id as review_id, id, repository_id, review_type, status, overall_score, files_analyzed, issues_count, summary, ai_model,
+      error_message, cast(null as varchar) as started_at, {_ISO.format("completed_at")} as completed_at,
+      {_ISO.format("created_at")} as created_at,
+      concat_ws(' ', repository_id, owner, name, url, coalesce(default_branch, '-')) as repository,
+      coalesce(f.d, md5('')) as files_digest, coalesce(i.d, md5('')) as issues_digest
     from rr left join f on f.review_id = rr.id left join i on i.review_id = rr.id"""
 ORACLES["report_bundle"] = f"""
     with {_MARKDOWN}
     select id as review_id, 'markdown' as format, {_file_name("md")} as filename,
-      'text/markdown; charset=utf-8' as media_type, '' as volume, md5(coalesce(b.report_markdown, body)) as digest
+      'text/markdown; charset=utf-8' as media_type, md5(coalesce(b.report_markdown, body)) as digest
     from rr join bodies b on b.review_id = rr.id
-    union all select id, 'json', {_file_name("json")}, 'application/json; charset=utf-8', '', null from rr
-    union all select id, 'summary', {_file_name("summary")}, 'text/plain; charset=utf-8', '', md5({_SUMMARY}) from rr"""
+    union all select id, 'json', {_file_name("json")}, 'application/json; charset=utf-8', null from rr
+    union all select id, 'summary', {_file_name("summary")}, 'text/plain; charset=utf-8', md5({_SUMMARY}) from rr"""
 
 ORACLES["report_stored"] = f"""
     with {_MARKDOWN}

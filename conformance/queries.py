@@ -602,43 +602,56 @@ def report_issue_lines(spark, sf):
 @query
 def report_markdown(spark, sf):
     reviews, repos, _ = _catalogue(spark, sf)
-    return export.export_markdown(reviews, repos, *_children(spark, sf))
+    return reports.whole_texts(export.export_markdown(reviews, repos, *_children(spark, sf)))
 
 
 @query
 def report_json(spark, sf):
+    """All fields of all lists, in their order."""
     reviews, repos, _ = _catalogue(spark, sf)
-    built = export.export_json(reviews, repos, *_children(spark, sf))
-    shape = """review struct<id: string, status: string, overall_score: double, created_at: string>,
-        repository struct<owner: string, name: string, default_branch: string>,
-        file_results array<struct<file_path: string, issues_count: int, file_score: double>>,
-        issues array<struct<file_path: string, line_start: int, line_end: int, severity: string,
-                            confidence: double, title: string>>"""
+    built = reports.whole_texts(export.export_json(reviews, repos, *_children(spark, sf)), commas=True)
+    shape = """review struct<id: string, repository_id: string, review_type: string, status: string, overall_score: double,
+          files_analyzed: int, issues_count: int, summary: string, ai_model: string, error_message: string,
+          started_at: string, completed_at: string, created_at: string>,
+        repository struct<id: string, owner: string, name: string, url: string, default_branch: string>,
+        file_results array<struct<file_path: string, language: string, line_count: int, issues_count: int, file_score: double>>,
+        issues array<struct<file_path: string, line_start: int, line_end: int, category: string, severity: string,
+          confidence: double, rule_id: string, title: string, explanation: string, suggestion: string>>"""
     parsed = built.select("review_id", F.from_json("body", shape, {"mode": "FAILFAST"}).alias("j"))
 
-    def listed(array: str, *fields: str) -> Column:
-        return F.array_join(
-            F.array_sort(F.transform(array, lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields]))), ";"
-        )
+    def text(value: Column, kind: str = "") -> Column:
+        value = F.round(value * 1000).cast("long") if kind == "number" else value
+        return F.coalesce(value.cast("string"), F.lit("-"))
 
+    def listed(array: str, fields: str, numbers: tuple[str, ...]) -> Column:
+        one = lambda e: F.concat_ws(":", *[text(e[f], "number" if f in numbers else "") for f in fields.split()])
+        return F.md5(F.array_join(F.transform(array, one), ";"))
+
+    review = F.col("j.review")
     return parsed.select(
         "review_id",
-        F.col("j.review.status").alias("status"),
-        F.col("j.review.overall_score").alias("overall_score"),
-        F.col("j.review.created_at").alias("created_at"),
-        F.concat("j.repository.owner", F.lit("/"), "j.repository.name").alias("repository"),
-        F.col("j.repository.default_branch").alias("default_branch"),
-        F.md5(listed("j.file_results", "file_path", "issues_count")).alias("files_digest"),
-        F.md5(listed("j.issues", "file_path", "line_start", "line_end", "severity", "title")).alias("issues_digest"),
-    )
+        *[review[f].alias(f) for f in ("id", "repository_id", "review_type", "status", "overall_score", "files_analyzed", "issues_count",
+                                       "summary", "ai_model", "error_message", "started_at", "completed_at", "created_at")],
+        F.concat_ws(" ", *[text(F.col("j.repository")[f]) for f in ("id", "owner", "name", "url", "default_branch")]).alias("repository"),
+        listed("j.file_results", "file_path language line_count issues_count file_score", ("file_score",)).alias("files_digest"),
+        listed(
+            "j.issues", "file_path line_start line_end category severity confidence rule_id title explanation suggestion", ("confidence",)
+        ).alias("issues_digest"),
+    )
 
 
 @query
 def report_bundle(spark, sf):
     reviews, repos, _ = _catalogue(spark, sf)
-    bundle = export.export_reports(reviews, repos, *_children(spark, sf))
+    parts = export.export_reports(reviews, repos, *_children(spark, sf))
+    names = parts.select("review_id", "format", "filename", "media_type").distinct()
+    bodies = [
+        reports.whole_texts(parts.where(F.col("format") == f), commas=f == "json").withColumn("format", F.lit(f))
+        for f in ("markdown", "json", "summary")
+    ]
+    bodies = bodies[0].unionByName(bodies[1]).unionByName(bodies[2])
     digest = F.when(F.col("format") != "json", F.md5("body"))
-    return bundle.select("review_id", "format", "filename", "media_type", "volume", digest.alias("digest"))
+    return names.join(bodies, ["review_id", "format"]).select("review_id", "format", "filename", "media_type", digest.alias("digest"))
 
 
 @query
