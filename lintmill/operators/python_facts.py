@@ -127,31 +127,36 @@ def facts_of(source: str) -> list[dict]:
     return facts
 
 
+FRAME_ROWS = 20_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["review_id", "file_path", *_FACT_FIELDS])
+    for column in ("line_start", "line_end", "complexity"):
+        frame[column] = frame[column].astype("Int32")
+    for column in ("has_docstring", "shell_true"):
+        frame[column] = frame[column].astype("boolean")
+    return frame
+
+
 def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Facts in frames of about FRAME_ROWS rows, however large a batch is."""
+    rows: list[tuple] = []
     for batch in batches:
-        rows = [
-            (review_id, path, *(fact.get(f) for f in _FACT_FIELDS))
-            for review_id, path, source in zip(
-                batch["review_id"], batch["file_path"], batch["content"], strict=True
-            )
-            for fact in facts_of(source)
-        ]
-        frame = pd.DataFrame(rows, columns=["review_id", "file_path", *_FACT_FIELDS])
-        for column in ("line_start", "line_end", "complexity"):
-            frame[column] = frame[column].astype("Int32")
-        for column in ("has_docstring", "shell_true"):
-            frame[column] = frame[column].astype("boolean")
-        yield frame
+        for review_id, path, source in zip(batch["review_id"], batch["file_path"], batch["content"], strict=True):
+            rows += [(review_id, path, *(fact.get(f) for f in _FACT_FIELDS)) for fact in facts_of(source)]
+            if len(rows) >= FRAME_ROWS:
+                yield _frame(rows)
+                rows = []
+    yield _frame(rows)
 
 
 def python_facts(files: DataFrame) -> DataFrame:
     """One row per fact; ``used`` holds those imported names that occur as identifiers.
 
-    Parsing costs far more per byte than moving the text, and a scan task may hold
-    thousands of files.  Hence the files are spread by their key first, into a fixed
-    number of partitions, as adaptive merging would go by bytes again.
+    Files are parsed where they are read: no text is shuffled.  Parsing costs more per
+    byte than reading, so a job over Python text alone does well with small scan splits
+    (``spark.sql.files.maxPartitionBytes``); Spark bounds an Arrow batch by its bytes.
     """
     sources = files.where(F.col("language") == "python").select("review_id", "file_path", "content")
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = sources.repartition(n, "review_id", "file_path")
-    return spread.mapInPandas(_facts_of_batches, FACTS_SCHEMA)
+    return sources.mapInPandas(_facts_of_batches, FACTS_SCHEMA)

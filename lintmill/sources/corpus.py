@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintmill.functions.text import csv_list, decode, language_of, path_key, suffix
-from lintmill.schemas import DEFAULT_SETTINGS, MAX_FILE_SIZE_SETTING
+from lintmill.schemas import DEFAULT_SETTINGS, LANGUAGE_BY_EXTENSION, MAX_FILE_SIZE_SETTING
 
 
 def outside_folders(path: Column, folders: Column) -> Column:
@@ -56,18 +56,25 @@ def analyzable(files: DataFrame, settings: DataFrame | None = None) -> DataFrame
     return limited.where(keep).select(*columns, language.alias("language"))
 
 
-def list_corpus(spark: SparkSession, root: str, repository_depth: int = 0) -> DataFrame:
+def source_glob() -> str:
+    """A file-name pattern of the known extensions, in either case."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in extension.lstrip(".")) for extension in LANGUAGE_BY_EXTENSION]
+    return "*.{" + ",".join(either) + "}"
+
+
+def list_corpus(
+    spark: SparkSession, root: str, repository_depth: int = 0, names: str | None = None
+) -> DataFrame:
     """Every file below ``root``: repository_path, file_path, size_bytes, raw.
 
-    The first ``repository_depth`` path parts name the repository.  No file larger
-    than any user may ask for is opened: the size filter reaches the scan.
+    The first ``repository_depth`` path parts name the repository.  Files whose name
+    does not fit the pattern ``names``, or that are larger than any user may ask for,
+    are not opened: both filters reach the scan.  Nor is any if ``raw`` is not used.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .where(F.col("length") <= MAX_FILE_SIZE_SETTING)
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    found = reader.load(root).where(F.col("length") <= MAX_FILE_SIZE_SETTING)
     plain_root = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     start = F.instr("path", plain_root) + len(plain_root) + 1
     parts = F.split(F.substr("path", start), "/", -1)
@@ -89,13 +96,23 @@ def decoded(listed: DataFrame) -> DataFrame:
 
 
 def read_corpus(
-    spark: SparkSession, root: str, review_id: str | None = None, repository_depth: int = 0
+    spark: SparkSession,
+    root: str,
+    review_id: str | None = None,
+    repository_depth: int = 0,
+    owners: DataFrame | None = None,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
-    """The analysable files below ``root`` as a ``files`` table, default settings.
+    """The analysable files below ``root`` as a ``files`` table.
 
-    ``review_id`` names the review; without it each repository is its own.
+    ``review_id`` names the review; without it each repository is its own.  With
+    ``owners`` (repository_path, user_id) and ``settings`` (see ``effective_settings``)
+    a file is held against its owner's limits, otherwise against the defaults.
     """
-    kept = decoded(analyzable(list_corpus(spark, root, repository_depth)))
+    listed = list_corpus(spark, root, repository_depth, source_glob())
+    if owners is not None:
+        listed = listed.join(owners.select("repository_path", "user_id"), "repository_path", "left")
+    kept = decoded(analyzable(listed, settings if owners is not None else None))
     review = F.lit(review_id) if review_id is not None else F.col("repository_path")
     return kept.select(
         review.alias("review_id"), "file_path", "language", "size_bytes", "content"

@@ -68,3 +68,15 @@ def test_files_of_users_without_settings_have_the_defaults(spark):
     files = spark.createDataFrame([("u1", "a.py", 10), ("u2", "a.py", 10), (None, "a.py", 10), ("u2", "node_modules/a.py", 10)], "user_id string, file_path string, size_bytes long")
     limits = spark.createDataFrame([("u1", "x", ".py", 100)], "user_id string, ignored_folders string, ignored_extensions string, max_file_size_bytes int")
     assert sorted(str(r.user_id) for r in corpus.analyzable(files, limits).collect()) == ["None", "u2"]
+
+
+def test_the_scan_follows_each_owners_settings(spark, tmp_path):
+    for path in ("a/x.PY", "a/lib/y.py", "a/pic.png", "b/x.PY", "b/lib/y.py", "c/lib/y.py", "c/.git/objects/ab"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x = 1\n")
+    owners = spark.createDataFrame([("a", "u1"), ("b", "u2")], "repository_path string, user_id string")
+    limits = spark.createDataFrame([("u1", "lib", "", 100), ("u2", "", ".py", 100)], "user_id string, ignored_folders string, ignored_extensions string, max_file_size_bytes int")
+    files = corpus.read_corpus(spark, str(tmp_path), repository_depth=1, owners=owners, settings=limits)
+    assert sorted((r.review_id, r.file_path) for r in files.collect()) == [("a", "x.PY"), ("c", "lib/y.py")]
+    listed = corpus.list_corpus(spark, str(tmp_path), 1, corpus.source_glob())
+    assert sorted(r.file_path for r in listed.collect()) == ["lib/y.py", "lib/y.py", "lib/y.py", "x.PY", "x.PY"]
