@@ -462,10 +462,10 @@ ORACLES["ai_snippets"] = f"""
 ORACLES["ai_prompts"] = f"""
     with {_SNIPPETS},
     texts as (
-      select review_id, concat_ws(chr(10), 'Review the repository `own/' || review_id || '`.', 'Answer in this form:',
-        '{ai_prepare.ANSWER_FORMAT}', '', 'Source files:',
-        string_agg('--- FILE: ' || file_path || ' ---' || chr(10) || snippet || chr(10), chr(10) order by file_rank),
-        'Answer with JSON only; leave issues empty when there are none.') as t
+      select review_id, concat_ws(chr(10), 'Repository: own/' || review_id, 'Shape of the reply, one JSON object:',
+        '{ai_prepare.ANSWER_FORMAT}', '', 'Numbered files:',
+        string_agg('=== ' || file_path || ' ===' || chr(10) || snippet || chr(10), chr(10) order by file_rank),
+        'Reply with the object alone. Nothing found means an empty list of issues.') as t
       from snippets group by review_id)
     select review_id, length(t) as n_chars, md5(t) as digest from texts"""
 

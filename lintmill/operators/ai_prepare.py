@@ -13,9 +13,10 @@ MAX_FILES = DEFAULT_SETTINGS["ai_max_files"]
 MAX_CHARS = DEFAULT_SETTINGS["ai_max_chars_per_file"]
 
 SYSTEM_PROMPT = (
-    "You review code as an experienced engineer. Report bugs, security risks, needless "
-    "complexity, poor maintainability and missing documentation in the given files, with the "
-    "paths and line numbers shown. Answer with JSON only and report nothing that is not there."
+    "Below are numbered source files of one repository. Find what a maintainer would want to "
+    "fix: wrong behaviour, unsafe input handling, code that is hard to follow or to change, "
+    "undocumented interfaces. Cite each finding by the path and the numbers in front of the "
+    "lines; a finding that no shown line supports is an error. Your reply is read by a program."
 )
 ANSWER_FORMAT = (
     '{"summary": string, "issues": [{"file_path": string, "line_start": integer from 1, '
@@ -86,7 +87,7 @@ def snippets(files: DataFrame, n: int = MAX_FILES, max_chars: int = MAX_CHARS) -
 def prompts(snippet_rows: DataFrame, reviews: DataFrame, repositories: DataFrame) -> DataFrame:
     """review_id, system_prompt, user_prompt.  At most ``n`` bounded snippets each."""
     section = F.concat(
-        F.lit("--- FILE: "), F.col("file_path"), F.lit(" ---\n"), F.col("snippet"), F.lit("\n")
+        F.lit("=== "), F.col("file_path"), F.lit(" ===\n"), F.col("snippet"), F.lit("\n")
     )
     sections = snippet_rows.groupBy("review_id").agg(
         F.array_sort(F.collect_list(F.struct("file_rank", section.alias("text")))).alias("_sections")
@@ -102,8 +103,8 @@ def prompts(snippet_rows: DataFrame, reviews: DataFrame, repositories: DataFrame
         "review_id",
         F.lit(SYSTEM_PROMPT).alias("system_prompt"),
         F.concat(
-            F.lit("Review the repository `"), F.col("_repository"), F.lit("`.\nAnswer in this form:\n"),
-            F.lit(ANSWER_FORMAT), F.lit("\n\nSource files:\n"), body,
-            F.lit("\nAnswer with JSON only; leave issues empty when there are none."),
+            F.lit("Repository: "), F.col("_repository"), F.lit("\nShape of the reply, one JSON object:\n"),
+            F.lit(ANSWER_FORMAT), F.lit("\n\nNumbered files:\n"), body,
+            F.lit("\nReply with the object alone. Nothing found means an empty list of issues."),
         ).alias("user_prompt"),
     )

@@ -63,27 +63,29 @@ def position_within(
     order: Sequence[Column],
     descending: bool,
     name: str = "position",
+    ties: Column | None = None,
 ) -> DataFrame:
     """Add each row's place within its key without sorting a key in one task.
 
     ``bucket`` must rise (or fall) with the first order column, a day for a
-    time.  A place is the number of rows in earlier buckets, a running sum over
+    time.  If it is the first order column itself, ``ties`` may split a bucket further
+    and must rise with the second one.  A place is the number of rows in earlier buckets, a running sum over
     one row per bucket, plus the place within the bucket.
     """
-    bucketed = df.withColumn("_bucket", bucket)
+    bucketed = df.withColumn("_bucket", bucket).withColumn("_ties", F.lit("") if ties is None else ties)
     direction = F.desc("_bucket") if descending else F.asc("_bucket")
     earlier = (
         Window.partitionBy(*keys)
-        .orderBy(direction)
+        .orderBy(direction, F.asc("_ties"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    sizes = bucketed.groupBy(*keys, "_bucket", "_ties").agg(F.count("*").alias("_n"))
     offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *keys, "_bucket", "_ties", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bucket", "_ties").orderBy(*order)
     local = bucketed.withColumn("_local", F.row_number().over(inside))
-    placed = local.join(offsets, [*keys, "_bucket"])
+    placed = local.join(offsets, [*keys, "_bucket", "_ties"])
     return placed.withColumn(name, F.col("_before") + F.col("_local")).drop(
-        "_bucket", "_before", "_local"
+        "_bucket", "_ties", "_before", "_local"
     )

@@ -108,6 +108,9 @@ def search(
         parents = parents.where(F.col("created_at") >= F.lit(p.from_date))
     if p.to_date is not None:
         parents = parents.where(F.col("created_at") <= F.lit(p.to_date))
+    if parents is not reviews:
+        # Only the issues of reviews that are still in question are matched.
+        issues = issues.join(parents.select(F.col("id").alias("review_id")), "review_id", "left_semi")
     if p.severity is not None:
         having = issues.where(F.col("severity") == p.severity).select(F.col("review_id").alias("id"))
         parents = parents.join(having.distinct(), "id", "left_semi")
@@ -144,11 +147,12 @@ def search_page(found: DataFrame, params: SearchParams) -> DataFrame:
 
 
 def search_positions(found: DataFrame, sort: str) -> DataFrame:
-    """All matches with their place in their user's result."""
+    """All matches with their place in their user's result.
+
+    Scores and counts are buckets of their own, and one that many reviews share (100,
+    or no issues) falls apart by the first characters of the id that breaks the tie.
+    """
     column = sort.removeprefix("-")
-    bucket = {
-        "created_at": F.to_date("created_at"),
-        "overall_score": F.floor(F.col("overall_score") * 4),
-        "issues_count": F.col("issues_count"),
-    }[column]
-    return position_within(found, ["user_id"], bucket, _order(sort), sort.startswith("-"))
+    if column == "created_at":
+        return position_within(found, ["user_id"], F.to_date(column), _order(sort), sort.startswith("-"))
+    return position_within(found, ["user_id"], F.col(column), _order(sort), sort.startswith("-"), ties=F.left("id", F.lit(3)))

@@ -109,7 +109,7 @@ def replace_results(
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:
-    """Reports by format; the volumes of a long one lie in order."""
+    """Reports (see ``report_bundle``) by format; the parts of one lie in order."""
     reports.hint("rebalance", "format", "review_id").sortWithinPartitions(
-        "review_id", "volume"
+        "review_id", "section", "rank", "path_key"
     ).write.mode(mode).partitionBy("format").parquet(path)

@@ -90,8 +90,8 @@ def test_choice_and_prompt(spark, files):
     reviews = spark.createDataFrame([("r", "p"), ("none", "p")], "id string, repository_id string")
     repositories = spark.createDataFrame([("p", "own", "name")], "id string, owner string, name string")
     [prompt] = ai_prepare.prompts(ai_prepare.snippets(df, 2), reviews, repositories).collect()
-    sections = prompt.user_prompt.split("--- FILE: ")
-    assert "`own/name`" in sections[0] and sections[1] == "a/b/c.py ---\n   1| x = 1\n\n"
+    sections = prompt.user_prompt.split("\n=== ")
+    assert "Repository: own/name\n" in sections[0] and sections[1] == "a/b/c.py ===\n   1| x = 1\n"
     assert [r.review_id for r in ai_prepare.reviews_without_files(reviews, df).collect()] == ["none"]
 
 

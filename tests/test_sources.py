@@ -85,8 +85,8 @@ def test_backfill(spark):
 
 
 def test_reports_on_disk(spark, tmp_path):
-    rows = spark.createDataFrame([("r", "json", "f", "m", "", "{}")],
-        "review_id string, format string, filename string, media_type string, volume string, body string")
+    rows = spark.createDataFrame([("r", "json", "f", "m", 0, 0, "", "{}")],
+        "review_id string, format string, filename string, media_type string, section int, rank int, path_key string, text string")
     sinks.write_reports(rows, str(tmp_path / "reports"))
     assert spark.read.parquet(str(tmp_path / "reports")).where("format = 'json'").count() == 1
 
