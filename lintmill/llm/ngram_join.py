@@ -5,9 +5,12 @@ pivots can't tell them apart. So the first regions come from projections:
 
 * By size. Linked sets differ in size by the factor ``percent``/100 at most.
   Sizes fall into cells; a set near a cell's upper border also goes into the next.
-* By classes. In a cell the n-grams are dealt into one class more than two linked
-  sets can differ in, so they agree in one class wholly. All sets that agree in a
-  class are at distance 0 in that projection: its Voronoi cell, and a region.
+* By classes. In a cell the n-grams are dealt into more classes than two linked
+  sets can differ in, so they agree wholly in the rest of the classes. All sets
+  that agree in a class are at distance 0 in that projection: its Voronoi cell,
+  and a region. A set goes only into its smallest regions, as many as two linked
+  sets can differ in and one more, as then they share one of them: shared phrases
+  fill large regions, which no set needs but those that are alike in most classes.
 
 Inside the regions the join is that of metric spaces. The set that most others
 agree with is the pivot. Its distance to each set of the region is computed
@@ -15,9 +18,11 @@ exactly. What lies within the link distance is linked with the pivot. What is
 left, and not yet in one component, splits into rings around the pivot, a link
 distance wide; a pair that differs by more can't be linked (triangle
 inequality), so each ring with the one before forms a region that is joined in
-the same way. Regions left after the last round are compared pair by pair
-outside their components. Only components are asked for; no link between
-different components is lost, and copies count as one vertex.
+the same way. What the pivots leave falls into clusters of regions that share
+sets; a cluster is dealt into blocks of bounded size, and each pair of blocks is
+joined by inverted lists within one task, which gives links but no pairs. Only
+components are asked for; no link between different components is lost, and
+copies count as one vertex.
 
 N-grams and sets are told apart by 64-bit hashes.
 
@@ -34,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintmill.llm.common import broadcast_if_small, fresh, key_of, slices, written
@@ -42,15 +47,15 @@ from lintmill.llm.graph import components
 
 N = 4
 PERCENT = 85
-#: Classes beyond the needed ones, as a share, so that nearly empty classes need not count.
-SLACK = 16
-ROUNDS = 6
+#: Rounds of pivots before the rest is joined in blocks.
+ROUNDS = 1
+#: Sets in a block, and n-grams in all of them.
+BLOCK, BLOCK_GRAMS = 256, 2 << 20
+#: N-grams looked up at a time inside a block.
+PIECE = 1 << 14
 #: Words that a task remembers the hash of.
 REMEMBERED = 500_000
 
-_MASK = (1 << 64) - 1
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -103,63 +108,77 @@ class Cells:
         return int(np.searchsorted(self.tops, size))
 
     def regions(self, size: int) -> list[tuple[int, int, int]]:
-        """(cell, classes, classes that may be left out) for each cell that a set of this size goes to."""
-        out = []
-        for cell in range(self.of(size), self.of(size * 100 // self.percent) + 1):
+        """(cell, classes, regions needed) for each cell that a set of this size goes to."""
+        out, more = [], self.of(size * 100 // self.percent)
+        for cell in range(self.of(size), more + 1):
             # |x - y| + |y - x| <= (|x| + |y|)(100 - p) / (100 + p) for linked sets.
-            differ = 2 * self.tops[cell] * (100 - self.percent) // (100 + self.percent)
-            slack = (differ + SLACK // 2 + 1) // SLACK
-            out.append((cell, differ + 1 + slack, slack))
+            top = self.tops[cell]
+            differ = 2 * top * (100 - self.percent) // (100 + self.percent)
+            own = (size + min(top, size * 100 // self.percent)) * (100 - self.percent) // (100 + self.percent)
+            out.append((cell, differ + 1 + (differ + 2) // 3, own + 1))
         return out
 
 
-def signatures(grams: np.ndarray, cells: Cells) -> list[np.ndarray]:
-    """A hash of each class of the set.
-
-    Of the classes in which two linked sets agree, more than ``slack`` are left
-    over, so a set with at most that many classes of one n-gram or none leaves
-    them out: equal classes are left out by both or by neither.
-    """
+def signatures(grams: np.ndarray, cells: Cells) -> list[tuple[int, np.ndarray]]:
+    """(regions needed, a hash of each class of the set) for each of its cells."""
     low, high, out = (grams & np.uint64(0xFFFFFFFF)).astype(float), (grams >> np.uint64(32)).astype(float), []
-    for cell, classes, slack in cells.regions(len(grams)):
+    for cell, classes, need in cells.regions(len(grams)):
         dealt = (_mix(grams + np.uint64(1)) % np.uint64(classes)).astype(np.int64)
-        count = np.bincount(dealt, minlength=classes)
         # Sums below 2**53 are exact.
         sums = [np.bincount(dealt, half, classes).astype(np.uint64) for half in (low, high)]
         place = np.arange(classes, dtype=np.uint64) + np.uint64(cell << 40)
-        sig = _mix(_mix(_mix(place) + sums[0]) + sums[1])
-        small = count <= 1
-        out.append(sig[~small] if small.sum() <= slack else sig)
+        out.append((need, _mix(_mix(_mix(place) + sums[0]) + sums[1])))
     return out
 
 
 def sketch(docs: DataFrame, text: str, keys: tuple[str, ...], n: int, percent: int) -> DataFrame:
-    """``keys``, key, size, v and the signatures of every row; a task gives those of a set once."""
+    """``keys``, key, size and v of every row (``own``), with the signatures of its first cell; further rows for further cells.
+
+    A task gives the signatures of a set once.
+    """
     chosen = docs.select(*keys, key_of(*[F.col(k) for k in keys], F.col(text)).alias("_key"), F.col(text).alias("_text"))
     width = len(keys) + 1
+    names = [*keys, "_key", "size", "v", "own", "need", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells, seen = _Hashes(), Cells(percent), set()
+        none = np.empty(0, np.uint64)
         for batch in batches:
             for part in slices(batch, width):
-                sizes, vertices, ends, sigs = [], [], [0], []
-                for value in part.column(width).to_pylist():
+                rows, facts, arrays = [], [], []  # row of the slice; size, v, own, need; signatures
+                for row, value in enumerate(part.column(width).to_pylist()):
                     grams = ngrams(value, n, hashes)
-                    sizes.append(len(grams))
-                    vertices.append(signed(vertex(grams)) if len(grams) else None)
-                    total = 0
-                    if len(grams) and vertices[-1] not in seen:
-                        seen.add(vertices[-1])
-                        new = signatures(grams, cells)
-                        total = sum(map(len, new))
-                        sigs += new
-                    ends.append(ends[-1] + total)
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(sizes, pa.int64()), pa.array(vertices, pa.int64()), lists], [*keys, "_key", "size", "v", "sigs"])
+                    v, found = None, [(0, none)]
+                    if len(grams):
+                        v = signed(vertex(grams))
+                        if v not in seen:
+                            seen.add(v)
+                            found = signatures(grams, cells)
+                    for place, (need, sigs) in enumerate(found):
+                        rows.append(row)
+                        facts.append((len(grams), v, place == 0, need))
+                        arrays.append(sigs)
+                ends = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([none, *arrays]).view(np.int64)))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+                columns = [pa.array([f[i] for f in facts], kind) for i, kind in enumerate(kinds)]
+                taken = [c.take(pa.array(rows, pa.int32())) for c in part.columns[:width]]
+                yield pa.RecordBatch.from_arrays([*taken, *columns, lists], names)
 
     types = dict(docs.dtypes)
-    return chosen.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_key string, size long, v long, sigs array<long>"]))
+    return chosen.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_key string, size long, v long, own boolean, need int, sigs array<long>"]))
+
+
+def candidate_regions(sketched: DataFrame) -> DataFrame:
+    """(region, v, size): each set's smallest regions, as far as it needs them and shares them."""
+    every = sketched.where(F.size("sigs") > 0).select("v", "size", "need", F.size("sigs").alias("all"), F.explode("sigs").alias("region"))
+    # Nearly all signatures belong to one set: count first, then move only the others.
+    shared = written(every.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "shared_signatures")
+    met = every.join(shared, "region").repartition("v").dropDuplicates(["v", "region"])
+    cell = Window.partitionBy("v", "all")
+    ranked = met.withColumn("met", F.count(F.lit(1)).over(cell)).withColumn("rank", F.row_number().over(cell.orderBy("rows", "region")))
+    # Regions of its own come first in a set's order; they join it with nothing.
+    return ranked.where(F.col("rank") <= F.col("need") - (F.col("all") - F.col("met"))).select("region", "v", "size")
 
 
 def sets_of(docs: DataFrame, text: str, n: int) -> DataFrame:
@@ -215,36 +234,24 @@ def _mixed(regions: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Enough links (a, b) to join all that is linked; ``regions(region, v, size)``."""
-    found, roots = None, regions.select("v", F.col("v").alias("root")).where(F.lit(False))
+    found = regions.select(F.col("v").alias("a"), F.col("v").alias("b")).where(F.lit(False))
     step = (100 - percent) / 100 * (1 + 1e-9)  # a hair wider, against rounding at the borders
     regions = written(_without_twins(regions.withColumn("root", F.col("v"))), "regions")
-    for turn in range(ROUNDS + 1):
-        shape = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-        if not shape[0]:
-            break
-        # Where few pairs are left in all, no pivot is worth a round.
-        last = turn == ROUNDS or (turn and shape[1] <= 16 * shape[0] + 100_000)
-        if last:
-            a, b = (regions.select("region", *[F.col(c).alias(f"{s}_{c}") for c in ("v", "size", "root")]) for s in "ab")
-            pairs = a.join(b, "region").where((F.col("a_v") < F.col("b_v")) & (F.col("a_root") != F.col("b_root")) & _linkable(F.col("a_size"), F.col("b_size"), percent))
-            pairs = pairs.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"), "a_size", "b_size").distinct()
-        else:
-            # The pivot is the set that meets most others.
-            n = broadcast_if_small(written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region_sizes"), 40)
-            met = written(regions.join(n, "region").groupBy("v").agg(F.sum("n").alias("met")), "met")
-            best = regions.join(met, "v").groupBy("region").agg(F.max(F.struct("met", "v", "size", "root")).alias("p"))
-            pivots = written(best.select("region", F.col("p.v").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.root").alias("p_root")), "pivots")
-            around = regions.join(pivots, "region").where(F.col("v") != F.col("pivot"))
-            pairs = around.where(_linkable(F.col("size"), F.col("p_size"), percent) | (F.col("root") == F.col("p_root")))
-            pairs = pairs.select(F.col("v").alias("a"), F.col("pivot").alias("b"), F.col("size").alias("a_size"), F.col("p_size").alias("b_size")).distinct()
-        pairs = written(pairs, "pairs")
+    for turn in range(ROUNDS):
+        if regions.isEmpty():
+            return found
+        # The pivot is the set that meets most others.
+        n = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region_sizes")
+        met = written(regions.join(n, "region").groupBy("v").agg(F.sum("n").alias("met")), "met")
+        best = regions.join(met, "v").groupBy("region").agg(F.max(F.struct("met", "v", "size", "root")).alias("p"))
+        pivots = written(best.select("region", F.col("p.v").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.root").alias("p_root")), "pivots")
+        around = regions.join(pivots, "region").where(F.col("v") != F.col("pivot"))
+        pairs = around.where(_linkable(F.col("size"), F.col("p_size"), percent) | (F.col("root") == F.col("p_root")))
+        pairs = written(pairs.select(F.col("v").alias("a"), F.col("pivot").alias("b"), F.col("size").alias("a_size"), F.col("p_size").alias("b_size")).distinct(), "pairs")
         near = written(common(pairs.select("a", "b"), sets), "shared").join(pairs, ["a", "b"])
         union = F.col("a_size") + F.col("b_size") - F.col("shared")
         near = written(near.select("a", "b", (1 - F.col("shared") / union).alias("far"), (100 * F.col("shared") >= percent * union).alias("linked")), "near")
-        fresh = near.where("linked").select("a", "b")
-        found = fresh if found is None else found.unionByName(fresh)
-        if last:
-            break
+        found = found.unionByName(near.where("linked").select("a", "b"))
         roots = written(components(found), "roots")
         placed = around.join(near.select(F.col("a").alias("v"), F.col("b").alias("pivot"), "far"), ["v", "pivot"], "left")
         # Sets that are too far from the pivot to be compared lie beyond the link distance: any ring from the second on.
@@ -253,7 +260,63 @@ def links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         split = placed.select("region", "v", "size", F.explode(rings).alias("ring"))
         split = split.select(F.xxhash64("region", "ring", F.lit(turn)).alias("region"), "v", "size").distinct()
         regions = written(_mixed(split, roots), "split_regions")
-    return found if found is not None else regions.select(F.col("v").alias("a"), F.col("v").alias("b"))
+    return found.unionByName(_block_links(regions, sets, percent))
+
+
+def _block_links(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components (``root``) that share a region."""
+    low = written(regions.groupBy("region").agg(F.min("v").alias("low")), "region_lows")
+    clusters = components(regions.join(low, "region").select(F.col("v").alias("a"), F.col("low").alias("b")))
+    members = regions.select("v", "root", "size").distinct().join(clusters.withColumnRenamed("root", "cluster"), "v")
+    members = written(members, "cluster_members")
+    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    dealt = members.join(written(size, "cluster_sizes"), "cluster").withColumn("own", F.pmod(F.xxhash64("v"), "blocks").cast("int"))
+    # A set meets every block of its cluster: its own among them, where it meets its own block.
+    each = dealt.select("cluster", "v", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "root")
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, first, second = (k.as_py() for k in key)
+        own = table["own"].to_numpy()
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in table["grams"].combine_chunks()]
+        v, root = table["v"].to_numpy(), table["root"].to_numpy()
+        found = _links_between(np.flatnonzero(own == first), np.flatnonzero(own == second), grams, root, percent)
+        return pa.table({"a": pa.array([v[x] for x, _ in found], pa.int64()), "b": pa.array([v[y] for _, y in found], pa.int64())})
+
+    return each.join(sets, "v").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _links_between(left: np.ndarray, right: np.ndarray, grams: list[np.ndarray], root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A link for each two components of the sets in ``left`` and ``right`` that it joins."""
+    if not len(left) or not len(right):
+        return []
+    parent = {r: r for r in root.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    lengths = np.array([len(grams[y]) for y in right])
+    tokens, owner = np.concatenate([grams[y] for y in right]), np.repeat(np.arange(len(right)), lengths)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    found = []
+    for x in left.tolist():
+        shared = np.zeros(len(right), np.int64)
+        for at in range(0, len(grams[x]), PIECE):
+            piece = grams[x][at : at + PIECE]
+            low, high = np.searchsorted(tokens, piece, "left"), np.searchsorted(tokens, piece, "right")
+            count = high - low
+            places = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared += np.bincount(owner[places], minlength=len(right))
+        close = np.flatnonzero((100 * shared >= percent * (len(grams[x]) + lengths - shared)) & (root[right] != root[x]))
+        for y in right[close].tolist():
+            a, b = find(root[x].item()), find(root[y].item())
+            if a != b:
+                parent[a] = b
+                found.append((x, y))
+    return found
 
 
 def join_components(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -262,20 +325,16 @@ def join_components(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     The first key is the id. ``root`` names the component where ids repeat or are null; it is null for an empty set.
     """
     sketched = written(sketch(docs, text, keys, n, percent), "sketches")
-    signed_rows = sketched.where(F.size("sigs") > 0).select("v", "size", F.explode("sigs").alias("region"))
-    # Nearly all signatures belong to one set: count first, then move only the others.
-    shared = signed_rows.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
-    shared = broadcast_if_small(written(shared.where("rows > 1").select("region"), "shared_signatures"), 32)
-    regions = written(signed_rows.join(shared, "region", "left_semi").distinct(), "candidates")
+    regions = written(candidate_regions(sketched), "candidates")
     # Of the rows with one set, one gives its n-grams; a row that stands in the table more than once is taken once.
-    rows = sketched.where("v is not null").groupBy("v", "_key").agg((F.count(F.lit(1)) > 1).alias("again"))
+    rows = sketched.where("own and v is not null").groupBy("v", "_key").agg((F.count(F.lit(1)) > 1).alias("again"))
     rows = rows.groupBy("v").agg(F.min(F.struct("_key", "again")).alias("r")).join(regions.select("v").distinct(), "v", "left_semi")
     rows = broadcast_if_small(written(rows.select("r.*"), "set_rows"), 72)
     keyed = docs.select(key_of(*[F.col(k) for k in keys], F.col(text)).alias("_key"), F.col(text).alias("_text")).join(rows, "_key")
     keyed = keyed.where("not again").select("_key", "_text").unionByName(keyed.where("again").select("_key", "_text").dropDuplicates(["_key"]))
     sets = written(sets_of(keyed.select("_text"), "_text", n), "sets")
     roots = written(components(links(regions, sets, percent)), "all_roots")
-    slim = sketched.select(*keys, "_key", "size", "v")
+    slim = sketched.where("own").select(*keys, "_key", "size", "v")
     named = slim.join(broadcast_if_small(roots, 32), "v", "left").withColumn("root", F.coalesce("root", "v"))
     named = written(named.drop("v"), "named")
     ident = keys[0]
