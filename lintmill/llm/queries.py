@@ -13,6 +13,7 @@ from lintmill.llm.language_id import held_out, identify, train
 from lintmill.llm.ngram_join import join_components
 from lintmill.llm.pii import KINDS, find_spans, spans_text
 from lintmill.llm.quality_rules import judge_quality
+from lintmill.llm.substring_dedup import find_repeats, words_in
 from lintmill.llm.url_filter import judge_urls
 from lintmill.llm.warc import page_facts, round_trip
 
@@ -32,6 +33,20 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_paragraphs",
+        words_in(F.col("repeated")).alias("n_repeated_words"),
+        words_in(F.col("removed")).alias("n_removed_words"),
+        (F.size("repeated") > 0).alias("repeats"),
+        spans.alias("removed_spans"),
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -88,6 +103,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
