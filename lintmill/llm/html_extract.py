@@ -45,6 +45,8 @@ PRIOR = 1_000.0
 #: Features kept: those seen most often.
 FEATURES = 20_000
 TAG_COST = -0.05
+#: Words that a segment of boilerplate outweighs.
+BRIDGE = 2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^'\">]+)*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -187,10 +189,11 @@ def extract(page: str, weights: dict[str, float]) -> str:
         if kind == "text":
             words = len(value.split())
             each = word + sum(cost(f) for _, names in opened for f in names)
-            gain = words * each
+            # Boilerplate inside the content is left out of the text; passing it costs a few words at most.
+            gain = words * each if each > 0 else max(words * each, -BRIDGE * word)
             parts.append(("text" if each > 0 else "other", value))
         else:
-            gain = TAG_COST + sum(map(cost, features))
+            gain = TAG_COST + max(sum(map(cost, features)), -word)
             parts.append((kind, ""))
         if score <= 0:
             score, start = 0.0, len(parts) - 1

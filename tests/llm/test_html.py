@@ -12,9 +12,9 @@ PAGE = (
 
 
 def test_finds_the_article():
-    body = "<article><h1>Big &amp; small</h1><p>One  two\n three <b>four</b>, five<br>six &lt;seven&gt;.</p><div class='ads'>advert words here</div><p></p><p>Last &eacute;nd</p></article>"
+    body = "<article><h1>Big &amp; small</h1><p>One  two\n three <b>four</b>, five<br>six &lt;seven&gt;.</p><div class='ads'>advert words here</div><p></p><p>The last of all, &eacute;nd</p></article>"
     weights = weights_of({})
-    assert extract(PAGE % body, weights) == "Big & small\nOne two three four, five six <seven>.\nLast énd"
+    assert extract(PAGE % body, weights) == "Big & small\nOne two three four, five six <seven>.\nThe last of all, énd"
 
 
 def test_short_article_wins_over_longer_boilerplate():
