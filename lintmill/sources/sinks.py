@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lintmill.operators.joins import rows_not_of
 from lintmill.operators.maintenance import stable_id
-from lintmill.schemas import DEFAULT_SETTINGS, TABLES
-from lintmill.sources.tables import BUCKETS
+from lintmill.schemas import DEFAULT_SETTINGS
+from lintmill.sources.tables import review_bucket
 
 
 def create_reviews(requests: DataFrame, at: Column) -> DataFrame:
@@ -68,44 +69,31 @@ def finish_reviews(reviews: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select(*[value(c) for c in reviews.columns])
 
 
-def _bucketed(df: DataFrame) -> DataFrame:
-    bucket = F.pmod(F.xxhash64("review_id"), F.lit(BUCKETS)).cast("int")
-    return df.withColumn("review_bucket", bucket)
-
+def write_children(df: DataFrame, folder: str, name: str, finished: DataFrame | None = None) -> None:
+    """Add issues or file results as one run, which replaces all earlier rows of its reviews.
 
-def write_children(df: DataFrame, folder: str, name: str, mode: str = "append") -> None:
-    """Write issues or file results in buckets by review.
+    First the rows are appended, in buckets by review; then one row for each review
+    (``finished``, or those that have rows) names the run.  Readers take a review's rows
+    of the last run named, so that a job that stops in between leaves the old state, and
+    nothing that is stored is rewritten.
 
     Rebalancing gives each bucket few files and lets adaptive execution split a bucket
     that one huge review fills over as many writers as its size asks for.
     """
-    out = _bucketed(df).hint("rebalance", "review_bucket")
-    out.write.mode(mode).partitionBy("review_bucket").option(
-        "partitionOverwriteMode", "dynamic"
-    ).parquet(f"{folder}/{name}")
+    run = time.time_ns()
+    rows = df.withColumn("review_bucket", review_bucket(F.col("review_id"))).withColumn("run", F.lit(run))
+    rows.hint("rebalance", "review_bucket").write.mode("append").partitionBy("review_bucket", "run").parquet(
+        f"{folder}/{name}"
+    )
+    named = (df if finished is None else finished).select("review_id").distinct()
+    named.select("review_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{folder}/{name}_runs")
 
 
 def replace_results(
     spark: SparkSession, folder: str, name: str, new: DataFrame, finished: DataFrame
 ) -> None:
-    """Replace the children of finished reviews in place.
-
-    Only the buckets these reviews lie in are read and rewritten.  A bucket that
-    loses its last row is not among the partitions written, so it is emptied apart.
-    """
-    touched = _bucketed(finished.select("review_id")).select("review_bucket").distinct()
-    schema = T.StructType([*TABLES[name].fields, T.StructField("review_bucket", T.IntegerType())])
-    stored = spark.read.schema(schema).parquet(f"{folder}/{name}")
-    # At most BUCKETS numbers, hence a broadcast and a pruned scan.
-    old = stored.join(F.broadcast(touched), "review_bucket", "left_semi").drop("review_bucket")
-    replaced = replace_children(old, new, finished)
-    remaining = _bucketed(replaced.select("review_id")).select("review_bucket").distinct()
-    # At most BUCKETS numbers, as a rule none.
-    emptied = [r.review_bucket for r in touched.join(remaining, "review_bucket", "left_anti").collect()]
-    write_children(replaced, folder, name, mode="overwrite")
-    for bucket in emptied:
-        nothing = spark.createDataFrame([], TABLES[name])
-        nothing.write.mode("overwrite").parquet(f"{folder}/{name}/review_bucket={bucket}")
+    """The children of finished reviews give way to ``new``, also where there are none."""
+    write_children(new, folder, name, finished)
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "append") -> None:

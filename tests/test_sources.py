@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintmill.plans.static_review import all_issues
@@ -57,6 +58,22 @@ def test_replacing_results_on_disk(spark, tmp_path):
         rows = tables.read_table(spark, folder, "review_issues").collect()
         assert sorted((r.review_id, r.file_path, r.rule_id) for r in rows) == [
             ("r1", "a", "new"), ("r2", "a", "old"), ("r2", "b", "old")]
+    one = tables.read_table(spark, folder, "review_issues", "r2")
+    assert one.count() == 2 and "PartitionFilters: [isnotnull(review_bucket" in one._jdf.queryExecution().toString()
+
+
+def test_a_job_that_stops_in_between_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    folder, schema = str(tmp_path), TABLES["review_issues"]
+    sinks.write_children(spark.createDataFrame([issue("r1", "a", "old"), issue("r2", "b", "old")], schema), folder, "review_issues")
+
+    class Stop:
+        def select(self, *_):
+            raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        sinks.replace_results(spark, folder, "review_issues", spark.createDataFrame([issue("r1", "a", "new")], schema), Stop())
+    rows = tables.read_table(spark, folder, "review_issues").collect()
+    assert sorted((r.review_id, r.rule_id) for r in rows) == [("r1", "old"), ("r2", "old")]
 
 
 def test_finishing_reviews(spark):
