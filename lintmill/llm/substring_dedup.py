@@ -45,12 +45,16 @@ _WEIGHTS = _mix(np.arange(101, 101 + WINDOW, dtype=np.uint64)) | np.uint64(1)
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 
-def _shingle_hashes(ids: np.ndarray) -> np.ndarray:
-    """Distinct hashes of the shingles of a paragraph's word hashes."""
-    total = np.full(len(ids) - SHINGLE + 1, SHINGLE, np.uint64)
+def _shingle_hashes(ids: np.ndarray, spans: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Distinct hashes of each paragraph's shingles, from the text's word hashes."""
+    if not spans:
+        return []
+    mixed, count = _mix(ids), len(ids) - SHINGLE + 1
+    total = np.full(count, SHINGLE, np.uint64)
     for i in range(SHINGLE):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + _mix(ids[i : len(ids) - SHINGLE + 1 + i])
-    return np.unique(_mix(total))
+        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed[i : count + i]
+    total = _mix(total)
+    return [np.unique(total[start : end - SHINGLE + 1]) for start, end in spans]
 
 
 def _vertex(grams: np.ndarray) -> np.uint64:
@@ -59,7 +63,7 @@ def _vertex(grams: np.ndarray) -> np.uint64:
 
 def _bands(grams: np.ndarray) -> np.ndarray:
     """A hash of each band of the sketch."""
-    least = np.array([_mix(grams ^ seed).min() for seed in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+    least = _mix(grams ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
     band = np.arange(BANDS, dtype=np.uint64)
     for row in range(ROWS):
         band = _mix(band + least[:, row])
@@ -103,8 +107,7 @@ def _units(docs: DataFrame) -> DataFrame:
                     ids, spans = paragraphs(text, hashes)
                     counts.append(len(spans))
                     lengths.append(len(ids))
-                    for start, end in spans:
-                        grams = _shingle_hashes(ids[start:end])
+                    for (start, end), grams in zip(spans, _shingle_hashes(ids, spans), strict=True):
                         v = _vertex(grams)
                         units.append(np.array([[v.astype(np.int64), start, end, len(grams)]]))
                         if v not in seen:
@@ -138,8 +141,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = {}
                 for text in part.column(0).to_pylist():
                     ids, spans = paragraphs(text, hashes)
-                    for start, end in spans:
-                        grams = _shingle_hashes(ids[start:end])
+                    for grams in _shingle_hashes(ids, spans):
                         v = _vertex(grams)
                         if v not in seen:
                             seen.add(v)
