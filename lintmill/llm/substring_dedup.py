@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lintmill.llm.common import broadcast_if_small, fresh, key_of, slices, written
 from lintmill.llm.graph import components
-from lintmill.llm.ngram_join import _Hashes, _mix, links
+from lintmill.llm.ngram_join import _Hashes, _mix, links, signed
 
 SHINGLE = 5
 PERCENT = 80
@@ -57,17 +57,15 @@ def _shingle_hashes(ids: np.ndarray, spans: list[tuple[int, int]]) -> list[np.nd
     return [np.unique(total[start : end - SHINGLE + 1]) for start, end in spans]
 
 
-def _vertex(grams: np.ndarray) -> np.uint64:
-    return _mix(_mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams)))[0]
+def _vertex(grams: np.ndarray) -> int:
+    """A signed hash of the set."""
+    return signed((int(_mix(grams).sum(dtype=np.uint64)) + len(grams) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
 
 
 def _bands(grams: np.ndarray) -> np.ndarray:
     """A hash of each band of the sketch."""
     least = _mix(grams ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
-    band = np.arange(BANDS, dtype=np.uint64)
-    for row in range(ROWS):
-        band = _mix(band + least[:, row])
-    return band
+    return _mix((least * (_SEEDS[:ROWS] | np.uint64(1))).sum(1, dtype=np.uint64) + _SEEDS[:BANDS])
 
 
 def paragraphs(text: str | None, hashes: _Hashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -87,8 +85,15 @@ def anchors(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     mixed = _mix(ids)
     place = _mix(mixed[:-2] * np.uint64(3) + mixed[1:-1] * np.uint64(5) + mixed[2:] * np.uint64(7))
-    view = np.lib.stride_tricks.sliding_window_view(place, min(ANCHOR, len(place)))
-    found = np.unique(view.argmin(1) + np.arange(len(view)))
+    # The first least place of each window, by doubling the windows' width.
+    first, least, width = np.arange(len(place), dtype=np.int32), place, 1
+    while width < min(ANCHOR, len(place)):
+        step = min(width, ANCHOR - width, len(place) - width)
+        left = least[: len(least) - step] <= least[step:]
+        first = np.where(left, first[: len(left)], first[step:])
+        least = np.where(left, least[: len(left)], least[step:])
+        width += step
+    found = first[np.append(True, first[1:] != first[:-1])].astype(np.int64)
     return found[found + WINDOW <= len(ids)]
 
 
@@ -102,18 +107,21 @@ def _units(docs: DataFrame) -> DataFrame:
         hashes, seen = _Hashes(), set()
         for batch in batches:
             for part in slices(batch, 2):
-                counts, lengths, unit_ends, band_ends, units, bands = [], [], [0], [0], [], []
+                counts, lengths, unit_ends, band_ends, units, bands, fresh_sets = [], [], [0], [0], [], [], []
                 for text in part.column(2).to_pylist():
                     ids, spans = paragraphs(text, hashes)
                     counts.append(len(spans))
                     lengths.append(len(ids))
+                    rows = []
                     for (start, end), grams in zip(spans, _shingle_hashes(ids, spans), strict=True):
                         v = _vertex(grams)
-                        units.append(np.array([[v.astype(np.int64), start, end, len(grams)]]))
+                        rows.append((v, start, end, len(grams)))
                         if v not in seen:
                             seen.add(v)
-                            region = _bands(grams).view(np.int64)
-                            bands.append(np.stack([np.full(BANDS, v.astype(np.int64)), np.full(BANDS, len(grams)), region], 1))
+                            fresh_sets.append((v, len(grams)))
+                            bands.append(_bands(grams))
+                    if rows:
+                        units.append(np.array(rows, np.int64))
                     at = anchors(ids)
                     if len(at):
                         windows = _mix((_mix(ids)[at[:, None] + np.arange(WINDOW)] * _WEIGHTS).sum(1, dtype=np.uint64)).view(np.int64)
@@ -122,13 +130,14 @@ def _units(docs: DataFrame) -> DataFrame:
                     band_ends.append(BANDS * len(bands))
                 flat = np.concatenate([np.empty((0, 4), np.int64), *units])
                 u = pa.StructArray.from_arrays([pa.array(flat[:, i]).cast(_UNIT[i].type) for i in range(4)], fields=list(_UNIT))
-                flat = np.concatenate([np.empty((0, 3), np.int64), *bands])
-                b = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["v", "size", "region"])
+                sets = np.repeat(np.array(fresh_sets, np.int64).reshape(-1, 2), BANDS, axis=0)
+                regions = np.concatenate([np.empty(0, np.uint64), *bands]).view(np.int64)
+                b = pa.StructArray.from_arrays([pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(regions)], ["v", "size", "region"])
                 lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((unit_ends, u), (band_ends, b))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lengths, pa.int64()), pa.array(counts, pa.int64()), *lists], ["id", "key", "n_words", "n_paragraphs", "units", "bands"])
 
     unit, band = "array<struct<v:bigint,start:int,end:int,size:int>>", "array<struct<v:bigint,size:bigint,region:bigint>>"
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key string, n_words long, n_paragraphs long, units {unit}, bands {band}")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key binary, n_words long, n_paragraphs long, units {unit}, bands {band}")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         v = _vertex(grams)
                         if v not in seen:
                             seen.add(v)
-                            found[v.astype(np.int64).item()] = grams.tobytes()
+                            found[v] = grams.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["v", "grams"])
 
     return docs.mapInArrow(run, "v long, grams binary").join(wanted, "v", "left_semi").dropDuplicates(["v"])
@@ -153,7 +162,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def find_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """``id``, key, n_words, n_paragraphs, ``repeated`` and ``removed`` (arrays of (start, end) in words, sorted) of every row."""
-    slim = docs.select(F.col(ident).alias("id"), key_of(F.col(ident), F.col(text)).alias("key"), F.col(text).alias("text"))
+    # As bytes the digest takes half the room in every place that is moved.
+    slim = docs.select(F.col(ident).alias("id"), F.unhex(key_of(F.col(ident), F.col(text))).alias("key"), F.col(text).alias("text"))
     sketched = written(_units(slim), "paragraph_sketches")
     banded = sketched.select(F.explode("bands").alias("b")).select("b.v", "b.size", "b.region")
     shared = written(banded.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "shared_bands")
@@ -177,7 +187,8 @@ def find_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     spans = written(spans, "repeated_spans")
     none = F.array().cast("array<struct<start:int,end:int>>")
     rows = sketched.select("id", "key", "n_words", "n_paragraphs").join(spans, "key", "left")
-    return rows.select("id", "key", "n_words", "n_paragraphs", *[merged(F.coalesce(c, none)).alias(c) for c in ("repeated", "removed")])
+    key = F.lower(F.hex("key")).alias("key")
+    return rows.select("id", key, "n_words", "n_paragraphs", *[merged(F.coalesce(c, none)).alias(c) for c in ("repeated", "removed")])
 
 
 def merged(spans: Column) -> Column:
