@@ -2,22 +2,29 @@
 
 Base spans are found by pattern: e-mail addresses, IP addresses, card numbers
 and telephone numbers. Every distinct value found is a protected entity. Terms
-are words within WINDOW words of an entity's mention. Counted over all
-documents, a term reveals an entity if they occur together in at least
-MIN_TOGETHER different contexts and the term removes at least DISCLOSURE of the entity's
-information: log(p(e, t) / (p(e) p(t))) / -log p(e). Their occurrences beside
-that entity become further spans. Sanitising generalises base spans to their
-kind and terms to ``number`` or ``name``, and removes other terms.
-
-Defined cases: a null text counts as empty and stays null. Repeated rows count
-as documents of their own. Documents of equal text are told apart by their
-keys; repeated keys and texts share one set of spans. An empty table gives an
-empty result.
+are the words of an entity's documents outside all base spans. Everything is
+counted over distinct texts: copies of a text tell nothing new, equal
+neighbourhoods in different texts do. A term reveals an entity if they occur
+together in at least MIN_TOGETHER texts, or in half of the entity's texts (and
+two) where those are fewer, and the term removes at least DISCLOSURE of the
+entity's information: log(p(e, t) / (p(e) p(t))) / -log p(e). It becomes a
+further span wherever it occurs in the entity's documents. Sanitising
+generalises base spans to their kind and terms to ``number`` or ``name``, and
+removes other terms.
+
+As p(e, t) <= p(e), a term passes only if its own texts number at most
+n (mentions / n) ** DISCLOSURE, and no fewer than it must share with the entity:
+words outside these limits are dropped before pairs are made, without a change
+of the result.
+
+Defined cases: a null text counts as empty and stays null. An entity of a single
+text has no terms: every rare word of that text would pass. Documents of equal
+text are told apart by their keys; repeated keys and texts share one set of
+spans. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +37,6 @@ from lintmill.llm.common import broadcast_if_small, fresh, key_of, written
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 4
 MIN_TOGETHER = 5
 DISCLOSURE = 0.8
 #: Words that a task counts before it passes its sums on.
@@ -81,30 +87,23 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of words beside each span but in none."""
-    words: list[re.Match] = []
-    found = []
-    for kind, start, end in spans:
-        value = re.sub(r"[ ().-]", "", text[start:end]).lower() if kind in ("card", "phone") else text[start:end].lower()
-        # Each word takes two places at least with what separates it; long words are met by looking further.
-        before, at = [], start
-        while at > 0 and len(before) < window and start - at < 64 * window:
-            low = max(0, at - 64 * window)
-            before = [m for m in _WORD.finditer(text, low, start) if low == 0 or m.start() > low][-window:]
-            at = low
-        after = []
-        for m in _WORD.finditer(text, end):
-            after.append(m)
-            if len(after) == window:
-                break
-        words = before + after
-        found += [
-            (f"{kind}:{value}", m[0].lower(), m.start(), m.end())
-            for m in words
-            if len(m[0]) > 1 and not any(a < m.end() and m.start() < b for _, a, b in spans)
-        ]
-    return found
+def entity_of(text: str, span: Span) -> str:
+    """The protected value, without the marks that numbers may be written with."""
+    kind, start, end = span
+    value = re.sub(r"[ ().-]", "", text[start:end]) if kind in ("card", "phone") else text[start:end]
+    return f"{kind}:{value.lower()}"
+
+
+def near_terms(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the text's words of two characters or more that meet none of the sorted ``spans``."""
+    at, reach = 0, 0
+    for match in _WORD.finditer(text):
+        start, end = match.span()
+        while at < len(spans) and spans[at][1] < end:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if end - start > 1 and reach <= start:
+            yield match[0].lower(), start, end
 
 
 def kind_place(kind: Column) -> Column:
@@ -112,44 +111,53 @@ def kind_place(kind: Column) -> Column:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
-_NEAR = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND = [("key", pa.string()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("word", pa.string()), ("n", pa.int64())]
-FOUND = (
-    "key string, spans array<struct<start:int,end:int,kind:string>>, "
-    "near array<struct<entity:string,term:string,start:int,end:int>>, word string, n long"
-)
+_SPANS = "array<struct<start:int,end:int,kind:string>>"
+_FOUND = [("spans", pa.list_(_SPAN)), ("entities", pa.list_(pa.string())), ("word", pa.string()), ("n", pa.int64())]
+FOUND = f"key string, digest binary, copies long, spans {_SPANS}, entities array<string>, word string, n long"
+
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
-def scan(docs: DataFrame, text: str, keys: tuple[str, ...], window: int = WINDOW) -> DataFrame:
-    """A row (keys, key, spans, near) for each text; further rows (word, n) say in how many texts a word occurs.
+
+def scan(docs: DataFrame, text: str, keys: tuple[str, ...]) -> DataFrame:
+    """A row (keys, key, digest, copies, spans, entities) for each text; further rows (word, copies, n) say in how many texts with so many copies a word occurs.
 
     One pass does both. A task sums its words before it passes them on.
     """
-    slim = docs.select(*keys, key_of(*[F.col(k) for k in keys], F.col(text)).alias("_key"), F.col(text).alias("_text"))
+    slim = docs.select(*keys, key_of(*[F.col(k) for k in keys], F.col(text)).alias("key"), digest_of(F.col(text)).alias("digest"), F.col(text).alias("_text"))
+    copies = written(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "pii_copies")
+    slim = slim.join(broadcast_if_small(copies, 64), "digest", "left").select(*keys, "key", "digest", F.coalesce("copies", F.lit(1)).alias("copies"), "_text")
+    own = len(keys) + 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = {}
         fields: list[pa.Field] = []
 
         def sums() -> pa.RecordBatch:
-            words, numbers = pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())
+            words = pa.array([w for c in counts.values() for w in c], pa.string())
+            numbers = pa.array([n for c in counts.values() for n in c.values()], pa.int64())
+            of = pa.array([k for k, c in counts.items() for _ in c], pa.int64())
             counts.clear()
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(words), f.type) for f in fields[:-2]), words, numbers], schema=pa.schema(fields))
+            nulls = [pa.nulls(len(words), f.type) for f in fields[:-2]]
+            nulls[own - 1] = of
+            return pa.RecordBatch.from_arrays([*nulls, words, numbers], schema=pa.schema(fields))
 
         for batch in batches:
-            fields = [*(batch.schema.field(i) for i in range(len(keys))), *(pa.field(*f) for f in _FOUND)]
-            all_spans, all_near = [], []
-            for value in batch.column(len(keys) + 1).to_pylist():
-                spans = base_spans(value or "")
-                near = near_terms(value, spans, window) if spans else []
+            fields = [*(batch.schema.field(i).with_nullable(True) for i in range(own)), *(pa.field(*f) for f in _FOUND)]
+            all_spans, all_entities = [], []
+            for value, of in zip(batch.column(own).to_pylist(), batch.column(own - 1).to_pylist(), strict=True):
+                value = value or ""
+                spans = base_spans(value)
+                words = {t for t, _, _ in near_terms(value, spans)} if spans else {w.lower() for w in set(_WORD.findall(value)) if len(w) > 1}
                 all_spans.append([{"start": a, "end": b, "kind": k} for k, a, b in spans])
-                all_near.append([dict(zip(("entity", "term", "start", "end"), n, strict=True)) for n in near])
-                counts.update(set(_WORD.findall((value or "").lower())))
-                if len(counts) > COUNTED:
+                all_entities.append(sorted({entity_of(value, s) for s in spans}))
+                counts.setdefault(of, Counter()).update(words)
+                if sum(map(len, counts.values())) > COUNTED:
                     yield sums()
             n = batch.num_rows
-            arrays = [pa.array(all_spans, _FOUND[1][1]), pa.array(all_near, _FOUND[2][1]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 1], *arrays], schema=pa.schema(fields))
+            arrays = [pa.array(all_spans, _FOUND[0][1]), pa.array(all_entities, _FOUND[1][1]), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *arrays], schema=pa.schema(fields))
         if counts:
             yield sums()
 
@@ -157,38 +165,75 @@ def scan(docs: DataFrame, text: str, keys: tuple[str, ...], window: int = WINDOW
     return slim.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), FOUND]))
 
 
-def disclosing(scanned: DataFrame, together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs whose mutual information passes the threshold, from counts over all documents."""
-    docs = scanned.where("word is null")
-    n = docs.count()
-    if not n:
-        return docs.select(F.lit("").alias("entity"), F.lit("").alias("term")).where(F.lit(False))
-    # Copies of a text repeat its contexts and tell nothing new: a context counts once for an entity.
-    near = docs.where(F.size("near") > 0).select(F.xxhash64("near.term").alias("context"), F.explode("near").alias("x")).select("context", "x.entity", "x.term")
-    near = written(near.distinct(), "pii_near")
-    pairs = written(near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= together), "pii_pairs")
-    mentions = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
-    terms = broadcast_if_small(written(pairs.select("term").distinct(), "pii_terms"), F.octet_length("term") + 32)
-    words = scanned.where("word is not null").join(terms, F.col("word") == F.col("term")).groupBy("term").agg(F.sum("n").alias("texts"))
-    # A term may stand near an entity in more contexts than it has texts.
-    joined = pairs.join(mentions, "entity").join(words, "term")
-    surprise = -F.log(F.col("mentions") / n)
-    shared = F.log(F.col("both") * F.lit(float(n)) / (F.col("mentions") * F.greatest("texts", "both")))
-    return joined.where((F.col("mentions") < n) & (shared >= disclosure * surprise)).select("entity", "term")
+def _terms(docs: DataFrame) -> DataFrame:
+    """(digest, terms): the distinct terms of each text of ``docs(digest, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [sorted({t for t, _, _ in near_terms(x, base_spans(x))}) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], ["digest", "terms"])
+
+    return docs.mapInArrow(run, "digest binary, terms array<string>")
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(key, added): the places of the ``terms`` in each text of ``docs(key, text, terms)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for value, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                wanted = set(terms)
+                found.append([{"start": a, "end": b, "kind": "term"} for t, a, b in near_terms(value, base_spans(value)) if t in wanted])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], ["key", "added"])
+
+    return docs.mapInArrow(run, f"key string, added {_SPANS}")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(digest, terms): of each text of ``docs(key, digest, text)`` the terms that reveal one of its entities, from counts over all distinct texts."""
+    rows = scanned.where("word is null")
+    n = rows.agg(F.sum(F.when(F.col("copies") == 1, 1))).first()[0] or 0
+    n += rows.where("copies > 1").select("digest").distinct().count()
+    met = written(rows.where(F.size("entities") > 0).select("digest", F.explode("entities").alias("entity")).distinct(), "pii_met")
+    mentions = written(met.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions")).where((F.col("mentions") > 1) & (F.col("mentions") < n)), "pii_mentions")
+    size = F.octet_length("entity") + 48
+    # Only entities of several texts count further, and only the texts that hold one are read again, each once.
+    met = written(met.join(broadcast_if_small(mentions, size), "entity"), "pii_entities")
+    keys = rows.join(met.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
+    keys = broadcast_if_small(written(keys.select("key"), "pii_holders"), 64)
+    held = written(_terms(docs.join(keys, "key", "left_semi").select("digest", "text")).dropDuplicates(["digest"]), "pii_held")
+    beside = held.select("digest", F.explode("terms").alias("term"))
+    names = broadcast_if_small(written(beside.select("term").distinct(), "pii_terms"), F.octet_length("term") + 32)
+    # Every text of so many copies was counted as often.
+    counted = scanned.where("word is not null").join(names, F.col("word") == F.col("term")).groupBy("term", "copies").agg(F.sum("n").alias("n"))
+    texts = counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("texts")).where("texts > 1")
+    texts = broadcast_if_small(written(texts, "pii_texts"), F.octet_length("term") + 40)
+    need = F.least(F.lit(together), F.greatest(F.lit(2), F.ceil(F.col("mentions") / 2)))
+    most = n * F.pow(F.col("mentions") / n, F.lit(disclosure))
+    able = (F.col("texts") >= need) & (F.col("texts") <= most * (1 + 1e-9))
+    pairs = beside.join(texts, "term").join(broadcast_if_small(met, size + 16), "digest").where(able)
+    pairs = pairs.groupBy("entity", "term", "mentions", "texts").agg(F.count(F.lit(1)).alias("both"))
+    shared = F.log(F.col("both") * F.lit(float(n)) / (F.col("mentions") * F.col("texts")))
+    passed = (F.col("both") >= need) & (shared >= disclosure * -F.log(F.col("mentions") / n))
+    revealing = written(pairs.where(passed).select("entity", "term"), "pii_revealing")
+    lists = written(revealing.groupBy("entity").agg(F.collect_list("term").alias("terms")), "pii_lists")
+    lists = broadcast_if_small(lists, F.octet_length("entity") + F.octet_length(F.array_join("terms", " ")) + 96)
+    return met.join(lists, "entity").groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"))
 
 
 def find_spans(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), **limits: float) -> DataFrame:
     """``keys``, ``key`` (a digest of keys and text) and ``spans`` array<struct<start,end,kind>> of every row, sorted."""
     renamed = docs.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col(text).alias("text"))
-    scanned = written(scan(renamed, "text", tuple(f"k_{k}" for k in keys)), "pii_scan")
-    revealing = written(disclosing(scanned, **limits), "pii_revealing")
-    revealing = broadcast_if_small(revealing, F.octet_length("entity") + F.octet_length("term") + 64)
+    own = tuple(f"k_{k}" for k in keys)
+    scanned = written(scan(renamed, "text", own), "pii_scan")
+    slim = renamed.select(key_of(*[F.col(k) for k in own], F.col("text")).alias("key"), digest_of(F.col("text")).alias("digest"), "text")
+    revealing = written(disclosing(slim, scanned, **limits), "pii_disclosing")
+    revealing = broadcast_if_small(revealing, F.octet_length(F.array_join("terms", " ")) + F.size("terms") * 16 + 96)
     rows = scanned.where("word is null")
-    near = rows.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.*")
-    span = F.struct("start", "end", F.lit("term").alias("kind"))
-    added = near.join(revealing, ["entity", "term"]).groupBy("key").agg(F.collect_set(span).alias("added"))
-    added = broadcast_if_small(written(added, "pii_added"), F.size("added") * 24 + 96)
-    both = F.concat("spans", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string>>")))
+    added = written(_occurrences(slim.join(revealing, "digest").select("key", "text", "terms")).where(F.size("added") > 0).dropDuplicates(["key"]), "pii_added")
+    added = broadcast_if_small(added, F.size("added") * 40 + 96)
+    both = F.concat("spans", F.coalesce("added", F.array().cast(_SPANS)))
     ordered = F.transform(both, lambda s: F.struct(s["start"].alias("start"), kind_place(s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
     spans = F.transform(F.sort_array(ordered), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     return rows.join(added, "key", "left").select(*[F.col(f"k_{k}").alias(k) for k in keys], "key", spans.alias("spans"))

@@ -70,3 +70,17 @@ def test_query_against_plain_patterns(spark, given):
         assert row.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(s[0] == k for s in spans) for k, _ in PATTERNS]
         assert set(joined) <= set(row.spans.split(",")) | {""}
+
+
+def test_one_signature_in_many_documents(spark):
+    rows = [(i, f"text a{i} of b{i}. Kind regards Janedoe jane@corp.com") for i in range(40)]
+    rows += [(100 + i, f"plain c{i} text of kind regards d{i}") for i in range(400)]
+    texts = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts[3] == "text a3 of b3. Kind regards <name> <email>" and texts[103] == rows[43][1]
+
+
+def test_copies_switch_nothing_off(spark):
+    rows = [(i, f"see a{i} Zorbas b{i} zed@corp.com") for i in range(6)] + [(1000 + i, "see a0 Zorbas b0 zed@corp.com") for i in range(300)]
+    rows += [(5000 + i, f"see other c{i} text") for i in range(500)]
+    texts = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts[1] == "see a1 <name> b1 <email>" and texts[0] == texts[1299] == "see a0 <name> b0 <email>"
