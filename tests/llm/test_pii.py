@@ -84,3 +84,21 @@ def test_copies_switch_nothing_off(spark):
     rows += [(5000 + i, f"see other c{i} text") for i in range(500)]
     texts = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert texts[1] == "see a1 <name> b1 <email>" and texts[0] == texts[1299] == "see a0 <name> b0 <email>"
+
+
+def test_terms_anywhere_in_the_documents_of_a_rare_entity(spark, docs, given):
+    import corpus_pipeline
+
+    far = [" ".join(f"x{i}y{k}" for k in range(40)) for i in range(2)]
+    rows = [(i, f"Zorbas leads. {far[i]} mail zed@corp.com. {far[i]} so Zorbas again, quelled") for i in range(2)]
+    rows += [(100 + i, f"leads mail so again number{i}") for i in range(300)] + [(500 + i, f"quelled number{i}") for i in range(40)]
+    frame = docs(rows)
+    texts = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["pii"](spark, frame, given).collect()}
+    for i in range(2):
+        assert texts[i] == f"<name> leads. {far[i]} mail <email>. {far[i]} so <name> again, quelled"
+    assert all(texts[i] == t for i, t in rows[2:])
+
+
+def test_words_beside_spans_of_all_shapes():
+    text = "éa@b.co xx 10.0.0.1 yy a x@y.zz"
+    assert list(near_terms(text, base_spans(text))) == [("xx", 8, 10), ("yy", 20, 22)]
