@@ -1,9 +1,11 @@
 """Removal of repeated paragraphs and passages.
 
-Paragraphs are the lines of a text with at least MIN_WORDS words. Each gets a
-MinHash sketch of its five-word shingles in BANDS bands of ROWS rows: of two
-paragraphs with a Jaccard similarity of 0.8 more than 99 in 100 collide in a
-band. Colliding paragraphs are verified by their exact Jaccard similarity and
+Paragraphs are the lines of a text with at least MIN_WORDS words; shorter lines
+in a row are joined to blocks of MIN_WORDS words or a little more, and the last
+block before a long line or the text's end may be shorter, so every word lies in
+a paragraph. Each gets a MinHash sketch of its five-word shingles (all its words
+as one, if they are fewer) in BANDS bands of ROWS rows: of two paragraphs with a
+Jaccard similarity of 0.8 more than 99 in 100 collide in a band. Colliding paragraphs are verified by their exact Jaccard similarity and
 clustered by connected components. A passage inside longer paragraphs is found
 as well: windows of WINDOW words start at the places that winnowing chooses (one
 in any ANCHOR successive places, by content), so a passage of ANCHOR + WINDOW - 1
@@ -49,12 +51,17 @@ def _shingle_hashes(ids: np.ndarray, spans: list[tuple[int, int]]) -> list[np.nd
     """Distinct hashes of each paragraph's shingles, from the text's word hashes."""
     if not spans:
         return []
-    mixed, count = _mix(ids), len(ids) - SHINGLE + 1
-    total = np.full(count, SHINGLE, np.uint64)
-    for i in range(SHINGLE):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed[i : count + i]
-    total = _mix(total)
-    return [np.unique(total[start : end - SHINGLE + 1]) for start, end in spans]
+    mixed = _mix(ids)
+
+    def shingles(words: np.ndarray, size: int) -> np.ndarray:
+        count = max(0, len(words) - size + 1)
+        total = np.full(count, size, np.uint64)
+        for i in range(size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + words[i : count + i]
+        return _mix(total)
+
+    total = shingles(mixed, SHINGLE)
+    return [np.unique(total[a : b - SHINGLE + 1]) if b - a >= SHINGLE else shingles(mixed[a:b], b - a) for a, b in spans]
 
 
 def _vertex(grams: np.ndarray) -> int:
@@ -70,12 +77,18 @@ def _bands(grams: np.ndarray) -> np.ndarray:
 
 def paragraphs(text: str | None, hashes: _Hashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The text's word hashes, and (start, end) in words of its paragraphs."""
-    words, spans = [], []
+    words, spans, open_ = [], [], 0  # short lines from open_ on wait for their block to fill
     for line in (text or "").encode().lower().split(b"\n"):
         found = line.split()
-        if len(found) >= MIN_WORDS:
-            spans.append((len(words), len(words) + len(found)))
+        if len(found) >= MIN_WORDS and open_ < len(words):
+            spans.append((open_, len(words)))
+            open_ = len(words)
         words += found
+        if len(words) - open_ >= MIN_WORDS:
+            spans.append((open_, len(words)))
+            open_ = len(words)
+    if open_ < len(words):
+        spans.append((open_, len(words)))
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), spans
 
 

@@ -71,3 +71,14 @@ def test_query_finds_all_long_repeats(spark, given):
     found = op2_substring_dedup(spark, given).collect()
     assert expected and expected <= {r.doc_id for r in found if r.repeats}
     assert len(found) == spark.read.parquet(f"{given}/documents.parquet").count()
+
+
+def test_short_lines_and_short_texts(docs):
+    song = [text(6) for _ in range(8)]
+    near = [*song[:7], song[7] + " zz"]
+    rows = [(1, "one two three"), (2, "One two  three"), (3, "one two four"), (4, text(17)), (6, "\n".join(song)), (7, "\n".join(near))]
+    rows += [(5, rows[3][1]), (8, f"{text(25)}\n" + "\n".join(song[:4]) + f"\n{text(25)}")]
+    got = flags(docs(rows))
+    assert got[1] == (3, 0) and got[2] == (3, 3) and got[3] == (0, 0)
+    assert got[4] == (17, 0) and got[5] == (17, 17)
+    assert got[6] == (48, 0) and got[7][1] >= 48 and got[8] == (24, 24)
