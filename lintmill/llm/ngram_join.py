@@ -17,8 +17,8 @@ agree with is the pivot. Its distance to each set of the region is computed
 exactly. What lies within the link distance is linked with the pivot. What is
 left, and not yet in one component, splits into rings around the pivot, a link
 distance wide; a pair that differs by more can't be linked (triangle
-inequality), so each ring with the one before forms a region that is joined in
-the same way. What the pivots leave falls into clusters of regions that share
+inequality), so each ring with the one before forms a region. ROUNDS rounds of
+pivots are run (one, so rings are not split again). What they leave falls into clusters of regions that share
 sets; a cluster is dealt into blocks of bounded size, and each pair of blocks is
 joined by inverted lists within one task, which gives links but no pairs. Only
 components are asked for; no link between different components is lost, and
