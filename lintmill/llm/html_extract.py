@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintmill.llm.common import BROADCAST_BYTES, fresh, written
+
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -42,8 +44,8 @@ BOILER_WORDS = re.compile(
 )
 #: Words that a known boilerplate feature is taken to have been seen outside the content.
 PRIOR = 1_000.0
-#: Features kept: those seen most often.
-FEATURES = 20_000
+#: Sums that a task holds before it passes them on.
+COUNTED = 80_000
 TAG_COST = -0.05
 #: Words that a segment of boilerplate outweighs.
 BRIDGE = 2
@@ -131,11 +133,8 @@ def count_page(page: str, counts: Counter, content: str) -> None:
             counts[feature, inside] += words
 
 
-def learn(pages: DataFrame, column: str = "html", content: str = "article") -> dict[str, float]:
-    """Weights from all labelled pages: "" for a word, and each feature's negative weight.
-
-    Tasks send sums; the driver gets at most FEATURES of them.
-    """
+def feature_sums(pages: DataFrame, column: str = "html", content: str = "article") -> DataFrame:
+    """(feature, ins, outs): words inside and outside the content, of all features of all labelled pages. Tasks send sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -149,15 +148,18 @@ def learn(pages: DataFrame, column: str = "html", content: str = "article") -> d
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 count_page(page or "", counts, content)
-                if len(counts) > 4 * FEATURES:
+                if len(counts) > COUNTED:
                     yield rows()
                     counts.clear()
         yield rows()
 
     sums = pages.select(F.col(column).alias("html")).mapInArrow(run, "feature string, inside boolean, n long").groupBy("feature")
-    table = sums.agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("ins"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outs"))
-    top = table.orderBy(F.desc(F.col("ins") + F.col("outs")), "feature").limit(FEATURES).collect()
-    return weights_of({r["feature"]: (r["ins"], r["outs"]) for r in top})
+    return sums.agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("ins"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("outs"))
+
+
+def learn(pages: DataFrame, column: str = "html", content: str = "article") -> dict[str, float]:
+    """Weights from all labelled pages: "" for a word, and each feature's negative weight. For as many features as the driver holds."""
+    return weights_of({r["feature"]: (r["ins"], r["outs"]) for r in feature_sums(pages, column, content).toLocalIterator()})
 
 
 def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -213,16 +215,48 @@ def extract(page: str, weights: dict[str, float]) -> str:
     return "\n".join(filter(None, (" ".join(b.split()) for b in blocks)))
 
 
+def _with_weights(pages: DataFrame, column: str, sums: DataFrame, to: str) -> DataFrame:
+    """The rows with ``to``: the sums of all features that the page has, by joins."""
+    # Pages are told apart by their content, as equal pages have equal features.
+    digest = F.unhex(F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({f for _, _, names, opened in segments(page or "") for f in (*names, *(x for _, o in opened for x in o))}) for page in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["digest", "features"])
+
+    met = pages.select(digest.alias("digest"), F.col(column)).mapInArrow(run, "digest binary, features array<string>")
+    met = met.select("digest", F.explode("features").alias("feature")).distinct().join(sums, "feature")
+    own = written(met.groupBy("digest").agg(F.collect_list(F.struct("feature", "ins", "outs")).alias(to)), "page_features")
+    key = fresh(pages, "_digest")
+    return pages.withColumn(key, digest).join(own.withColumnRenamed("digest", key), key, "left").drop(key)
+
+
 def extract_text(pages: DataFrame, column: str = "html", to: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows without the page but with its text; weights are learned from ``pages`` unless given."""
-    weights = learn(pages, column) if weights is None else weights
-    shared = pages.sparkSession.sparkContext.broadcast(weights)  # at most FEATURES numbers
+    """The rows without the page but with its text; weights are learned from ``pages`` unless given.
+
+    Learned sums are a written table. Measured small they are broadcast, else each page meets those of its features by joins.
+    """
     names = [c for c in pages.columns if c not in (column, to)]
+    slim, total, sums = pages.select(*names, F.col(column)), {}, None
+    if weights is None:
+        sums = written(feature_sums(pages, column), "page_feature_sums")
+        if (sums.agg(F.sum(F.octet_length("feature") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+            weights = weights_of({r["feature"]: (r["ins"], r["outs"]) for r in sums.collect()})
+    if weights is None:
+        total = {r["feature"]: (r["ins"], r["outs"]) for r in sums.where("feature = ''").collect()}
+        slim = _with_weights(slim, column, sums, fresh(slim, "_sums"))
+    shared = pages.sparkSession.sparkContext.broadcast(weights)  # below BROADCAST_BYTES, or none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page or "", shared.value) for page in batch.column(len(names)).to_pylist()]
+            values = batch.column(len(names)).to_pylist()
+            if shared.value is None:
+                own = [weights_of(total | {x["feature"]: (x["ins"], x["outs"]) for x in found or ()}) for found in batch.column(len(names) + 1).to_pylist()]
+            else:
+                own = [shared.value] * len(values)
+            texts = [extract(page or "", w) for page, w in zip(values, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], [*names, to])
 
     schema = ", ".join([*(f"`{c}` {dict(pages.dtypes)[c]}" for c in names), f"`{to}` string"])
-    return pages.select(*names, F.col(column)).mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema)

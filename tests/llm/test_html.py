@@ -49,3 +49,17 @@ def test_query_against_the_marked_articles(spark, given):
         blocks = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)>", "\x01", body.replace("<br>", " "))).split("\x01")
         expected = "\n".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))
         assert (row.text, row.n_chars) == (expected, len(expected))
+
+
+def test_weights_of_more_than_20000_features(spark, monkeypatch):
+    import lintmill.llm.html_extract as module
+
+    many = "".join(f"<div id='p%d-{k}'>some more words here</div>" for k in range(1100))
+    page = "<body>%s<article><p>%s</p></article></body>"
+    rows = [(i, page % ("<div class='qz7'>Odd box</div>" * (i == 0) + many.replace("%d", str(i)), "text of page %d " % i * 2000)) for i in range(20)]
+    rows.append((99, "<div class='qz7'>Odd box</div><p>Plain page</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert got[99] == "Plain page" and got[3] == " ".join(["text of page 3"] * 2000)
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == got
