@@ -98,4 +98,53 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
   case when page_id <> first then first end as refers_to from f
 """
 
-ORACLES = {"op1_benchmark_decontamination": OP1, "op3_url_filters": OP3, "op4_quality_rules": OP4, "op10_warc": OP10}
+# CRC-32 of a list of bytes, by the table of its 256 remainders.
+_CRC_TABLE = """crc as (select list(r order by i) as crc from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as r from (select unnest(range(0, 256)) as i)))"""
+
+
+def _crc(data: str) -> str:
+    """Of an SQL list of bytes, with a column ``crc`` of ``_CRC_TABLE`` in reach."""
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {data}), lambda x, y: xor(crc[(xor(x, y) & 255) + 1], x >> 8)), 4294967295)"
+
+
+OP11 = f"""
+with {_CRC_TABLE},
+t as (select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+u as (select c, turn, sha256(length(r)::varchar || ':' || r || x) as u, length(x) as n from t),
+a as (select c, list({{'u': u, 'n': n}} order by turn nulls first, u) as a from u group by c),
+h as (select c, a, {_crc("list_transform(string_split(c::varchar, ''), lambda s: ord(s)::bigint)")} % 6 as h from a, crc),
+m as (select h.c, coalesce(b.a[1:h.h], []) || h.a[h.h + 1:] as a from h left join a b on b.c = h.c - h.c % 100),
+p as (select c, d, array_to_string(list_transform(a[1:d], lambda e: e.u), '') as k, array_to_string(list_transform(a[1:d - 1], lambda e: e.u), '') as up,
+    a, coalesce(a[d].n, 0) as n, d = len(a) as last from (select c, a, unnest(range(0, len(a) + 1)) as d from m)),
+g as (select d, k, any_value(up) as up, min(c) as conv_id, count(*) as n_convs, any_value(n) as n,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where last), '')) as ends from p group by d, k),
+kids as (select d - 1 as d, up as k, count(*) as n_children from g where d > 0 group by d, up),
+v as (select g.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * n as saved from g left join kids using (d, k)),
+s as (select p.d, p.k, count(*) filter (where v.n_children = 0) as n_leaves, sum(v.saved) as saved_tokens
+    from v join p on p.c = v.conv_id and p.d <= v.d group by p.d, p.k)
+select v.conv_id, v.d::bigint as depth, w.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens::bigint as saved_tokens, v.ends as ends_sha256
+from v join s using (d, k) left join g w on w.d = v.d - 1 and w.k = v.up
+"""
+
+OP13 = rf"""
+with {_CRC_TABLE},
+t as (select coalesce(doc_id::varchar, '') || ':' as id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+r as (select id, run, count(*) as n from t group by id, run),
+b as (select run, n, {_crc("flatten(list_transform(string_split(id || run, ''), lambda s: case when ord(s) < 128 then [ord(s)::bigint] else [195::bigint, ord(s)::bigint - 64] end))")} as h from r, crc),
+w as (select case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(n)::bigint as n from b group by 1),
+v as (select word, n from w where length(word) >= 5 and n >= 3),
+cut as (select word, n, i, left(word, i - 1) as a, substr(word, i + 1) as z from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+pairs as (select distinct word, near, m from (
+    select x.word, y.word as near, y.n as m from cut x join cut y on x.i = y.i and x.a = y.a and x.z = y.z and x.word <> y.word
+    union all select x.word, y.word, y.n from cut x join v y on y.word = x.a || x.z
+    union all select y.word, x.word, x.n from cut x join v y on y.word = x.a || x.z)),
+best as (select word, count(*) as n_near, list({{'m': -m, 'w': encode(near), 'near': near}} order by m desc, encode(near))[1] as b from pairs group by word),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -b.m >= 2 * v.n then b.near end as form, case when -b.m >= 2 * v.n then -b.m end as form_n
+  from v left join best using (word)),
+recursive_roots as (with recursive x(word, place) as (select word, word from f union all select x.word, f.form from x join f on f.word = x.place where f.form is not null)
+  select x.word, x.place as root from x join f on f.word = x.place where f.form is null)
+select word, form, root, n, n_near, form_n from f join recursive_roots using (word)
+"""
+
+ORACLES = {"op1_benchmark_decontamination": OP1, "op3_url_filters": OP3, "op4_quality_rules": OP4, "op10_warc": OP10, "op11_conversation_trie": OP11, "op13_spelling_variants": OP13}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintmill.llm import toxicity
 from lintmill.llm.bpe import Bpe, ids_digest, read_ranks
 from lintmill.llm.common import table
 from lintmill.llm.decontaminate import covered, find_hits
@@ -12,7 +13,9 @@ from lintmill.llm.html_extract import extract_text
 from lintmill.llm.language_id import held_out, identify, train
 from lintmill.llm.ngram_join import join_components
 from lintmill.llm.pii import KINDS, find_spans, spans_text
+from lintmill.llm.prefix_trie import hash_turns, rebuild, trie
 from lintmill.llm.quality_rules import judge_quality
+from lintmill.llm.spelling import group_variants
 from lintmill.llm.substring_dedup import find_repeats, words_in
 from lintmill.llm.url_filter import judge_urls
 from lintmill.llm.warc import page_facts, round_trip
@@ -101,6 +104,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_facts(round_trip(table(spark, sf_dir, "pages")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = hash_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    return trie(*rebuild(turns, F.crc32(conv.cast("string").cast("binary")) % 6, conv - conv % 100))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -112,4 +132,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_toxicity": op12_toxicity,
+    "op13_spelling_variants": op13_spelling_variants,
 }

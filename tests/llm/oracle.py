@@ -14,7 +14,7 @@ def rows_of(frame):
 
 def compare(spark, sf_dir, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         if os.path.exists(f"{sf_dir}/{table}.parquet"):
             connection.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     result = QUERIES[name](spark, sf_dir)
