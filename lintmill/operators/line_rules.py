@@ -67,16 +67,27 @@ def _rule_mask(language: Column, line: Column, only: set[str] | None) -> Column:
     return mask.bitwiseOR(specific)
 
 
+def rule_bits(language: Column, line: Column) -> Column:
+    """The rules a line breaks, as bits; none in a file of no known language."""
+    known = language.isin(list(LANGUAGE_RULES))
+    return F.when(known, _rule_mask(language, line, None)).otherwise(F.lit(0).cast("long"))
+
+
 def line_issues(files: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Issues of the common and language line rules (or of those in ``only``)."""
     known = files.where(F.col("language").isin(list(LANGUAGE_RULES)))
     lines = explode_lines(known, "review_id", "file_path", "language")
-    hits = lines.withColumn("_mask", _rule_mask(F.col("language"), F.col("line"), only)).where(
-        F.col("_mask") != 0
+    hits = lines.withColumn("bits", _rule_mask(F.col("language"), F.col("line"), only)).where(
+        F.col("bits") != 0
     )
+    return broken_rules(hits.withColumn("n_chars", F.length("line")))
+
+
+def broken_rules(hits: DataFrame) -> DataFrame:
+    """Issue rows of lines (review_id, file_path, line_no, n_chars) with ``bits`` set."""
     broken = F.filter(
         F.sequence(F.lit(0), F.lit(len(_ALL_RULES) - 1)),
-        lambda i: F.getbit(F.col("_mask"), i) == 1,
+        lambda i: F.getbit(F.col("bits"), i) == 1,
     )
     details = F.array(
         *[
@@ -92,12 +103,12 @@ def line_issues(files: DataFrame, only: set[str] | None = None) -> DataFrame:
             for r in _ALL_RULES
         ]
     )
-    found = hits.select("review_id", "file_path", "line_no", "line", F.explode_outer(broken).alias("_no"))
+    found = hits.select("review_id", "file_path", "line_no", "n_chars", F.explode_outer(broken).alias("_no"))
     issue = found.withColumn("_rule", F.get(details, F.col("_no")))
     explanation = F.when(
         F.col("_rule.rule_id") == LONG_LINE.rule_id,
         F.concat(
-            F.lit("The line has "), F.length("line"), F.lit(f" characters, more than {MAX_LINE_LENGTH}.")
+            F.lit("The line has "), F.col("n_chars"), F.lit(f" characters, more than {MAX_LINE_LENGTH}.")
         ),
     ).otherwise(F.col("_rule.explanation"))
     return issue.select(
@@ -120,17 +131,22 @@ def large_file_issues(files: DataFrame) -> DataFrame:
     known = files.where(F.col("language").isin(list(LANGUAGE_RULES)))
     # A text of so many lines has at least as many bytes less one.
     long_enough = known.where(F.octet_length("content") >= MAX_FILE_LINES)
-    counted = long_enough.select("review_id", "file_path", line_count(F.col("content")).alias("_n"))
-    return counted.where(F.col("_n") > MAX_FILE_LINES).select(
+    counted = long_enough.select("review_id", "file_path", line_count(F.col("content")).alias("n_lines"))
+    return overlong_files(counted)
+
+
+def overlong_files(counted: DataFrame) -> DataFrame:
+    """Issue rows of files (review_id, file_path, n_lines) with too many lines."""
+    return counted.where(F.col("n_lines") > MAX_FILE_LINES).select(
         "review_id",
         "file_path",
         F.lit(1).alias("line_start"),
-        F.col("_n").alias("line_end"),
+        F.col("n_lines").alias("line_end"),
         F.lit("complexity").alias("category"),
         F.lit("medium").alias("severity"),
         F.lit(0.8).alias("confidence"),
         F.lit("large-file").alias("rule_id"),
         F.lit("Very large file").alias("title"),
-        F.concat(F.lit("The file has "), F.col("_n"), F.lit(" lines.")).alias("explanation"),
+        F.concat(F.lit("The file has "), F.col("n_lines"), F.lit(" lines.")).alias("explanation"),
         F.lit("Divide it into smaller modules.").alias("suggestion"),
     )

@@ -11,7 +11,7 @@ as there are braces, and both look-ups are running aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintmill.functions.text import line_count, unicode_pattern, with_lines
@@ -21,6 +21,24 @@ from lintmill.schemas import ISSUE_COLUMNS
 BRACE_FUNCTION_LANGUAGES = ["javascript", "typescript"]
 
 
+def brace_columns(line: Column) -> list[Column]:
+    """opened, closed and the name of a function that starts in the line; null where there is none of them."""
+    pattern = unicode_pattern(FUNCTION_START)
+    may_start = (
+        F.contains(line, F.lit("function"))
+        | F.contains(line, F.lit("=>"))
+        | F.contains(line, F.lit("{"))
+    )
+    starts = may_start & line.rlike(pattern)
+    some = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}")) | starts
+
+    def count(brace: str) -> Column:
+        return F.when(some, F.octet_length(line) - F.octet_length(F.replace(line, F.lit(brace), F.lit(""))))
+
+    name = F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")) for g in (1, 2, 3)])
+    return [count("{").alias("opened"), count("}").alias("closed"), F.when(starts, name).alias("name")]
+
+
 def function_spans(files: DataFrame, min_lines: int = 1) -> DataFrame:
     """review_id, file_path, name, line_start, line_end of all functions in brace
     files of at least ``min_lines`` lines."""
@@ -30,32 +48,28 @@ def function_spans(files: DataFrame, min_lines: int = 1) -> DataFrame:
     content = F.col("content")
     large = texts.where(F.octet_length(content) >= min_lines - 1).where(line_count(content) >= min_lines)
     counted = with_lines(large.select("review_id", "file_path", "content")).select(
-        "review_id", "file_path", "lines", F.size("lines").alias("_n_lines")
+        "review_id", "file_path", "lines", F.size("lines").alias("n_lines")
     )
     exploded = counted.select(
-        "review_id", "file_path", "_n_lines", F.posexplode_outer("lines").alias("_pos", "line")
+        "review_id", "file_path", "n_lines", F.posexplode_outer("lines").alias("_pos", "line")
     )
-    line = F.col("line")
-    pattern = unicode_pattern(FUNCTION_START)
-    may_start = (
-        F.contains(line, F.lit("function"))
-        | F.contains(line, F.lit("=>"))
-        | F.contains(line, F.lit("{"))
+    marked = exploded.select(
+        "review_id", "file_path", "n_lines", (F.col("_pos") + 1).alias("line_no"), *brace_columns(F.col("line"))
     )
-    starts = may_start & line.rlike(pattern)
-    marked = exploded.where(
-        F.contains(line, F.lit("{")) | F.contains(line, F.lit("}")) | starts
-    ).select(
+    return spans_of(marked.where(F.col("opened").isNotNull()))
+
+
+def spans_of(braces: DataFrame) -> DataFrame:
+    """The spans, from the lines with braces or starts: review_id, file_path, n_lines,
+    line_no, opened, closed, name (see ``brace_columns``)."""
+    marked = braces.select(
         "review_id",
         "file_path",
-        "_n_lines",
-        (F.col("_pos") + 1).alias("_line"),
-        (F.length(line) - F.length(F.replace(line, F.lit("{"), F.lit("")))).alias("_open"),
-        (F.length(line) - F.length(F.replace(line, F.lit("}"), F.lit("")))).alias("_close"),
-        F.when(
-            starts,
-            F.coalesce(*[F.nullif(F.regexp_extract(line, pattern, g), F.lit("")) for g in (1, 2, 3)]),
-        ).alias("_name"),
+        F.col("n_lines").alias("_n_lines"),
+        F.col("line_no").alias("_line"),
+        F.col("opened").alias("_open"),
+        F.col("closed").alias("_close"),
+        F.col("name").alias("_name"),
     )
 
     # Read from the last line up: a frame that grows is cheap, one that shrinks
@@ -139,9 +153,11 @@ def function_spans(files: DataFrame, min_lines: int = 1) -> DataFrame:
 
 
 def long_function_issues(files: DataFrame) -> DataFrame:
-    spans = function_spans(files, MAX_FUNCTION_LINES + 1).withColumn(
-        "_length", F.col("line_end") - F.col("line_start") + 1
-    )
+    return overlong_functions(function_spans(files, MAX_FUNCTION_LINES + 1))
+
+
+def overlong_functions(spans: DataFrame) -> DataFrame:
+    spans = spans.withColumn("_length", F.col("line_end") - F.col("line_start") + 1)
     return spans.where(F.col("_length") > MAX_FUNCTION_LINES).select(
         "review_id",
         "file_path",

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.operators.duplicates import duplicate_issues
-from lintmill.operators.line_rules import large_file_issues, line_issues
-from lintmill.operators.long_functions import long_function_issues
+from lintmill.operators.duplicates import repeated_blocks
+from lintmill.operators.line_rules import broken_rules
+from lintmill.operators.long_functions import overlong_functions, spans_of
 from lintmill.operators.python_facts import python_facts
 from lintmill.operators.python_rules import parser_failures, python_issues
-from lintmill.operators.scoring import file_results, line_counts, review_summaries
-from lintmill.session import written
+from lintmill.operators.scoring import file_results, review_summaries
+from lintmill.operators.text_scan import blocks, braces, counted_lines, large_files, lines_with_hits, scan_texts
+from lintmill.session import setting, written
 
 
 class StaticReview(NamedTuple):
@@ -24,39 +25,62 @@ class StaticReview(NamedTuple):
     reviews: DataFrame
 
 
-Detector = Callable[[DataFrame], DataFrame]
+class Scanned:
+    """A corpus as detectors see it: its files, and what one pass over the texts says of them.
 
-# Detectors by name: a transform from ``files`` to issue rows.  Each looks only at the
+    Texts are split once and Python is parsed once, when a detector first asks, and written;
+    everything after works on these tables.
+    """
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """One row for each line; see ``text_scan``."""
+        # All rules in one generated method are more than the JVM compiles; beyond this many
+        # bytes Spark generates small ones instead, four times as fast here.
+        with setting(self.files.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000"):
+            return written(scan_texts(self.files), "texts")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return written(python_facts(self.files), "python_facts")
+
+
+Detector = Callable[[Scanned], DataFrame]
+
+# Detectors by name: a transform from a scanned corpus to issue rows.  Each looks only at the
 # languages it knows; one may be added or taken away in a copy of this table.
 DETECTORS: dict[str, Detector] = {
-    "lines": line_issues,
-    "large_files": large_file_issues,
-    "brace_functions": long_function_issues,
-    "python": lambda files: python_issues(python_facts(files)),
-    "duplicates": duplicate_issues,
+    "lines": lambda scanned: broken_rules(lines_with_hits(scanned.texts)),
+    "large_files": lambda scanned: large_files(scanned.texts),
+    "brace_functions": lambda scanned: overlong_functions(spans_of(braces(scanned.texts))),
+    "python": lambda scanned: python_issues(scanned.facts),
+    "duplicates": lambda scanned: repeated_blocks(blocks(scanned.texts)),
 }
 
 
-def all_issues(files: DataFrame, detectors: dict[str, Detector] = DETECTORS) -> DataFrame:
+def all_issues(files: DataFrame | Scanned, detectors: dict[str, Detector] = DETECTORS) -> DataFrame:
     """What all detectors find, as one bag of issue rows."""
-    return reduce(DataFrame.unionByName, [detect(files) for detect in detectors.values()])
+    scanned = files if isinstance(files, Scanned) else Scanned(files)
+    return reduce(DataFrame.unionByName, [detect(scanned) for detect in detectors.values()])
+
+
+def scored_files(scanned: Scanned, issues: DataFrame) -> DataFrame:
+    """One row per file with its issues and score."""
+    return file_results(counted_lines(scanned.texts), issues)
 
 
 def run_static_review(
-    files: DataFrame, reviews: DataFrame, repositories: DataFrame, at: Column
+    files: DataFrame, reviews: DataFrame, repositories: DataFrame, at: Column, detectors: dict[str, Detector] = DETECTORS
 ) -> StaticReview:
-    """Issues, file results and finished review rows for ``files``.
-
-    The corpus is read for facts, issues and line counts; everything after works
-    on these written tables.
-    """
-    facts = written(python_facts(files), "python_facts")
-    # Parsed already, so the Python detector takes the facts as they are.
-    detectors = DETECTORS | {"python": lambda _: python_issues(facts)}
-    issues = written(all_issues(files, detectors), "issues")
-    counted = written(line_counts(files), "line_counts")
+    """Issues, file results and finished review rows for ``files``."""
+    scanned = Scanned(files)
+    facts = scanned.facts
+    issues = written(all_issues(scanned, detectors), "issues")
     failures = parser_failures(facts)
-    results = file_results(counted, issues)
+    results = scored_files(scanned, issues)
     done = review_summaries(results, issues, reviews, repositories)
     finished = done.join(failures.select("review_id", F.lit(True).alias("_failed")), "review_id", "left")
     failed = F.col("_failed").isNotNull()
