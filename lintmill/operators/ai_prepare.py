@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.functions.text import path_key, with_lines
+from lintmill.functions.text import line_count, path_key, with_lines
 from lintmill.operators.joins import first_per_key
 from lintmill.schemas import CATEGORIES, DEFAULT_SETTINGS, SEVERITIES
+from lintmill.session import written
 
 MAX_FILES = DEFAULT_SETTINGS["ai_max_files"]
 MAX_CHARS = DEFAULT_SETTINGS["ai_max_chars_per_file"]
@@ -70,16 +71,37 @@ def _numbered(lines: Column, max_chars: int) -> Column:
     return F.aggregate(lines, start, add, lambda state: state["text"])
 
 
-def snippets(files: DataFrame, n: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:
-    """review_id, file_path, file_rank, snippet of the chosen files.
+def chosen_texts(files: DataFrame, n: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:
+    """The chosen files: review_id, file_path, language, file_rank, line_count, head.
+
+    Files are ranked by their paths alone; the few that are chosen, a small written table,
+    then pick their rows from the corpus, and only these texts are counted and cut.
 
     A line costs its length plus seven at least, so what lies beyond the first
     ``max_chars`` characters can only fall under the truncation mark.  Cutting
-    there before the files are ranked keeps whole texts out of the shuffle.
+    there keeps whole texts out of all that follows.
     """
-    head = F.left(F.col("content"), F.lit(max_chars + 1))
-    chosen = top_files(files.select("review_id", "file_path", head.alias("content")), n)
-    return with_lines(chosen).select(
+    chosen = written(top_files(files.select("review_id", "file_path"), n), "chosen_files")
+    picked = files.select("review_id", "file_path", "language", "content").join(chosen, ["review_id", "file_path"])
+    content = F.col("content")
+    return picked.select(
+        "review_id",
+        "file_path",
+        F.coalesce("language", F.lit("unknown")).alias("language"),
+        "file_rank",
+        line_count(content).alias("line_count"),
+        F.left(content, F.lit(max_chars + 1)).alias("head"),
+    )
+
+
+def snippets(files: DataFrame, n: int = MAX_FILES, max_chars: int = MAX_CHARS) -> DataFrame:
+    """review_id, file_path, file_rank, snippet of the chosen files."""
+    return numbered(chosen_texts(files, n, max_chars), max_chars)
+
+
+def numbered(texts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """The snippets of ``chosen_texts``."""
+    return with_lines(texts, "head").select(
         "review_id", "file_path", "file_rank", _numbered(F.col("lines"), max_chars).alias("snippet")
     )
 

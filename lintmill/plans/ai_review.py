@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.operators import ai_ingest, ai_prepare
-from lintmill.operators.scoring import line_counts
 from lintmill.session import written
 
 
@@ -32,10 +31,10 @@ def prepare(
     max_chars: int = ai_prepare.MAX_CHARS,
 ) -> Prepared:
     """Prompts to send, the files behind them, and reviews with nothing to send."""
-    snippets = ai_prepare.snippets(files, max_files, max_chars)
-    chosen = ai_prepare.top_files(line_counts(files), max_files).drop("file_rank")
+    texts = written(ai_prepare.chosen_texts(files, max_files, max_chars), "chosen_texts")
+    chosen = texts.select("review_id", "file_path", "language", "line_count")
     return Prepared(
-        ai_prepare.prompts(snippets, reviews, repositories),
+        ai_prepare.prompts(ai_prepare.numbered(texts, max_chars), reviews, repositories),
         chosen,
         ai_prepare.reviews_without_files(reviews, chosen),
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lintmill.functions.text import csv_list, decode, language_of, path_key, suffix
 from lintmill.schemas import DEFAULT_SETTINGS, LANGUAGE_BY_EXTENSION, MAX_FILE_SIZE_SETTING
+from lintmill.session import written
+from lintmill.sources.listing import can_list, list_files, opened
 
 
 def outside_folders(path: Column, folders: Column) -> Column:
@@ -95,6 +97,16 @@ def decoded(listed: DataFrame) -> DataFrame:
     ).drop("raw")
 
 
+def common_folders(settings: DataFrame | None = None) -> list[str]:
+    """The folders that everybody ignores: those of the defaults that all ``settings`` name as well."""
+    defaults = [f.strip() for f in DEFAULT_SETTINGS["ignored_folders"].split(",") if f.strip()]
+    if settings is None:
+        return defaults
+    folders = csv_list(F.coalesce("ignored_folders", F.lit(DEFAULT_SETTINGS["ignored_folders"])))
+    kept = [F.coalesce(F.min(F.array_contains(folders, f).cast("int")), F.lit(1)).alias(f"f{i}") for i, f in enumerate(defaults)]
+    return [f for f, every in zip(defaults, settings.agg(*kept).first(), strict=True) if every]
+
+
 def read_corpus(
     spark: SparkSession,
     root: str,
@@ -108,11 +120,23 @@ def read_corpus(
     ``review_id`` names the review; without it each repository is its own.  With
     ``owners`` (repository_path, user_id) and ``settings`` (see ``effective_settings``)
     a file is held against its owner's limits, otherwise against the defaults.
+
+    Paths are listed and chosen first and only the chosen files are opened (see
+    ``listing``). In a store that only Spark can read, Spark's own scan lists and opens.
     """
-    listed = list_corpus(spark, root, repository_depth, source_glob())
+    two_phase = can_list(root)
+    if two_phase:
+        endings = [e.lower() for e in LANGUAGE_BY_EXTENSION]
+        folders = common_folders(settings if owners is not None else None)
+        listed = list_files(spark, root, repository_depth, folders, endings).where(F.col("size_bytes") <= MAX_FILE_SIZE_SETTING)
+    else:
+        listed = list_corpus(spark, root, repository_depth, source_glob())
     if owners is not None:
         listed = listed.join(owners.select("repository_path", "user_id"), "repository_path", "left")
-    kept = decoded(analyzable(listed, settings if owners is not None else None))
+    kept = analyzable(listed, settings if owners is not None else None)
+    if two_phase:
+        kept = opened(written(kept, "listing"))
+    kept = decoded(kept)
     review = F.lit(review_id) if review_id is not None else F.col("repository_path")
     return kept.select(
         review.alias("review_id"), "file_path", "language", "size_bytes", "content"

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintmill.operators.joins import rows_not_of
 from lintmill.operators.maintenance import stable_id
 from lintmill.schemas import DEFAULT_SETTINGS
-from lintmill.sources.tables import review_bucket
+from lintmill.sources.runs import append_rows, name_run
 
 
 def create_reviews(requests: DataFrame, at: Column) -> DataFrame:
@@ -69,24 +67,15 @@ def finish_reviews(reviews: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select(*[value(c) for c in reviews.columns])
 
 
-def write_children(df: DataFrame, folder: str, name: str, finished: DataFrame | None = None) -> None:
-    """Add issues or file results as one run, which replaces all earlier rows of its reviews.
+def write_children(df: DataFrame, folder: str, name: str, finished: DataFrame) -> None:
+    """Add issues or file results as one run, which replaces all earlier rows of ``finished``
+    (review_id), also of those that have no rows now.
 
     First the rows are appended, in buckets by review; then one row for each review
-    (``finished``, or those that have rows) names the run.  Readers take a review's rows
-    of the last run named, so that a job that stops in between leaves the old state, and
+    names the run (see ``runs``).  A job that stops in between leaves the old state, and
     nothing that is stored is rewritten.
-
-    Rebalancing gives each bucket few files and lets adaptive execution split a bucket
-    that one huge review fills over as many writers as its size asks for.
     """
-    run = time.time_ns()
-    rows = df.withColumn("review_bucket", review_bucket(F.col("review_id"))).withColumn("run", F.lit(run))
-    rows.hint("rebalance", "review_bucket").write.mode("append").partitionBy("review_bucket", "run").parquet(
-        f"{folder}/{name}"
-    )
-    named = (df if finished is None else finished).select("review_id").distinct()
-    named.select("review_id", F.lit(run).alias("run")).write.mode("append").parquet(f"{folder}/{name}_runs")
+    name_run(finished, folder, name, append_rows(df, folder, name))
 
 
 def replace_results(

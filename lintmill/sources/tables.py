@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lintmill.schemas import AI_RESPONSES, COLUMN_DEFAULTS, TABLES
-
-BUCKETS = 512
-BUCKETED = {"review_issues", "file_analysis_results"}
-
-
-def review_bucket(review_id: Column) -> Column:
-    """The folder number that a review's children lie in."""
-    return F.pmod(F.xxhash64(review_id), F.lit(BUCKETS)).cast("int")
-
+from lintmill.sources.runs import BUCKETED, read_children, tombstones
 
 def read_table(spark: SparkSession, folder: str, name: str, review_id: str | None = None) -> DataFrame:
     """A catalogue table with its declared schema; nothing is inferred.
 
     Of a review's children the rows of its last finished run count.  With ``review_id``
-    only that review's bucket is read.
+    only that review's bucket is read.  Deleted reviews, and what hangs on them, are not there.
     """
-    if name not in BUCKETED:
-        return backfill(name, spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}"))
-    stored = T.StructType([*TABLES[name].fields, T.StructField("review_bucket", T.IntegerType()), T.StructField("run", T.LongType())])
-    rows = spark.read.schema(stored).parquet(f"{folder}/{name}")
-    runs = spark.read.schema("review_id string, run long").parquet(f"{folder}/{name}_runs")
-    if review_id is not None:
-        mine = F.col("review_id") == review_id
-        rows = rows.where((F.col("review_bucket") == review_bucket(F.lit(review_id))) & mine)
-        runs = runs.where(mine)
-    last = runs.groupBy("review_id").agg(F.max("run").alias("run"))
-    return backfill(name, rows.join(last, ["review_id", "run"], "left_semi"))
+    if name in BUCKETED:
+        return backfill(name, read_children(spark, folder, name, review_id))
+    rows = backfill(name, spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}"))
+    if name == "reviews":
+        rows = rows.join(tombstones(spark, folder).select(F.col("review_id").alias("id")), "id", "left_anti").select(*rows.columns)
+        return rows if review_id is None else rows.where(F.col("id") == review_id)
+    return rows
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:

@@ -49,7 +49,8 @@ def issue(review, path, rule):
 def test_replacing_results_on_disk(spark, tmp_path):
     folder, schema = str(tmp_path), TABLES["review_issues"]
     old = [issue(r, p, "old") for r in ("r1", "r2", "r3") for p in ("a", "b")]
-    sinks.write_children(spark.createDataFrame(old, schema), folder, "review_issues")
+    stored = spark.createDataFrame(old, schema)
+    sinks.write_children(stored, folder, "review_issues", stored)
     new = spark.createDataFrame([issue("r1", "a", "new")], schema)
     finished = spark.createDataFrame([("r1",), ("r3",)], "review_id string")
     for _ in range(2):  # a repeated run changes nothing
@@ -64,7 +65,8 @@ def test_replacing_results_on_disk(spark, tmp_path):
 
 def test_a_job_that_stops_in_between_leaves_the_old_state(spark, tmp_path, monkeypatch):
     folder, schema = str(tmp_path), TABLES["review_issues"]
-    sinks.write_children(spark.createDataFrame([issue("r1", "a", "old"), issue("r2", "b", "old")], schema), folder, "review_issues")
+    stored = spark.createDataFrame([issue("r1", "a", "old"), issue("r2", "b", "old")], schema)
+    sinks.write_children(stored, folder, "review_issues", stored)
 
     class Stop:
         def select(self, *_):
