@@ -88,19 +88,14 @@ def list_repositories(repositories: DataFrame, user_id: str) -> DataFrame:
     return repositories.where(F.col("user_id") == user_id).orderBy(*_newest_first())
 
 
-def _with_position(df: DataFrame, keys: list[str]) -> DataFrame:
-    day = F.to_date("created_at")
-    return position_within(df, keys, day, _newest_first(), descending=True)
-
-
 def reviews_in_order(reviews: DataFrame) -> DataFrame:
     """Every repository's list at once: reviews with their place in it."""
-    return _with_position(reviews, ["user_id", "repository_id"])
+    return position_within(reviews, ["user_id", "repository_id"], _newest_first())
 
 
 def repositories_in_order(repositories: DataFrame) -> DataFrame:
     """Every user's list at once: repositories with their place in it."""
-    return _with_position(repositories, ["user_id"])
+    return position_within(repositories, ["user_id"], _newest_first())
 
 
 def list_totals(df: DataFrame, keys: list[str]) -> DataFrame:

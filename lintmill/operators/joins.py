@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintmill.session import written
+
 SALTS = 16
 
 
@@ -57,35 +62,57 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def position_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    descending: bool,
-    name: str = "position",
-    ties: Column | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
 ) -> DataFrame:
-    """Add each row's place within its key without sorting a key in one task.
+    """Add each row's place within its key, however many rows a key has.
 
-    ``bucket`` must rise (or fall) with the first order column, a day for a
-    time.  If it is the first order column itself, ``ties`` may split a bucket further
-    and must rise with the second one.  A place is the number of rows in earlier buckets, a running sum over
-    one row per bucket, plus the place within the bucket.
+    The rows are sorted into ranges of (keys, order), so that a hot key lies in many ranges.
+    Every range numbers its own rows; a key that goes on in the next range starts there
+    at the number of its rows before, and these numbers, one a range, are all that is put
+    together. No window holds a key. ``order`` should tell all rows of a key apart.
     """
-    bucketed = df.withColumn("_bucket", bucket).withColumn("_ties", F.lit("") if ties is None else ties)
-    direction = F.desc("_bucket") if descending else F.asc("_bucket")
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(direction, F.asc("_ties"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = bucketed.groupBy(*keys, "_bucket", "_ties").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(
-        *keys, "_bucket", "_ties", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*keys, "_bucket", "_ties").orderBy(*order)
-    local = bucketed.withColumn("_local", F.row_number().over(inside))
-    placed = local.join(offsets, [*keys, "_bucket", "_ties"])
-    return placed.withColumn(name, F.col("_before") + F.col("_local")).drop(
-        "_bucket", "_ties", "_before", "_local"
-    )
+    key = fresh_name(df, "_key")
+    rows = df.withColumn(key, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    # In a range, rows of one key stand side by side, in the order of the key's text.
+    ranged = rows.repartitionByRange(F.asc(key), *order).sortWithinPartitions(F.asc(key), *order)
+    at = len(rows.columns) - 1
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            names = batch.column(at).to_numpy(zero_copy_only=False)
+            if not len(names):
+                continue
+            new = np.append(True, names[1:] != names[:-1])
+            begin = np.flatnonzero(new)
+            place = np.arange(len(names)) - np.repeat(begin, np.diff(np.append(begin, len(names)))) + 1
+            if names[0] == last:
+                place[: begin[1] if len(begin) > 1 else len(names)] += count
+            last, count = names[-1], int(place[-1])
+            arrays = [*batch.columns, pa.array(np.full(len(names), part, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, f"{key}_part", f"{key}_place"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"`{key}_part` int", f"`{key}_place` bigint"])
+    numbered = written(ranged.mapInArrow(number, schema), "numbered")
+    part, place = f"{key}_part", f"{key}_place"
+    # Keys cut by the ends of ranges: one row for each range and key comes to the driver.
+    ends = numbered.groupBy(part).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(part).collect()
+    cut = {a.hi for a, b in zip(ends, ends[1:]) if a.hi == b.lo}
+    session, carried = df.sparkSession, []
+    if cut:
+        broken = F.broadcast(session.createDataFrame([(k,) for k in cut], f"`{key}` string"))
+        sizes = numbered.join(broken, key, "left_semi").groupBy(key, part).agg(F.max(place).alias("n"))
+        before: dict[str, int] = {}
+        for row in sizes.orderBy(part).collect():
+            carried.append((row[key], row[part], before.get(row[key], 0)))
+            before[row[key]] = before.get(row[key], 0) + row.n
+    offsets = session.createDataFrame(carried, f"`{key}` string, `{part}` int, `{key}_before` bigint")
+    placed = numbered.join(F.broadcast(offsets), [key, part], "left")
+    return placed.select(*df.columns, (F.col(place) + F.coalesce(f"{key}_before", F.lit(0))).alias(name))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it as long as the frame has columns that begin so."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name

@@ -122,6 +122,11 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
     A profile that comes twice counts once, the last time; several profiles with
     one e-mail address end in one account that holds the last one's link and the
     first name given.
+
+    No two accounts end with one address: a known profile that asks for the address of
+    another user, or for one that a later profile of the batch asks for as well, comes back
+    as ``conflict`` and changes nothing, and so does an unknown profile whose address an
+    update keeps or takes.
     """
     addressed = F.coalesce(F.col("email"), F.lit("")) != ""
     latest = first_per_key(profiles.where(addressed), ["github_id"], [F.desc("seq")]).drop("_rank")
@@ -130,7 +135,14 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
     )
     matched = latest.join(by_id, "github_id", "left")
     name = F.nullif(F.col("full_name"), F.lit(""))
-    updated = matched.where(F.col("_id").isNotNull()).select(
+    holders = users.select(F.lower("email").alias("_email"), F.col("id").alias("_holder"))
+    asked = matched.where(F.col("_id").isNotNull()).withColumn("_email", F.lower("email")).join(holders, "_email", "left")
+    free = F.coalesce(F.col("_holder") == F.col("_id"), F.col("_holder").isNull())
+    # Of several that ask for a free address the last gets it; its holder, if any, is alone.
+    asked = asked.join(
+        asked.where(free).groupBy("_email").agg(F.max("seq").alias("_wins")), "_email", "left"
+    ).withColumn("_granted", free & (F.col("seq") == F.col("_wins")))
+    updated = asked.where("_granted").select(
         F.lit("update").alias("action"),
         F.col("_id").alias("user_id"),
         "email",
@@ -141,7 +153,9 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
         F.lit("github").alias("auth_provider"),
     )
     # The rest is folded per address: last link, first name.
-    rest = matched.where(F.col("_id").isNull()).withColumn("_email", F.lower("email"))
+    taken = asked.where("_granted").select("_email").distinct()
+    unknown = matched.where(F.col("_id").isNull()).withColumn("_email", F.lower("email"))
+    rest = unknown.join(taken, "_email", "left_anti")
     folded = rest.groupBy("_email").agg(
         F.max(F.struct("seq", "github_id", "username", "avatar_url")).alias("_last"),
         F.min(F.when(name.isNotNull(), F.struct(F.col("seq").alias("seq"), name.alias("name")))).alias("_first"),
@@ -168,18 +182,21 @@ def resolve_accounts(users: DataFrame, profiles: DataFrame) -> DataFrame:
         F.col("_last.avatar_url").alias("avatar_url"),
         provider.alias("auth_provider"),
     )
-    nothing = F.lit(None).cast("string")
-    rejected = profiles.where(~addressed).select(
-        F.lit("rejected").alias("action"),
-        nothing.alias("user_id"),
-        nothing.alias("email"),
-        name.alias("full_name"),
-        "github_id",
-        F.col("username").alias("github_username"),
-        "avatar_url",
-        nothing.alias("auth_provider"),
-    )
-    return updated.unionByName(others).unionByName(rejected)
+    def untouched_by(profiles: DataFrame, action: str) -> DataFrame:
+        nothing = F.lit(None).cast("string")
+        return profiles.select(
+            F.lit(action).alias("action"),
+            nothing.alias("user_id"),
+            nothing.alias("email"),
+            F.nullif(F.col("full_name"), F.lit("")).alias("full_name"),
+            "github_id",
+            F.col("username").alias("github_username"),
+            "avatar_url",
+            nothing.alias("auth_provider"),
+        )
+
+    conflicts = [untouched_by(asked.where(~F.col("_granted")), "conflict"), untouched_by(unknown.join(taken, "_email", "left_semi"), "conflict")]
+    return _union([updated, others, untouched_by(profiles.where(~addressed), "rejected"), *conflicts])
 
 
 def merge_accounts(users: DataFrame, resolved: DataFrame, at: Column) -> DataFrame:

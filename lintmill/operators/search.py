@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintmill.operators.joins import first_per_key, position_within
+from lintmill.operators.text_index import TextIndex
 from lintmill.schemas import REVIEW_STATUSES, REVIEW_TYPES
 
 # ---- fixed values: orders and bounds ----------------------------------------
@@ -83,12 +84,13 @@ def _any_like(columns: list[str], pattern: str) -> Column:
 
 
 def search(
-    reviews: DataFrame, repositories: DataFrame, issues: DataFrame, params: SearchParams
+    reviews: DataFrame, repositories: DataFrame, issues: DataFrame, params: SearchParams, index: TextIndex | None = None
 ) -> DataFrame:
     """The matching reviews, unordered: user_id and the history columns.
 
     What is asked of a review's issues is decided per issue row first and brought
-    down to one row per review inside each task; only review ids are shuffled.
+    down to one row per review inside each task; only review ids are shuffled.  With an
+    ``index`` of all texts, a text is looked up there and neither issues nor reports are read.
     """
     p = params
     parents = reviews
@@ -119,9 +121,14 @@ def search(
     found = parents.join(owners, "repository_id")
     if p.q:
         pattern = _like_pattern(p.q)
-        in_issue = issues.where(_any_like(["title", "explanation", "file_path"], pattern))
-        hits = in_issue.select(F.col("review_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
-        in_review = _any_like(["summary", "report_markdown", "owner", "name"], pattern)
+        matching = index.matching(pattern) if index is not None else None
+        if matching is None:
+            in_issue = issues.where(_any_like(["title", "explanation", "file_path"], pattern))
+            matching = in_issue.select("review_id").distinct()
+            in_review = _any_like(["summary", "report_markdown", "owner", "name"], pattern)
+        else:
+            in_review = _any_like(["owner", "name"], pattern)
+        hits = matching.select(F.col("review_id").alias("id"), F.lit(True).alias("_hit"))
         found = found.join(hits, "id", "left").where(in_review | F.col("_hit").isNotNull())
     return found.withColumn("repository_name", F.concat("owner", F.lit("/"), "name")).select(
         "user_id", *HISTORY_COLUMNS
@@ -147,12 +154,5 @@ def search_page(found: DataFrame, params: SearchParams) -> DataFrame:
 
 
 def search_positions(found: DataFrame, sort: str) -> DataFrame:
-    """All matches with their place in their user's result.
-
-    Scores and counts are buckets of their own, and one that many reviews share (100,
-    or no issues) falls apart by the first characters of the id that breaks the tie.
-    """
-    column = sort.removeprefix("-")
-    if column == "created_at":
-        return position_within(found, ["user_id"], F.to_date(column), _order(sort), sort.startswith("-"))
-    return position_within(found, ["user_id"], F.col(column), _order(sort), sort.startswith("-"), ties=F.left("id", F.lit(3)))
+    """All matches with their place in their user's result."""
+    return position_within(found, ["user_id"], _order(sort))

@@ -107,10 +107,19 @@ def test_lookups(spark, tables):
     assert board == {"u": (3, 2, 9), "v": (1, 0, 0)}
 
 
-def test_positions_equal_a_window(spark):
-    df = spark.range(500).selectExpr("id % 3 as k", "(id * 7919) % 97 as v", "id")
-    placed = joins.position_within(df, ["k"], F.floor(F.col("v") / 10), [F.desc("v"), F.asc("id")], True)
-    for k in range(3):
-        rows = sorted((r for r in placed.collect() if r.k == k), key=lambda r: r.position)
-        assert [r.position for r in rows] == list(range(1, len(rows) + 1))
-        assert [(r.v, r.id) for r in rows] == sorted(((r.v, r.id) for r in rows), key=lambda x: (-x[0], x[1]))
+def test_positions_equal_a_sorted_list(spark):
+    """A key with most of the rows lies in several ranges; so does one with equal values."""
+    df = spark.range(3000).selectExpr("if(id % 10 < 8, 'hot', concat('k', id % 50)) as k", "if(id % 3 = 0, 7, (id * 7919) % 97) as v", "id", "'x' as _key")
+    df = df.unionByName(spark.createDataFrame([(None, 1, 5000, "x"), (None, 2, 5001, "x")], "k string, v long, id long, _key string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = joins.position_within(df, ["k"], [F.desc("v"), F.asc("id")])
+        rows = placed.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.columns == [*df.columns, "position"] and "Window" not in placed._jdf.queryExecution().toString()
+    for k in {r.k for r in rows}:
+        mine = sorted((r for r in rows if r.k == k), key=lambda r: r.position)
+        assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+        assert [(r.v, r.id) for r in mine] == sorted(((r.v, r.id) for r in mine), key=lambda x: (-x[0], x[1]))
+    assert joins.position_within(df.where("false"), ["k"], [F.desc("v")]).count() == 0
