@@ -38,6 +38,13 @@ ORACLES["scan_order"] = f"""
     select doc_id, review_id, file_path, language,
       row_number() over (partition by review_id order by string_split(file_path, '/')) as position
     from p"""
+ORACLES["corpus_scan"] = f"""
+    with t as (select *, case when doc_id % 16 = 5 then repeat(text, 1100000 // length(text) + 1) else text end as x from documents)
+    select doc_id, source as review_id, {_LANGUAGE} as language,
+      'd' || doc_id || '/' || {_list(V.FOLDERS)}[doc_id % 9 + 1] || '/f' || doc_id || {_list(V.EXTENSIONS)}[doc_id % 17 + 1] as file_path,
+      octet_length(encode(x)) as size_bytes,
+      sha256(regexp_replace(x, '\\r\\n?', chr(10), 'g')) as digest
+    from t where {_FOLDER_KEPT} and {_LANGUAGE} <> 'unknown' and octet_length(encode(x)) <= 1048576"""
 ORACLES["detect_language"] = f"select doc_id, {_LANGUAGE} as language from documents"
 ORACLES["filter_ignored_folders"] = f"select doc_id from documents where {_FOLDER_KEPT}"
 ORACLES["filter_ignored_ext"] = f"select doc_id from documents where {_EXT_KEPT}"
@@ -351,6 +358,89 @@ ORACLES["review_summary"] = f"""
         || ' issues with an overall score of ' || overall_score || '.' as summary
     from scores"""
 
+# The same over files of all kinds. Lines are lists here, made from the columns.
+_TEMPLATE_LISTS = "[" + ", ".join(_list([t for t, _ in V.templates_of(name)]) for name in V.CODE_LANGUAGES) + "]"
+
+
+def _times(line: str, n: str) -> str:
+    return f"list_transform(range(0, {n}), lambda _: '{line}')"
+
+
+_MIXED_ISSUES = f"""
+    {_DOC_LINES.replace("doc_lines as", "text_lines as")},
+    {_NUMBERED.replace("doc_lines", "text_lines")}, {_CODE_ISSUES}, {_PY},
+    counted_lines as (select *, {_SKIPPED} as skipped from numbered),
+    code_texts as (
+      select 'c' || o_custkey as review_id, 'src/' || o_orderkey || {_ENDINGS}[lang + 1] as file_path, {_list(V.CODE_LANGUAGES)}[lang + 1] as language,
+        list_transform(range(1, 4 + o_orderkey % 13),
+          lambda i: templates[lang + 1][(o_orderkey // 7 + i) % len(templates[lang + 1]) + 1]) as lines
+      from (select *, o_orderkey % 7 as lang, {_TEMPLATE_LISTS} as templates from orders)),
+    e as (select *, 'u' || user_id as review_id, {_K} as k, cast(floor(value) as int) as v from events),
+    doc_lines as (
+      select review_id, file_path, 'javascript' as language, lines from text_lines
+      union all select review_id, file_path, language, case when lines[-1] = '' then lines[:-2] else lines end from code_texts
+      union all select review_id, 'm/' || event_id || '.go', 'go', {_times("x", "k * 10 + event_id % 2")} from e
+      union all select review_id, 'm/' || event_id || '.ts', 'typescript',
+        {_times("x;", "event_id % 3")} || [case when event_id % 5 = 0 then 'const g = async (a) => {{' else 'function f(a) {{' end]
+        || {_times("  a += 1;", "k")} || ['  if (a) {{'] || {_times("    a += 2;", "v % 70")} || ['  }}']
+        || case when event_id % 17 = 0 then [] else ['}}'] end || ['x;', 'x;'] from e
+      union all select review_id, 'm/' || event_id || '.py', 'python',
+        [case when event_id % 3 = 0 then '\"\"\"Module.\"\"\"' else 'x = 0' end, 'import mod_a', 'from pkg import long_name as b2',
+          case when event_id % 2 = 0 then 'print(mod_a)' else 'print(b2)' end, 'class Box:',
+          case when event_id % 5 = 0 then '    "Doc."' else '    pass' end,
+          'def ' || case event_id % 13 when 0 then 'fn' when 1 then '_hidden' when 2 then '__dunder__' else 'work_item' end || '(a):',
+          case when event_type = 'view' then '    "Doc."' else '    a = 1' end]
+        || {_times("    a += 1", "k")} || list_transform(range(0, 2 * (v % 15)), lambda i: case when i % 2 = 0 then '    if a:' else '        a = 2' end)
+        || case when event_id % 4 = 0 then ['    c = a and b or a'] else [] end
+        || [case event_type when 'error' then '    eval("1")' when 'purchase' then '    subprocess.run("x", shell=True)'
+          when 'click' then '    subprocess.Popen("x", shell=True)' when 'signup' then '    subprocess.call("x", shell=False)' else '    pass' end, '    return a']
+        || case when user_id % 11 = 0 then ['def broken(:'] else [] end from e),
+    {_BLOCKS}, {_GROUPED.format(review="review_id")},
+    issues as (
+      select review_id, file_path, 'long-line' as rule_id, 'low' as severity, line_no as line_start from counted_lines
+        where not skipped and length(line) > 120
+      union all select review_id, file_path, 'todo-comment', 'info', line_no from counted_lines
+        where not skipped and regexp_matches(line, '{_NOT_WORD}(TODO|FIXME|HACK|XXX)([^\\pL\\pN_]|$)')
+      union all select review_id, file_path, 'hardcoded-api-key', 'high', line_no from counted_lines
+        where not skipped and regexp_matches(line, '{_SECRET}')
+      union all select review_id, file_path, 'aws-access-key', 'critical', line_no from counted_lines
+        where not skipped and regexp_matches(line, 'AKIA[0-9A-Z]{{16}}')
+      union all select review_id, file_path, rule_id, severity, line_start from ({_script_hits("numbered")})
+      union all select review_id, file_path, rule_id, severity, line_start from code_issues
+      union all select review_id, file_path, rule_id, severity, line_start
+        from ({" union all ".join(_py_oracle(*s) for s in [*_PARSED, _SYNTAX])})
+      union all select review_id, file_path, 'long-function-heuristic', 'medium', line_start from ({ORACLES["long_functions_js"]})
+      union all select review_id, file_path, 'large-file', 'medium', 1 from doc_lines where len(lines) > 500
+      union all select review_id, places[1].f, 'duplicated-block', 'medium', places[1].s from grouped)"""
+ORACLES["static_review_issues"] = f"""
+    with {_MIXED_ISSUES}
+    select review_id, file_path, rule_id, severity, count(*) as n, cast(sum(line_start) as bigint) as lines from issues group by all"""
+_MIXED_RESULTS = f"""
+    {_MIXED_ISSUES},
+    totals as (
+      select review_id, file_path, count(*) as n, sum(cast({_PENALTY} as decimal(18, 1))) as penalty from issues group by all),
+    results as (
+      select review_id, file_path, language, len(lines) as line_count, coalesce(n, 0) as issues_count,
+        cast(greatest(0, 100 - coalesce(penalty, 0)) as double) as file_score
+      from doc_lines left join totals using (review_id, file_path))"""
+ORACLES["static_review_files"] = f"with {_MIXED_RESULTS} select * from results"
+ORACLES["static_review_summary"] = f"""
+    with {_MIXED_RESULTS},
+    ids as (
+      select distinct p || id as review_id, id from (
+        select source as id from documents union select 'c' || o_custkey from orders union select 'u' || user_id from events),
+        (values (''), ('empty-')) v(p)),
+    per_review as (
+      select review_id, count(*) as files, sum(issues_count) as n,
+        cast(printf('%.2f', sum(file_score) / count(*)) as double) as score from results group by review_id),
+    scores as (
+      select review_id, id, coalesce(files, 0) as files_analyzed, cast(coalesce(n, 0) as bigint) as issues_count,
+        coalesce(score, 100.0) as overall_score from ids left join per_review using (review_id))
+    select review_id, 'completed' as status, files_analyzed, issues_count, overall_score,
+      'Analyzed ' || files_analyzed || ' files in own/' || id || '. Found ' || issues_count
+        || ' issues with an overall score of ' || overall_score || '.' as summary
+    from scores"""
+
 _SEVERITY_RANK = "case severity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(SEVERITIES)) + " end"
 ORACLES["severity_counts"] = f"""
     with {V.oracle_ctes("issues_v")}
@@ -413,6 +503,9 @@ for _key, _where in {
     "search_by_severity": _HAS.format("i.severity = 'critical'"),
     "search_text": _like("%TITLE 7%"),
     "search_text_wildcard": _like("%order_%9%"),
+    "search_text_index": _like("%TITLE 7%"),
+    "search_wildcard_index": _like("%order_%9%"),
+    "search_index_filters": f"status = 'completed' and overall_score >= 20 and {_like('%explains 1%')}",
 }.items():
     ORACLES[_key] = f"{_FOUND} select user_id, id from r where {_where}"
 ORACLES["search_total"] = f"""{_FOUND}
@@ -420,8 +513,11 @@ ORACLES["search_total"] = f"""{_FOUND}
     where overall_score >= 50 and {_HAS.format("i.severity = 'high'")} group by user_id"""
 for _key, _order in {
     "search_sort_score": "overall_score",
+    "search_sort_score_down": "overall_score desc",
     "search_sort_issues": "issues_count desc",
+    "search_sort_issues_up": "issues_count",
     "search_sort_created": "created_at desc",
+    "search_sort_created_up": "created_at",
 }.items():
     ORACLES[_key] = f"""{_FOUND}
         select user_id, id, row_number() over (partition by user_id order by {_order}, id) as position from r"""
@@ -442,6 +538,12 @@ _TOP = """
       from doc_lines d)"""
 ORACLES["ai_top_files"] = f"""
     with {_DOC_LINES}, {_TOP} select review_id, file_path, file_rank from top where file_rank <= 10"""
+ORACLES["ai_prepared_files"] = f"""
+    with {_DOC_LINES}, {_TOP}
+    select review_id, file_path, 'javascript' as language, len(lines) as line_count from top where file_rank <= 10"""
+ORACLES["ai_without_files"] = """
+    select distinct 'empty-' || source as review_id, 'failed' as status, 'There are no source files to review' as error_message
+    from documents"""
 # The budget, spelled out: walk the lines as long as they fit.
 _SNIPPETS = f"""
     {_DOC_LINES}, {_TOP},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -25,9 +26,11 @@ from lintmill.operators import (
     scoring,
     search,
     settings,
+    text_index,
 )
 from lintmill.plans import ai_review, export, static_review
 from lintmill.schemas import DEFAULT_SETTINGS
+from lintmill.session import checkpoint_dir
 from lintmill.sources import corpus, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +61,20 @@ def _user_settings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_order(spark, sf):
     kept = corpus.analyzable(V.paths_v(spark, sf))
-    key = text.path_key(F.col("file_path"))
-    placed = joins.position_within(
-        kept.withColumn("_key", key), ["review_id"], F.left("_key", F.lit(6)), [F.asc("_key"), F.asc("doc_id")], False
-    )
+    placed = joins.position_within(kept, ["review_id"], [F.asc(text.path_key(F.col("file_path"))), F.asc("doc_id")])
     return placed.select("doc_id", "review_id", "file_path", "language", "position")
 
 
+@query
+def corpus_scan(spark, sf):
+    """Files on disk, listed, chosen, opened and put in order."""
+    files = corpus.read_corpus(spark, V.corpus_on_disk(spark, sf), repository_depth=1)
+    doc_id = F.regexp_extract("file_path", "^d([0-9]+)/", 1).cast("long")
+    return files.select(
+        doc_id.alias("doc_id"), "review_id", "file_path", "language", "size_bytes", F.sha2("content", 256).alias("digest")
+    )
+
+
 @query
 def detect_language(spark, sf):
     language = F.coalesce(text.language_of(F.col("file_path")), F.lit("unknown"))
@@ -323,9 +333,9 @@ def _docs_reviews(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _docs_results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    files = V.docs_files(spark, sf)
-    issues = static_review.all_issues(files)
-    return scoring.file_results(scoring.line_counts(files), issues), issues
+    scanned = static_review.Scanned(V.docs_files(spark, sf))
+    issues = static_review.all_issues(scanned)
+    return static_review.scored_files(scanned, issues), issues
 
 
 @query
@@ -356,6 +366,29 @@ def review_summary(spark, sf):
     return scoring.review_summaries(results, issues, *_docs_reviews(spark, sf))
 
 
+def _static_review(spark: SparkSession, sf: str) -> static_review.StaticReview:
+    """The whole job over files of every language."""
+    return static_review.run_static_review(V.mixed_files(spark, sf), *V.mixed_reviews(spark, sf), F.lit("2024-05-01").cast("timestamp"))
+
+
+@query
+def static_review_issues(spark, sf):
+    issues = _static_review(spark, sf).issues
+    return issues.groupBy("review_id", "file_path", "rule_id", "severity").agg(F.count("*").alias("n"), F.sum("line_start").alias("lines"))
+
+
+@query
+def static_review_files(spark, sf):
+    return _static_review(spark, sf).file_results
+
+
+@query
+def static_review_summary(spark, sf):
+    return _static_review(spark, sf).reviews.select(
+        "review_id", "status", "files_analyzed", "issues_count", "overall_score", "summary"
+    )
+
+
 @query
 def severity_counts(spark, sf):
     return scoring.severity_counts(V.catalogue(spark, sf, "issues_v"))
@@ -449,6 +482,24 @@ _filtered("search_text", q=" TITLE 7 ")
 _filtered("search_text_wildcard", q="order_%9")
 
 
+def _indexed(name: str, **params) -> None:
+    """The same searches through an index of all texts."""
+
+    def run(spark, sf):
+        reviews, repos, issues = _catalogue(spark, sf)
+        index = text_index.TextIndex(spark, f"{checkpoint_dir(spark)}/lintmill/{uuid.uuid4().hex}/index")
+        texts = text_index.issue_texts(issues).unionByName(text_index.own_texts(reviews))
+        index.append(texts, reviews.select(F.col("id").alias("review_id")))
+        return search.search(reviews, repos, issues, search.SearchParams(**params), index).select("user_id", "id")
+
+    QUERIES[name] = run
+
+
+_indexed("search_text_index", q=" TITLE 7 ")
+_indexed("search_wildcard_index", q="order_%9")
+_indexed("search_index_filters", q="explains 1", status="completed", min_score=20.0)
+
+
 @query
 def search_total(spark, sf):
     return search.search_total(_search(spark, sf, severity="high", min_score=50.0))
@@ -463,8 +514,11 @@ def _sorted(name: str, sort: str) -> None:
 
 
 _sorted("search_sort_score", "overall_score")
+_sorted("search_sort_score_down", "-overall_score")
 _sorted("search_sort_issues", "-issues_count")
+_sorted("search_sort_issues_up", "issues_count")
 _sorted("search_sort_created", "-created_at")
+_sorted("search_sort_created_up", "created_at")
 
 
 @query
@@ -489,6 +543,20 @@ def ai_snippets(spark, sf):
     return rows.select("review_id", "file_path", F.length("snippet").alias("n_chars"), F.md5("snippet").alias("digest"))
 
 
+def _prepared(spark: SparkSession, sf: str) -> ai_review.Prepared:
+    return ai_review.prepare(V.docs_files(spark, sf), *_docs_reviews(spark, sf))
+
+
+@query
+def ai_prepared_files(spark, sf):
+    return _prepared(spark, sf).chosen
+
+
+@query
+def ai_without_files(spark, sf):
+    return _prepared(spark, sf).without_files
+
+
 @query
 def ai_prompts(spark, sf):
     rows = ai_prepare.prompts(ai_prepare.snippets(V.docs_files(spark, sf)), *_docs_reviews(spark, sf))

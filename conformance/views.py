@@ -8,9 +8,16 @@ Every text is made inside its own row, so the views grow with the tables.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lintmill.functions.text import language_of
+from lintmill.session import checkpoint_dir
+from lintmill.sources.listing import file_system
 
 SOURCE_TABLES = ["nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "pages"]
 
@@ -323,3 +330,46 @@ def script_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             from {{events}}""",
         events=corpus_table(spark, sf_dir, "events", "event_id"),
     )
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every language and kind; reviews of users hold Go, Python and TypeScript files."""
+    columns = ["review_id", "file_path", "language", "content"]
+    parts = [f.select(columns) for f in (
+        docs_files(spark, sf_dir), code_files(spark, sf_dir), large_files(spark, sf_dir),
+        python_files(spark, sf_dir, broken=True), script_files(spark, sf_dir))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mixed_reviews(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A review for each of them, an empty one beside it, and their repositories."""
+    ids = spark.sql(
+        """select source as id from {documents} union select 'c' || cast(o_custkey as string) from {orders}
+           union select 'u' || cast(user_id as string) from {events}""",
+        **{t: table(spark, sf_dir, t) for t in ("documents", "orders", "events")},
+    )
+    reviews = spark.sql("select p || id as id, id as repository_id from {ids} lateral view explode(array('', 'empty-')) t as p", ids=ids)
+    return reviews, spark.sql("select id, 'own' as owner, id as name from {ids}", ids=ids)
+
+
+def corpus_on_disk(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files below a folder for each source, by their paths of ``paths_v``; returns the root.
+
+    Texts of large documents stand for files; a sixteenth of them is repeated until it passes the default limit.
+    """
+    root = f"{checkpoint_dir(spark)}/lintmill/{uuid.uuid4().hex}/corpus"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, target = file_system(f"{root}/{path}")
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    texts = table(spark, sf_dir, "documents").selectExpr("doc_id", "case when doc_id % 16 = 5 then repeat(text, int(1100000 / length(text)) + 1) else text end as text")
+    # Several files of a source are called ``.py``: each gets a folder of its own.
+    paths = paths_v(spark, sf_dir).selectExpr("doc_id", "review_id || '/d' || cast(doc_id as string) || '/' || file_path as path")
+    paths.join(texts, "doc_id").select("path", "text").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    return root
