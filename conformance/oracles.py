@@ -763,6 +763,14 @@ ORACLES["audit_unique"] = f"""
       from by_email where n > 1
     union all select 'users', 'not_unique', 'github_id', '5', n from by_id where n > 1
     union all select 'reviews', 'not_unique', 'id', 'twice' || repository_id, n from failed where n > 1"""
+_FILE_RESULTS, _SETTINGS = V.oracle_ctes("file_results_v"), V.oracle_ctes("settings_v")
+ORACLES["audit_child_ids"] = f"""
+    with {_ISSUES}, {_FILE_RESULTS}, {_SETTINGS}
+    select 'review_issues' as table_name, 'id' as column_name, count(*) as n_values, 2 * count(*) as n_rows
+      from issues_v where title in ('Title 7', 'Title 8')
+    union all select 'file_analysis_results', 'id', count(*), 2 * count(*) from file_results_v where line_count > 60
+    union all select 'user_settings', c, count(*), 2 * count(*) from settings_v, (values ('id'), ('user_id')) v(c)
+      where max_file_size_bytes is not null group by c"""
 ORACLES["audit_orphans"] = f"""
     with {_REVIEWS},
     running as (select repository_id, count(*) as n from reviews_v where status = 'running' group by 1),

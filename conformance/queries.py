@@ -923,6 +923,19 @@ def audit_unique(spark, sf):
     return maintenance.audit_unique(_flawed(spark, sf))
 
 
+@query
+def audit_child_ids(spark, sf):
+    """Rows with made ids, some of them stored twice: violations by table."""
+    views = {"review_issues": ("issues_v", "title in ('Title 7', 'Title 8')"), "file_analysis_results": ("file_results_v", "line_count > 60"),
+             "user_settings": ("settings_v", "max_file_size_bytes is not null")}
+    flawed = {}
+    for name, (view, twice) in views.items():
+        rows = maintenance.identified(V.catalogue(spark, sf, view), name)
+        flawed[name] = rows.unionByName(rows.where(twice))
+    found = maintenance.audit_unique(flawed)
+    return found.groupBy("table_name", "column_name").agg(F.count("*").alias("n_values"), F.sum("n_rows").alias("n_rows"))
+
+
 @query
 def audit_orphans(spark, sf):
     return maintenance.audit_orphans(_flawed(spark, sf))

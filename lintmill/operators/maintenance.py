@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintmill.functions.repo_ref import html_url, parse_repo_ref
 from lintmill.operators.joins import first_per_key, rows_not_of, salted_join
-from lintmill.schemas import MAX_LENGTHS, TABLES, VALUE_DOMAINS
+from lintmill.schemas import IDENTITY, MAX_LENGTHS, TABLES, VALUE_DOMAINS
 
 
 def stable_id(*parts: Column | str) -> Column:
@@ -15,6 +15,21 @@ def stable_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def identified(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a table with an ``id``: those that have none get one from what tells them apart.
+
+    A repeated task, and a repeated job, makes the same ids. Rows that nothing tells apart are
+    numbered, so no two rows of a run have one id.
+    """
+    old = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
+    others = [c for c in rows.columns if c != "id"]
+    every = {"ignoreNullFields": "false"}
+    marked = rows.withColumn("_key", F.sha2(F.to_json(F.struct(*[c for c in IDENTITY[name] if c in others]), every), 256))
+    numbers = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*others), every))
+    number = F.row_number().over(numbers).cast("string")
+    return marked.withColumn("id", F.coalesce(old, stable_id(F.lit(name), F.col("_key"), number))).drop("_key")
+
+
 # ---- repositories -----------------------------------------------------------
 
 
@@ -304,6 +319,9 @@ UNIQUE_KEYS = [
     ("repositories", "id"),
     ("reviews", "id"),
     ("user_settings", "user_id"),
+    ("user_settings", "id"),
+    ("review_issues", "id"),
+    ("file_analysis_results", "id"),
 ]
 FOREIGN_KEYS = [
     ("repositories", "user_id", "users"),

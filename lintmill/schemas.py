@@ -133,6 +133,7 @@ ISSUES = _table(
     ("title", _S),
     ("explanation", _S),
     ("suggestion", _S),
+    ("id", _S, True),
 )
 FILE_RESULTS = _table(
     ("review_id", _S),
@@ -141,6 +142,7 @@ FILE_RESULTS = _table(
     ("line_count", _I),
     ("issues_count", _I),
     ("file_score", _D),
+    ("id", _S, True),
 )
 USER_SETTINGS = _table(
     ("user_id", _S),
@@ -151,6 +153,7 @@ USER_SETTINGS = _table(
     ("max_file_size_bytes", _I, True),
     ("created_at", _TS),
     ("updated_at", _TS),
+    ("id", _S, True),
 )
 FILES = _table(
     ("review_id", _S),
@@ -170,6 +173,13 @@ TABLES = {
     "user_settings": USER_SETTINGS,
 }
 
+# What tells the rows of a table apart; equal rows are numbered (see ``maintenance.identified``).
+IDENTITY = {
+    "review_issues": [c for c in ISSUES.fieldNames() if c != "id"],
+    "file_analysis_results": ["review_id", "file_path"],
+    "user_settings": ["user_id"],
+}
+
 # Values a row written before a column existed is read with.
 COLUMN_DEFAULTS = {
     "users": {"auth_provider": "local", "is_active": True},
@@ -219,4 +229,4 @@ VALUE_DOMAINS = {
     "review_issues": {"category": CATEGORIES, "severity": SEVERITIES},
 }
 
-ISSUE_COLUMNS = ISSUES.fieldNames()
+ISSUE_COLUMNS = [c for c in ISSUES.fieldNames() if c != "id"]

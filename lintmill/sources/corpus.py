@@ -114,12 +114,14 @@ def read_corpus(
     repository_depth: int = 0,
     owners: DataFrame | None = None,
     settings: DataFrame | None = None,
+    only_owned: bool = False,
 ) -> DataFrame:
     """The analysable files below ``root`` as a ``files`` table.
 
     ``review_id`` names the review; without it each repository is its own.  With
     ``owners`` (repository_path, user_id) and ``settings`` (see ``effective_settings``)
-    a file is held against its owner's limits, otherwise against the defaults.
+    a file is held against its owner's limits, otherwise against the defaults; with
+    ``only_owned`` files of other repositories are not opened.
 
     Paths are listed and chosen first and only the chosen files are opened (see
     ``listing``). In a store that only Spark can read, Spark's own scan lists and opens.
@@ -132,7 +134,7 @@ def read_corpus(
     else:
         listed = list_corpus(spark, root, repository_depth, source_glob())
     if owners is not None:
-        listed = listed.join(owners.select("repository_path", "user_id"), "repository_path", "left")
+        listed = listed.join(owners.select("repository_path", "user_id"), "repository_path", "inner" if only_owned else "left")
     kept = analyzable(listed, settings if owners is not None else None)
     if two_phase:
         kept = opened(written(kept, "listing"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintmill.operators.maintenance import identified
 from lintmill.schemas import TABLES
 
 BUCKETS = 512
@@ -98,13 +99,13 @@ def _visible(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def append_rows(df: DataFrame, folder: str, name: str) -> int:
-    """Store rows as a new run, which nobody sees yet.
+    """Store rows, with their ids, as a new run, which nobody sees yet.
 
     Rebalancing gives each bucket few files and lets adaptive execution split a bucket
     that one huge review fills over as many writers as its size asks for.
     """
     run = time.time_ns()
-    rows = df.withColumn("review_bucket", review_bucket(F.col("review_id"))).withColumn("run", F.lit(run))
+    rows = identified(df, name).withColumn("review_bucket", review_bucket(F.col("review_id"))).withColumn("run", F.lit(run))
     rows.hint("rebalance", "review_bucket").write.mode("append").partitionBy("review_bucket", "run").parquet(f"{folder}/{name}")
     return run
 
@@ -140,7 +141,10 @@ def compact(spark: SparkSession, folder: str, name: str) -> int:
         return 0
     copied = time.time_ns()
     rows = _visible(_stored(spark, folder, name, buckets), state).drop("_known", "stored")
-    rows.withColumn("run", F.lit(copied)).hint("rebalance", "review_bucket").write.mode("append").partitionBy("review_bucket", "run").parquet(f"{folder}/{name}")
+    # Rows from before they had ids get theirs here.
+    kept = rows.drop("run")
+    ids = identified(kept.drop("review_bucket"), name).withColumn("review_bucket", review_bucket(F.col("review_id")))
+    ids.withColumn("run", F.lit(copied)).hint("rebalance", "review_bucket").write.mode("append").partitionBy("review_bucket", "run").parquet(f"{folder}/{name}")
     # The same runs as before, at another place. Reviews of run 0 get their first name here.
     nameless = rows.select("review_id").distinct().join(state, "review_id", "left_anti").select("review_id", F.lit(0).cast("long").alias("run"))
     named = state.where(F.col("stored").isNotNull() & review_bucket(F.col("review_id")).isin(buckets)).select("review_id", "run")

@@ -1,3 +1,4 @@
+import random
 import re
 from urllib.parse import urlsplit
 
@@ -166,3 +167,34 @@ def test_audits(spark, tables):
                      ("unknown_value", "severity"): 1, ("out_of_range", "confidence"): 1}
     fine, odd = M.quarantine_issues(issues)
     assert (fine.count(), odd.count()) == (1, 2)
+
+
+def test_no_merge_breaks_a_unique_key(spark):
+    """Random batches: whatever they ask for, no two accounts end with one address or link."""
+    rnd = random.Random(4)
+    schema = ("id string, email string, hashed_password string, full_name string, github_id long, github_username string, avatar_url string, "
+              "auth_provider string, is_active boolean, created_at timestamp, updated_at timestamp")
+    for _ in range(3):
+        users = [(f"u{i}", f"a{i}@x.io", None, None, i if i % 2 else None, None, None, "local", True, None, None) for i in range(12)]
+        asked = [(rnd.choice([1, 3, 5, 7, 9, 11, *range(20, 30)]), "n", f"{rnd.choice('aA')}{rnd.randrange(16)}@x.io", None, None, seq) for seq in range(40)]
+        profiles = spark.createDataFrame(asked, "github_id long, username string, email string, full_name string, avatar_url string, seq int")
+        frame = spark.createDataFrame(users, schema)
+        resolved = M.resolve_accounts(frame, profiles).cache()
+        merged = M.merge_accounts(frame, resolved, F.lit("2024-01-01").cast("timestamp"))
+        lowered = merged.withColumn("email", F.lower("email"))
+        assert M.audit_unique({"users": lowered}).collect() == []
+        actions = {r.action for r in resolved.collect()}
+        assert "conflict" in actions and {"update", "create"} <= actions
+        resolved.unpersist()
+
+
+def test_a_taken_address_is_a_conflict(spark):
+    schema = "id string, email string, github_id long, full_name string, auth_provider string"
+    users = spark.createDataFrame([("u1", "a@x.io", 1, None, "github"), ("u2", "b@x.io", 2, None, "github"), ("u3", "c@x.io", 3, None, "local")], schema)
+    profiles = spark.createDataFrame(
+        [(1, "n", "b@x.io", None, None, 1), (2, "n", "new@x.io", None, None, 2), (3, "n", "new@x.io", None, None, 3), (9, "n", "new@x.io", None, None, 4), (8, "n", "a@x.io", None, None, 5)],
+        "github_id long, username string, email string, full_name string, avatar_url string, seq int")
+    found = {r.github_id: (r.action, r.user_id) for r in M.resolve_accounts(users, profiles).collect()}
+    # u1 may not have u2's address, which u2 itself gives up only in this batch; u3 asks last for the new one.
+    assert found[1] == ("conflict", None) and found[2] == ("conflict", None) and found[3] == ("update", "u3")
+    assert found[9] == ("conflict", None) and found[8] == ("link", "u1")

@@ -9,7 +9,7 @@ NAME = "review_issues"
 
 
 def issue(review, path, rule):
-    return (review, path, 1, None, "bug", "low", 0.5, rule, "t", "e", "s")
+    return (review, path, 1, None, "bug", "low", 0.5, rule, "t", "e", "s", None)
 
 
 @pytest.fixture
@@ -147,3 +147,31 @@ def test_a_run_after_the_delete_counts(store):
     assert store.seen() == []
     store.write(("r1", "a", "v2"))
     assert store.seen() == [("r1", "a", "v2")]
+
+
+def test_ids(spark, store):
+    """Equal rows differ in their ids, a repeated run does not; older rows get ids by compaction."""
+    twice = [("r1", "a", "v")] * 3 + [("r1", "b", "v"), ("r2", "a", "v")]
+
+    def ids():
+        return sorted(r.id for r in tables.read_table(spark, store.folder, NAME).collect())
+
+    store.write(*twice)
+    first = ids()
+    assert len(set(first)) == 5
+    store.write(*twice[::-1])
+    assert ids() == first and store.compact() and ids() == first
+    from lintmill.operators.maintenance import audit_unique
+
+    stored = {NAME: tables.read_table(spark, store.folder, NAME)}
+    assert audit_unique(stored).count() == 0
+    assert audit_unique({NAME: stored[NAME].unionByName(stored[NAME].where("file_path = 'b'"))}).count() == 1
+
+
+def test_ids_of_rows_from_before_they_had_any(spark, store):
+    rows = store.rows(("r1", "a", "old"), ("r1", "a", "old")).drop("id")
+    rows.withColumn("review_bucket", runs.review_bucket(rows["review_id"])).write.partitionBy("review_bucket").parquet(f"{store.folder}/{NAME}")
+    assert {r.id for r in tables.read_table(spark, store.folder, NAME).collect()} == {None}
+    assert store.compact() == 1
+    found = [r.id for r in tables.read_table(spark, store.folder, NAME).collect()]
+    assert len(found) == len(set(found)) == 2 and None not in found

@@ -43,7 +43,7 @@ def test_limits_of_each_user(spark):
 
 
 def issue(review, path, rule):
-    return (review, path, 1, None, "bug", "low", 0.5, rule, "t", "e", "s")
+    return (review, path, 1, None, "bug", "low", 0.5, rule, "t", "e", "s", None)
 
 
 def test_replacing_results_on_disk(spark, tmp_path):
