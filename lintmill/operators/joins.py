@@ -12,47 +12,58 @@ from pyspark.sql import functions as F
 
 from lintmill.session import written
 
-SALTS = 16
+#: Rows of one key that a single task may have in a join.
+ROWS_PER_TASK = 1_000_000
 
 
-def salted_join(
+def hot_keys(rows: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more rows than one task should have, and over how many tasks (``_salts``) to spread each.
+
+    Counted inside the tasks first, from the key columns alone. There are at most as many as
+    ``rows_per_task`` goes into the number of rows.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    return written(counts.select(*on, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts")), "hot_keys")
+
+
+def spread_join(
     rows: DataFrame,
     keys: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str,
-    keep_salt: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join many ``rows`` to one row per key, a hot key spread over several tasks.
-
-    ``keys`` is repeated once per salt, so it should be far smaller than
-    ``rows`` (one row per review against all issues, say).  ``spread_by`` are
-    columns of ``rows`` that vary within a key.  A grouping that follows and holds
-    both can keep ``_salt`` among its keys and needs no further shuffle.
+    """Join many ``rows`` to one row per key; a key too hot for one task is spread over as many as it needs.
 
-    The hint asks for a shuffled hash join: salted keys are spread evenly, so each
-    task holds a small table of them and the many rows need no sort.  Left alone,
-    Spark would judge the keys by their size before the repetition and broadcast.
+    The rows are counted by key first. Without a hot key this is a plain join, which Spark plans
+    as it likes. Otherwise each hot key's row of ``keys`` is repeated once per salt and its
+    ``rows`` are dealt over the salts by ``spread_by``, columns that vary within a key; all other
+    keys have the one salt 0. ``rows`` should be cheap to read twice.
     """
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
-    salted_keys = keys.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    )
-    joined = salted_rows.join(salted_keys.hint("shuffle_hash"), [*on, "_salt"], how)
-    return joined if keep_salt else joined.drop("_salt")
+    hot = hot_keys(rows, on, rows_per_task)
+    if hot.isEmpty():
+        return rows.join(keys, list(on), how)
+    hot = F.broadcast(hot)
+    dealt = F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted_rows = rows.join(hot, list(on), "left").withColumn("_salt", dealt).drop("_salts")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    salted_keys = keys.join(hot, list(on), "left").withColumn("_salt", salts).drop("_salts")
+    # By the size of ``keys`` before the repetition Spark might broadcast it.
+    return salted_rows.join(salted_keys.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def rows_of(rows: DataFrame, reviews: DataFrame, spread_by: Sequence[str] = ("file_path",)) -> DataFrame:
     """The rows that belong to one of ``reviews`` (column review_id)."""
     ids = reviews.select("review_id").distinct()
-    return salted_join(rows, ids, ["review_id"], spread_by, "left_semi")
+    return spread_join(rows, ids, ["review_id"], spread_by, "left_semi")
 
 
 def rows_not_of(
     rows: DataFrame, reviews: DataFrame, spread_by: Sequence[str] = ("file_path",)
 ) -> DataFrame:
     ids = reviews.select("review_id").distinct()
-    return salted_join(rows, ids, ["review_id"], spread_by, "left_anti")
+    return spread_join(rows, ids, ["review_id"], spread_by, "left_anti")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintmill.functions.repo_ref import html_url, parse_repo_ref
-from lintmill.operators.joins import first_per_key, rows_not_of, salted_join
+from lintmill.operators.joins import first_per_key, rows_not_of, spread_join
 from lintmill.schemas import IDENTITY, MAX_LENGTHS, TABLES, VALUE_DOMAINS
+from lintmill.session import written
 
 
 def stable_id(*parts: Column | str) -> Column:
@@ -51,11 +52,13 @@ def register_repositories(requests: DataFrame, repositories: DataFrame) -> DataF
         F.when(too_long, "invalid_length").otherwise(F.col("_ref.error")).alias("error"),
     )
     keys = ["user_id", "owner", "name"]
+    # Parsed once: the requests are looked at three times.
+    parsed = written(parsed, "parsed_requests")
     valid = parsed.where(F.col("error").isNull())
     known = repositories.select(*keys).distinct().withColumn("_known", F.lit(True))
     firsts = valid.groupBy(*keys).agg(F.min("seq").alias("_first"))
     decided = firsts.join(known, keys, "left")
-    judged = salted_join(valid, decided, keys, ["seq"], "inner").withColumn(
+    judged = spread_join(valid, decided, keys, ["seq"], "inner").withColumn(
         "outcome",
         F.when(F.col("_known").isNull() & (F.col("seq") == F.col("_first")), "registered").otherwise(
             "duplicate"
@@ -260,7 +263,7 @@ def register_accounts(users: DataFrame, requests: DataFrame) -> DataFrame:
     rejected = every.where(F.col("email").isNull()).withColumn("outcome", F.lit("rejected"))
     taken = users.select("email").distinct().withColumn("_taken", F.lit(True))
     firsts = lowered.groupBy("email").agg(F.min("seq").alias("_first")).join(taken, "email", "left")
-    judged = salted_join(lowered, firsts, ["email"], ["seq"], "inner")
+    judged = spread_join(lowered, firsts, ["email"], ["seq"], "inner")
     free = F.col("_taken").isNull() & (F.col("seq") == F.col("_first"))
     outcome = F.when(free, "registered").otherwise("duplicate_email").alias("outcome")
     return judged.select(*requests.columns, outcome).unionByName(rejected.select(*requests.columns, "outcome"))

@@ -123,3 +123,27 @@ def test_positions_equal_a_sorted_list(spark):
         assert [r.position for r in mine] == list(range(1, len(mine) + 1))
         assert [(r.v, r.id) for r in mine] == sorted(((r.v, r.id) for r in mine), key=lambda x: (-x[0], x[1]))
     assert joins.position_within(df.where("false"), ["k"], [F.desc("v")]).count() == 0
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner", "left"])
+def test_hot_keys_are_spread_as_far_as_they_need(spark, how):
+    """Half of the rows have one key: it takes more than 16 tasks; the rest, and a table without, no salt."""
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id % 4000)) as review_id", "id as file_path")
+    rows = rows.unionByName(spark.createDataFrame([(None, 1)], "review_id string, file_path long"))
+    keys = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "review_id string, v int")
+    keys = keys if how in ("inner", "left") else keys.select("review_id")
+    plain = sorted(map(str, rows.join(keys, "review_id", how).collect()))
+    joined = joins.spread_join(rows, keys, ["review_id"], ["file_path"], how, rows_per_task=500)
+    assert "Generate" in joined._jdf.queryExecution().toString() and sorted(map(str, joined.collect())) == plain
+    assert [(r.review_id, r._salts) for r in joins.hot_keys(rows, ["review_id"], 500).collect()] == [("hot", 20)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        if how != "left_anti":
+            tasks = joined.where("review_id = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert len(tasks) > 14 and max(r["count"] for r in tasks) < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    cool = joins.spread_join(rows, keys, ["review_id"], ["file_path"], how, rows_per_task=50_000)
+    assert "Generate" not in cool._jdf.queryExecution().toString() and sorted(map(str, cool.collect())) == plain
