@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintmill.llm.common import fresh, key_of, slices, written
+from lintmill.llm.common import broadcast_if_small, fresh, key_of, slices, written
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -134,8 +134,8 @@ class Bpe:
         dealt = df.mapInArrow(cut, schema).repartition("_key", "chunk")
         return dealt.mapInArrow(scan, f"{schema}, head array<int>, tail array<int>")
 
-    def _pieces(self, chunks: DataFrame) -> DataFrame:
-        """Rows (_key, chunk, text) of the pieces between seams; text is null where a seam is missing."""
+    def _pieces(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows (_key, chunk, text) of the pieces between seams, text null where one is missing; and (_key) of the texts that miss one."""
         slim = chunks.select("_key", "chunk", "head")
         before = chunks.select("_key", (F.col("chunk") + 1).alias("chunk"), "tail")
         seams = slim.join(before, ["_key", "chunk"]).select("_key", "chunk", F.array_min(F.array_intersect("head", "tail")).alias("seam"))
@@ -146,7 +146,8 @@ class Bpe:
         begin = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.col("begin") - base)
         length = F.when(F.col("last"), F.length("text")).otherwise(F.col("end") - base) - begin
         joined = chunks.select("_key", "chunk", "text", "last").join(starts, ["_key", "chunk"], "left").join(ends, ["_key", "chunk"], "left")
-        return joined.select("_key", "chunk", F.substr("text", begin + 1, length).alias("text"))
+        broken = seams.where(F.col("seam").isNull()).select("_key").distinct()
+        return joined.select("_key", "chunk", F.substr("text", begin + 1, length).alias("text")), broken
 
     def encode(self, docs: DataFrame, text: str = "text", keys: list[str] | None = None, back: bool = False) -> DataFrame:
         """``keys`` (all other columns by default) and ``ids`` array<int> of every row.
@@ -161,15 +162,15 @@ class Bpe:
         own = fresh(docs, "_key")
         far = docs.where(long).withColumn(own, key_of(*[F.col(k) for k in keys], F.col(text)))
         chunks = written(self._chunks(far.select(F.col(own).alias("_key"), F.col(text).alias("_text"))), "bpe_chunks")
-        pieces = written(self._map_text(self._pieces(chunks).where(F.col("text").isNotNull()), "text", ["_key", "chunk"]), "bpe_pieces")
-        counts = chunks.groupBy("_key").agg(F.max("chunk").alias("most"))
-        # One text's pieces; the set drops those of repeated rows.
-        whole = pieces.groupBy("_key").agg(F.collect_set(F.struct("chunk", "ids")).alias("parts")).join(counts, "_key")
-        whole = whole.where(F.size("parts") == F.col("most") + 1)
-        whole = written(whole.select("_key", F.flatten(F.sort_array("parts")["ids"]).alias("ids")), "bpe_long")
-        whole = whole.withColumnRenamed("_key", own)
-        stitched = far.select(*keys, own).join(whole, own).select(*keys, "ids")
-        unseamed = far.join(whole.select(own), own, "left_anti")
+        pieces, broken = self._pieces(chunks)
+        broken = broadcast_if_small(written(broken, "bpe_broken"), 48)
+        whole = pieces.join(broken, "_key", "left_anti")
+        # One text's pieces; the set drops those of repeated rows. The ids are moved here, and once:
+        # the other columns come to them, and only texts without a seam are read again.
+        whole = self._map_text(whole, "text", ["_key", "chunk"]).groupBy("_key").agg(F.collect_set(F.struct("chunk", "ids")).alias("parts"))
+        whole = whole.select(F.col("_key").alias(own), F.flatten(F.sort_array("parts")["ids"]).alias("ids"))
+        stitched = whole.join(far.select(*keys, own), own).select(*keys, "ids")
+        unseamed = far.join(broken.withColumnRenamed("_key", own), own, "left_semi")
         stitched = self.decode(stitched) if back else stitched
         return short.unionByName(stitched).unionByName(self._map_text(unseamed, text, keys, back))
 
