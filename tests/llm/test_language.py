@@ -1,7 +1,9 @@
 import math
+import random
 import zlib
 from collections import Counter
 
+from lintmill.llm import language_id
 from lintmill.llm.language_id import ORDER, identify, train
 from lintmill.llm.queries import op6_language_id
 
@@ -27,18 +29,29 @@ def plain_bits(texts, text):
     return bits
 
 
+TEXTS = ["the chat", "zzz", "", "là que that", "é", "\0"]
+
+
 def test_code_lengths_are_exact(spark):
-    model = train(spark.createDataFrame([*ROWS, (None, "xx"), ("de", None)], "lang string, text string"))
-    assert model.langs == ["en", "fr"]
-    texts = ["the chat", "zzz", "", "là que that", "é", "\0"]
-    for text, bits in zip(texts, model.code_lengths([t.encode() for t in texts]), strict=True):
+    learned = train(spark.createDataFrame([*ROWS, (None, "xx"), ("de", None)], "lang string, text string"))
+    model = learned.model()
+    assert model.langs == learned.langs == ["en", "fr"]
+    for text, bits in zip(TEXTS, model.code_lengths([t.encode() for t in TEXTS]), strict=True):
         for lang, got in zip(model.langs, bits, strict=True):
             assert math.isclose(got, plain_bits([t for n, t in ROWS if n == lang], text), rel_tol=1e-5, abs_tol=1e-6)
 
 
-def test_bounded_model_keeps_every_language(spark):
-    model = train(spark.createDataFrame(ROWS, "lang string, text string"), nodes=10)
-    assert model.langs == ["en", "fr"] and len(model.known) <= 14
+def test_nothing_is_left_out_of_a_large_model(spark, docs, monkeypatch):
+    """A model that is not sent to the tasks gives every text the same language and score."""
+    rnd = random.Random(3)
+    rows = [(lang, " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(30))) for lang, letters in (("en", "abcde"), ("fr", "cdefgé"), ("zh", "中文字abc")) for _ in range(20)]
+    learned = train(spark.createDataFrame(rows, "lang string, text string"))
+    frame = docs([(i, t) for i, t in enumerate([*TEXTS, None, "42 !?", *(t for _, t in rows), "abc xyz ÿÿ 中", "dé " * 3000])])
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in identify(frame, learned).collect()}
+    for size in (1, 2000, 1 << 20):
+        monkeypatch.setattr(language_id, "CHUNK_BYTES", size)
+        parts = {r.doc_id: (r.lang_pred, r.score) for r in identify(frame, learned, pairs=0).collect()}
+        assert parts.keys() == whole.keys() and all(parts[i][0] == whole[i][0] and math.isclose(parts[i][1], whole[i][1], rel_tol=1e-6) for i in whole)
 
 
 def test_odd_rows(spark, docs):
