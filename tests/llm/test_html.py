@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from lintmill.llm.html_extract import extract, extract_text, learn, weights_of
 from lintmill.llm.queries import op9_html_extraction
@@ -63,3 +65,59 @@ def test_weights_of_more_than_20000_features(spark, monkeypatch):
     assert got[99] == "Plain page" and got[3] == " ".join(["text of page 3"] * 2000)
     monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     assert {r.page_id: r.text for r in extract_text(pages).collect()} == got
+
+
+WORDS = "alpha beta gamma delta été one two three four five".split()
+
+
+def made_page(rnd, labelled=True):
+    """A page with menus of plain links and an article of links, lists and nested inline elements; and the article's text."""
+
+    def inline(depth=0):
+        words = " ".join(rnd.choices(WORDS, k=rnd.randint(1, 6)))
+        if depth < 3 and rnd.random() < 0.5:
+            tag, attributes = rnd.choice([("a", ' href="/x?a=1&amp;b=2"'), ("a", " title='a > b'"), ("b", ""), ("span", ' class="w3"'), ("em", ""), ("a", ' href="/open')])
+            inner, text = inline(depth + 1)
+            return f"{words} <{tag}{attributes}>{inner}</{tag}> end", f"{words} {text} end"
+        return words, words
+
+    blocks, texts = [], []
+    for _ in range(rnd.randint(3, 8)):
+        body, text = inline()
+        kind = rnd.choice(["<p>%s</p>", "<p>%s", "<p><a>%s</a></p>", "<ul><li>%s</ul>", "<h2>%s</h2>", "<blockquote><p>%s</p></blockquote>", "<div><span>%s</span></div>"])
+        blocks.append(kind % body)
+        texts.append(text)
+    article = "article" if labelled else "section"
+    menus = ["<div><a href='/m'>Menu words here now</a> <a>and more of them</a></div>" for _ in range(rnd.randint(2, 5))]
+    page = f"<html><body>{''.join(menus)}<{article}>{''.join(blocks)}<div class='comments'><p>A reader says this</p></div></{article}>{menus[0]}</body></html>"
+    return page, "\n".join(texts)
+
+
+def test_articles_are_kept_whole(spark):
+    rnd = random.Random(7)
+    made = [made_page(rnd) for _ in range(120)]
+    made += made[:5]
+    pages = spark.createDataFrame([(i, page, "x") for i, (page, _) in enumerate(made)], "page_id long, html string, text string")
+    rows = extract_text(pages).collect()
+    assert len(rows) == len(made) and {r.page_id: r.text for r in rows} == {i: text for i, (_, text) in enumerate(made)}
+
+
+def test_links_count_for_the_region_only():
+    weights = {"": 1.0, "a": -4.0, "div": -0.5}
+    page = "<div><a>menu one</a> <a>menu two</a></div><section><p><a>first</a></p><p>%s <a>a link</a> here</p><p><a>last words</a></p></section>"
+    assert extract(page % ("plain words " * 9), weights) == "first\n" + "plain words " * 9 + "a link here\nlast words"
+
+
+def test_deep_pages_take_linear_time():
+    weights = weights_of({})
+    for tag in ("<b>", "<div>", "<i>w ", "<p><b>", "<li>", "</b>", '<a href="x'):
+        started = time.perf_counter()
+        text = extract("<article><p>one two</p>" + tag * 50_000 + "</u>" * 50_000 + "<hr>" * 50_000 + "<p>tail words</p>", weights)
+        assert time.perf_counter() - started < 20 and (tag[-1] == "x" or text.endswith("tail words"))
+    assert extract("<a 'b\"c " * 50_000, weights) == ""
+
+
+def test_open_quotes():
+    weights = weights_of({})
+    assert extract('<article><p>One <a href="x>two</a> and three</p><p title=\'>four</p></article>', weights) == "One two and three\nfour"
+    assert extract("<article><p>One <a title='a > \"b\"' href=\"/y\">two</a></p></article>", weights) == "One two"
