@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lintmill.llm.common import broadcast_if_small, fresh, key_of, slices, written
 from lintmill.llm.graph import components
-from lintmill.llm.ngram_join import _Hashes, _mix, links, signed
+from lintmill.llm.ngram_join import _Hashes, _mix, links
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,7 +43,8 @@ MIN_WORDS = 20
 ANCHOR, WINDOW = 20, 32
 
 _SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_WEIGHTS = _mix(np.arange(101, 101 + WINDOW, dtype=np.uint64)) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 
@@ -64,15 +65,27 @@ def _shingle_hashes(ids: np.ndarray, spans: list[tuple[int, int]]) -> list[np.nd
     return [np.unique(total[a : b - SHINGLE + 1]) if b - a >= SHINGLE else shingles(mixed[a:b], b - a) for a, b in spans]
 
 
-def _vertex(grams: np.ndarray) -> int:
-    """A signed hash of the set."""
-    return signed((int(_mix(grams).sum(dtype=np.uint64)) + len(grams) * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+def _vertices(sets: list[np.ndarray]) -> list[int]:
+    """A signed hash of each set."""
+    sizes = np.array([len(grams) for grams in sets], np.uint64)
+    sums = np.add.reduceat(_mix(np.concatenate(sets)), np.cumsum(sizes, dtype=np.int64) - sizes.astype(np.int64))
+    return (sums + sizes * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist()
 
 
-def _bands(grams: np.ndarray) -> np.ndarray:
-    """A hash of each band of the sketch."""
-    least = _mix(grams ^ _SEEDS[:, None]).min(1).reshape(BANDS, ROWS)
-    return _mix((least * (_SEEDS[:ROWS] | np.uint64(1))).sum(1, dtype=np.uint64) + _SEEDS[:BANDS])
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each band of each set's sketch; one seed after the other over all sets."""
+    sizes = np.array([len(grams) for grams in sets], np.int64)
+    grams, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    # Grams are mixed hashes already; an odd factor gives each seed an order of its own.
+    least = np.stack([np.minimum.reduceat(grams * seed, starts) for seed in _SEEDS | np.uint64(1)], 1).reshape(-1, BANDS, ROWS)
+    return _mix((least * (_SEEDS[:ROWS] | np.uint64(1))).sum(2, dtype=np.uint64) + _SEEDS[:BANDS])
+
+
+def _windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A signed hash of the WINDOW words from each place on, by differences of running sums."""
+    powers, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(ids) - 1, x, np.uint64)])) for x in (_BASE, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(ids) * powers, dtype=np.uint64)])
+    return _mix((sums[at + WINDOW] - sums[at]) * inverse[at]).view(np.int64)
 
 
 def paragraphs(text: str | None, hashes: _Hashes) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -120,31 +133,29 @@ def _units(docs: DataFrame) -> DataFrame:
         hashes, seen = _Hashes(), set()
         for batch in batches:
             for part in slices(batch, 2):
-                counts, lengths, unit_ends, band_ends, units, bands, fresh_sets = [], [], [0], [0], [], [], []
+                counts, lengths, unit_ends, band_ends, units, new, fresh_sets = [], [], [0], [0], [], [], []
                 for text in part.column(2).to_pylist():
                     ids, spans = paragraphs(text, hashes)
                     counts.append(len(spans))
                     lengths.append(len(ids))
-                    rows = []
-                    for (start, end), grams in zip(spans, _shingle_hashes(ids, spans), strict=True):
-                        v = _vertex(grams)
-                        rows.append((v, start, end, len(grams)))
-                        if v not in seen:
-                            seen.add(v)
-                            fresh_sets.append((v, len(grams)))
-                            bands.append(_bands(grams))
-                    if rows:
-                        units.append(np.array(rows, np.int64))
+                    if spans:
+                        sets = _shingle_hashes(ids, spans)
+                        found = _vertices(sets)
+                        units.append(np.array([(v, start, end, len(grams)) for v, (start, end), grams in zip(found, spans, sets, strict=True)], np.int64))
+                        for v, grams in zip(found, sets, strict=True):
+                            if v not in seen:
+                                seen.add(v)
+                                fresh_sets.append((v, len(grams)))
+                                new.append(grams)
                     at = anchors(ids)
                     if len(at):
-                        windows = _mix((_mix(ids)[at[:, None] + np.arange(WINDOW)] * _WEIGHTS).sum(1, dtype=np.uint64)).view(np.int64)
-                        units.append(np.stack([windows, at, at + WINDOW, np.zeros(len(at), np.int64)], 1))
+                        units.append(np.stack([_windows(ids, at), at, at + WINDOW, np.zeros(len(at), np.int64)], 1))
                     unit_ends.append(unit_ends[-1] + len(spans) + len(at))
-                    band_ends.append(BANDS * len(bands))
+                    band_ends.append(BANDS * len(new))
                 flat = np.concatenate([np.empty((0, 4), np.int64), *units])
                 u = pa.StructArray.from_arrays([pa.array(flat[:, i]).cast(_UNIT[i].type) for i in range(4)], fields=list(_UNIT))
                 sets = np.repeat(np.array(fresh_sets, np.int64).reshape(-1, 2), BANDS, axis=0)
-                regions = np.concatenate([np.empty(0, np.uint64), *bands]).view(np.int64)
+                regions = (_bands(new).ravel() if new else np.empty(0, np.uint64)).view(np.int64)
                 b = pa.StructArray.from_arrays([pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(regions)], ["v", "size", "region"])
                 lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), x) for e, x in ((unit_ends, u), (band_ends, b))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lengths, pa.int64()), pa.array(counts, pa.int64()), *lists], ["id", "key", "n_words", "n_paragraphs", "units", "bands"])
@@ -163,8 +174,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = {}
                 for text in part.column(0).to_pylist():
                     ids, spans = paragraphs(text, hashes)
-                    for grams in _shingle_hashes(ids, spans):
-                        v = _vertex(grams)
+                    sets = _shingle_hashes(ids, spans)
+                    for v, grams in zip(_vertices(sets) if sets else [], sets, strict=True):
                         if v not in seen:
                             seen.add(v)
                             found[v] = grams.tobytes()

@@ -82,3 +82,25 @@ def test_short_lines_and_short_texts(docs):
     assert got[1] == (3, 0) and got[2] == (3, 3) and got[3] == (0, 0)
     assert got[4] == (17, 0) and got[5] == (17, 17)
     assert got[6] == (48, 0) and got[7][1] >= 48 and got[8] == (24, 24)
+
+
+def test_recall_against_all_pairs(docs):
+    """Paragraphs at all similarities around 0.8, every pair compared by its exact Jaccard similarity."""
+    from lintmill.llm.substring_dedup import MIN_WORDS, PERCENT, SHINGLE
+
+    local = random.Random(9)
+    rows = []
+    for _ in range(200):
+        words = [local.choice(WORDS) for _ in range(local.randint(MIN_WORDS, 60))]
+        for _ in range(local.randint(2, 5)):
+            near = list(words)
+            for _ in range(local.randint(0, 3)):
+                near[local.randrange(len(near))] = local.choice(WORDS)
+            rows.append((len(rows), " ".join(near)))
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append(frozenset(tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)))
+    expected = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len(a & b) >= PERCENT * len(a | b)}
+    whole = {r.id for r in find_repeats(docs(rows)).collect() if [(0, r.n_words)] == [tuple(s) for s in r.repeated]}
+    assert len(expected) > 60 and len(expected & whole) >= 0.95 * len(expected) and whole <= expected
