@@ -10,8 +10,9 @@ from conformance.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
 
-SAMPLE = ["scan_order", "patch_settings", "rules_cpp", "long_functions_js", "py_all_rules", "dup_blocks", "review_summary",
-          "search_text", "search_page", "ai_snippets", "ai_review_summary", "report_bundle", "cascade_delete", "resolve_accounts", "merge_accounts", "report_json"]
+SAMPLE = ["scan_order", "corpus_scan", "patch_settings", "rules_cpp", "long_functions_js", "py_all_rules", "dup_blocks", "review_summary",
+          "static_review_issues", "static_review_summary", "search_text", "search_wildcard_index", "search_sort_issues_up", "list_reviews",
+          "register_repositories", "ai_prepared_files", "audit_child_ids", "search_page", "ai_snippets", "ai_review_summary", "report_bundle", "cascade_delete", "resolve_accounts", "merge_accounts", "report_json"]
 
 
 @pytest.fixture(scope="module")
