@@ -130,7 +130,7 @@ def read_corpus(
     if two_phase:
         endings = [e.lower() for e in LANGUAGE_BY_EXTENSION]
         folders = common_folders(settings if owners is not None else None)
-        listed = list_files(spark, root, repository_depth, folders, endings).where(F.col("size_bytes") <= MAX_FILE_SIZE_SETTING)
+        listed = list_files(spark, root, repository_depth, folders, endings, MAX_FILE_SIZE_SETTING)
     else:
         listed = list_corpus(spark, root, repository_depth, source_glob())
     if owners is not None:

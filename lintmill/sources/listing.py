@@ -55,7 +55,7 @@ class ListingReader(DataSourceReader):
         self.depth = int(options.get("repository_depth", "0"))
         self.ignored = set(json.loads(options.get("ignored_folders", "[]")))
         self.endings = tuple(json.loads(options.get("endings", '[""]')))
-        self.most = None
+        self.most = int(options["most"]) if "most" in options else None
         self.repositories: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
@@ -139,6 +139,12 @@ class ListingReader(DataSourceReader):
         )
 
 
+class UnfilteredReader(ListingReader):
+    """For sessions that push no filters into Python sources: they refuse a reader that takes some."""
+
+    pushFilters = DataSourceReader.pushFilters  # noqa: N815 - Spark's name
+
+
 class CorpusListing(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -148,17 +154,24 @@ class CorpusListing(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        return ListingReader(dict(self.options))
+        options = dict(self.options)
+        return (ListingReader if options.get("pushed") == "true" else UnfilteredReader)(options)
 
 
-def list_files(spark: SparkSession, root: str, repository_depth: int = 0, ignored: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
+def list_files(
+    spark: SparkSession, root: str, repository_depth: int = 0, ignored: list[str] | None = None, endings: list[str] | None = None, most: int | None = None
+) -> DataFrame:
     """repository_path, file_path, size_bytes and uri of the files below ``root``; none is opened.
 
     Folders named in ``ignored``, below the repository, are not entered. ``endings`` are
-    those of lower-cased names.
+    those of lower-cased names. Files of more than ``most`` bytes are left out. Filters reach the
+    listing where the session pushes them (``spark.sql.python.filterPushdown.enabled``);
+    elsewhere Spark applies them, with the same result.
     """
     spark.dataSource.register(CorpusListing)
-    reader = spark.read.format("corpus_listing").option("repository_depth", repository_depth)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    reader = spark.read.format("corpus_listing").option("repository_depth", repository_depth).option("pushed", pushed)
+    reader = reader if most is None else reader.option("most", most)
     return reader.option("ignored_folders", json.dumps(ignored or [])).option("endings", json.dumps(endings or [""])).load(root)
 
 

@@ -99,3 +99,15 @@ def test_owners_limits_after_the_listing(spark, tmp_path):
 @pytest.mark.parametrize(("uri", "listable"), [("/tmp", True), ("file:///tmp", True), ("file:/tmp", True), ("viewfs://store/in", False)])
 def test_stores(uri, listable):
     assert can_list(uri) == listable
+
+
+def test_a_session_that_pushes_no_filters(spark, tmp_path):
+    from lintmill.session import setting
+
+    for name, size in (("a", 3), ("b", 30), ("c", 300)):
+        write(tmp_path, f"r/{name}.py", b"x" * size)
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "false"):
+        rows = list_files(spark, str(tmp_path), 1, most=100).where("size_bytes <= 10 and repository_path = 'r'").collect()
+        assert [(r.file_path, r.size_bytes) for r in rows] == [("a.py", 3)]
+        assert sorted(r.file_path for r in list_files(spark, str(tmp_path), 1, most=100).collect()) == ["a.py", "b.py"]
+        assert corpus.read_corpus(spark, str(tmp_path), repository_depth=1).count() == 3
