@@ -20,13 +20,18 @@ def identified(rows: DataFrame, name: str) -> DataFrame:
     """The rows of a table with an ``id``: those that have none get one from what tells them apart.
 
     A repeated task, and a repeated job, makes the same ids. Rows that nothing tells apart are
-    numbered, so no two rows of a run have one id.
+    numbered, so no two rows of a run have one id. The rows are moved as they are; the texts that
+    tell them apart, longer than the rows, are made where they are numbered.
     """
     old = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
     others = [c for c in rows.columns if c != "id"]
     every = {"ignoreNullFields": "false"}
-    marked = rows.withColumn("_key", F.sha2(F.to_json(F.struct(*[c for c in IDENTITY[name] if c in others]), every), 256))
-    numbers = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*others), every))
+    keys = [c for c in IDENTITY[name] if c in others]
+    # Spark compares fractions in another form than it deals them by; the others are enough to deal by.
+    dealt = [c for c in keys if dict(rows.dtypes)[c] not in ("float", "double")]
+    marked = rows.repartition(*dealt).withColumn("_key", F.sha2(F.to_json(F.struct(*keys), every), 256))
+    # The key alone tells the rows apart; the columns before it say that they lie together already.
+    numbers = Window.partitionBy(*dealt, "_key").orderBy(F.to_json(F.struct(*others), every))
     number = F.row_number().over(numbers).cast("string")
     return marked.withColumn("id", F.coalesce(old, stable_id(F.lit(name), F.col("_key"), number))).drop("_key")
 

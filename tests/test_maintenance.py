@@ -198,3 +198,16 @@ def test_a_taken_address_is_a_conflict(spark):
     # u1 may not have u2's address, which u2 itself gives up only in this batch; u3 asks last for the new one.
     assert found[1] == ("conflict", None) and found[2] == ("conflict", None) and found[3] == ("update", "u3")
     assert found[9] == ("conflict", None) and found[8] == ("link", "u1")
+
+
+def test_ids_are_numbered_where_the_rows_are_dealt(spark):
+    """One shuffle, of the rows themselves; fractions of either zero stay apart, as their texts are."""
+    row = ("r", "a.py", 1, None, "bug", "low", 0.5, "x", "t", "e", "s")
+    rows = [row, row, row[:6] + (0.0,) + row[7:], row[:6] + (-0.0,) + row[7:], (None,) + row[1:]]
+    columns = """review_id string, file_path string, line_start int, line_end int, category string, severity string,
+        confidence double, rule_id string, title string, explanation string, suggestion string"""
+    made = M.identified(spark.createDataFrame(rows, columns), "review_issues")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "to_json" not in plan[plan.index("Exchange") :].lower() and "sha2" not in plan[plan.index("Exchange") :]
+    ids = [r.id for r in made.collect()]
+    assert len(set(ids)) == 5 and all(len(i) == 64 for i in ids)
