@@ -85,3 +85,15 @@ def test_parser_failure_is_a_fact(files):
     assert kinds <= {"syntax_error", "parser_failure"} and kinds
     facts = python_facts(files(("a.py", deep), ("b.py", "x = 1\n")))
     assert parser_failures(facts).count() in (0, 1)
+
+
+def test_facts_are_made_in_arrow_and_all_names_count(spark):
+    """No frame of objects in between; names stand in aliases, patterns, decorators and format parts as well."""
+    from lintmill.operators.python_facts import python_facts
+
+    text = "import a, b, c, d, e, X, z\ntype X = a\nmatch b:\n    case c(): pass\n@d\ndef f(): return f'{e!r}'\n"
+    files = spark.createDataFrame([("r", "a.py", "python", text)], "review_id string, file_path string, language string, content string")
+    facts = python_facts(files)
+    assert "MapInArrow" in facts._jdf.queryExecution().executedPlan().toString()
+    [module] = facts.where("kind = 'module'").collect()
+    assert module.imported == ["X", "a", "b", "c", "d", "e", "z"] and module.used == ["X", "a", "b", "c", "d", "e"]
