@@ -378,7 +378,7 @@ def corpus_on_disk(spark: SparkSession, sf_dir: str) -> str:
                     os.truncate(target, len(data) * times)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    texts = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "case when doc_id % 16 = 5 then int(1100000 / length(text)) + 1 else 1 end as times")
+    texts = table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", "text", "case when doc_id % 16 = 5 then int(1100000 / length(text)) + 1 else 1 end as times")
     # Several files of a source are called ``.py``: each gets a folder of its own.
     paths = paths_v(spark, sf_dir).selectExpr("doc_id", "review_id || '/d' || cast(doc_id as string) || '/' || file_path as path")
     paths.join(texts, "doc_id").select("path", "text", "times").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
