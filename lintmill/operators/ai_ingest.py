@@ -50,25 +50,24 @@ def _type(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _scalar(v: Column, name: str) -> Column:
+def _scalar(fields: Column, name: str) -> Column:
     """Type, text and number of a field, for the checks below to choose from."""
-    field = _field(v, name)
+    field = fields[name]
     return F.struct(
         _type(field).alias("type"),
-        F.try_variant_get(v, f"$.{name}", "string").alias("text"),
-        F.try_variant_get(v, f"$.{name}", "double").alias("number"),
+        F.try_variant_get(field, "$", "string").alias("text"),
+        F.try_variant_get(field, "$", "double").alias("number"),
     ).alias(name)
 
 
-def _read_issue(v: Column) -> Column:
-    """The fields of one list entry as they come."""
+def _read_issue(fields: Column) -> Column:
+    """The fields of one list entry as they come.
+
+    They come as a map: a look-up in a VARIANT spells out the names it passes, each time.
+    """
     return F.struct(
-        _type(v).alias("type"),
-        *[_scalar(v, f) for f in _NUMBER_FIELDS],
-        *[
-            F.when(_type(_field(v, f)) == "STRING", F.try_variant_get(v, f"$.{f}", "string")).alias(f)
-            for f in _TEXT_FIELDS
-        ],
+        *[_scalar(fields, f) for f in _NUMBER_FIELDS],
+        *[F.when(_type(fields[f]) == "STRING", F.try_variant_get(fields[f], "$", "string")).alias(f) for f in _TEXT_FIELDS],
     )
 
 
@@ -94,7 +93,6 @@ def _whole(s: Column) -> Column:
 
 def _numbers(r: Column) -> Column:
     return F.struct(
-        r["type"].alias("type"),
         _whole(r["line_start"]).alias("line_start"),
         _whole(r["line_end"]).alias("line_end"),
         F.coalesce(r["line_end"]["type"] == "VOID", F.lit(True)).alias("no_end"),
@@ -104,7 +102,7 @@ def _numbers(r: Column) -> Column:
 
 
 def _checked(n: Column) -> Column:
-    checks = [n["type"].startswith("OBJECT"), n["line_start"] >= 1, n["confidence"].between(0.0, 1.0)]
+    checks = [n["line_start"] >= 1, n["confidence"].between(0.0, 1.0)]
     checks += [n[f].isNotNull() for f in _TEXT_FIELDS]
     checks.append(n["no_end"] | n["line_end"].isNotNull())
     valid = F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
@@ -121,24 +119,18 @@ def parse_answers(answers: DataFrame) -> DataFrame:
     parsed = answers.select("review_id", parse_json(F.col("raw")).alias("_v"))
     read = parsed.select(
         "review_id",
-        _type(F.col("_v")).alias("_type"),
+        # Only an object has fields; a list of anything but objects and nulls is none.
         _type(_field(F.col("_v"), "summary")).alias("_summary_type"),
         F.try_variant_get(F.col("_v"), "$.summary", "string").alias("summary"),
-        _type(_field(F.col("_v"), "issues")).alias("_issues_type"),
-        F.transform(
-            F.coalesce(
-                F.try_variant_get(F.col("_v"), "$.issues", "array<variant>"),
-                F.array().cast("array<variant>"),
-            ),
-            _read_issue,
-        ).alias("_read"),
+        _field(F.col("_v"), "issues").isNull().alias("_no_issues"),
+        F.try_variant_get(F.col("_v"), "$.issues", "array<map<string, variant>>").alias("_listed"),
     )
-    checked = read.withColumn("_issues", F.transform(F.transform("_read", _numbers), _checked))
+    listed = F.coalesce("_listed", F.array().cast("array<map<string, variant>>"))
+    checked = read.withColumn("_read", F.transform(listed, _read_issue)).withColumn("_issues", F.transform(F.transform("_read", _numbers), _checked))
     # A missing list is an empty one; null or anything else is an error.
     valid = (
-        F.coalesce(F.startswith("_type", F.lit("OBJECT")), F.lit(False))
-        & F.coalesce(F.col("_summary_type") == "STRING", F.lit(False))
-        & F.startswith(F.coalesce("_issues_type", F.lit("ARRAY")), F.lit("ARRAY"))
+        F.coalesce(F.col("_summary_type") == "STRING", F.lit(False))
+        & (F.col("_no_issues") | F.col("_listed").isNotNull())
         & F.forall("_issues", lambda i: i["valid"])
     )
     return checked.withColumn("_valid", valid).select(
