@@ -115,7 +115,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(ids, texts)]
         while parts:
             ids, texts = parts.pop()
-            if len(ids) > SEGMENT_REVIEWS and len(ids.unique()) > SEGMENT_REVIEWS:
+            # A batch of long texts is more than one segment.
+            too_long = len(ids) > 1 and texts.nbytes > 2 * SEGMENT_BYTES
+            if too_long or len(ids) > SEGMENT_REVIEWS and len(ids.unique()) > SEGMENT_REVIEWS:
                 half = len(ids) // 2
                 parts += [(ids[:half], texts[:half]), (ids[half:], texts[half:])]
                 continue

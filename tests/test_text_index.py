@@ -107,3 +107,23 @@ def test_postings_from_before_there_were_segments(spark, tmp_path):
     grams = grams.select("*", _gram_bucket(F.col("gram")).alias("gram_bucket"), F.lit(run).alias("run"))
     grams.write.mode("append").partitionBy("gram_bucket", "run").parquet(f"{tmp_path}/postings")
     assert sorted(r.review_id for r in index.matching("%needle%").collect()) == ["old", "r1", "r2"]
+
+
+def test_batches_of_long_texts_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    from lintmill.operators import text_index as t
+
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(t, "TaskContext", Task)
+    monkeypatch.setattr(t, "SEGMENT_BYTES", 500)
+    monkeypatch.setattr(t, "SEGMENT_REVIEWS", 7)
+    ids, texts = [f"r{i}" for i in range(60)], [chr(97 + i % 26) * (i + 3) for i in range(60)]
+    found = [r for b in t._segments(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["review_id", "text"])])) for r in b.to_pylist()]
+    names = {r["segment"]: r["reviews"] for r in found if r["gram"] is None}
+    assert len(names) > 5 and max(map(len, names.values())) <= 7 and min(names) == 3 << 32
+    filed = sorted((r["gram"], names[r["segment"]][k]) for r in found if r["gram"] is not None for k in r["numbers"])
+    assert filed == sorted((x[:3], r) for r, x in zip(ids, texts, strict=True))
