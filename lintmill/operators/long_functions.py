@@ -19,6 +19,8 @@ from lintmill.operators.rule_catalog import FUNCTION_START, MAX_FUNCTION_LINES
 from lintmill.schemas import ISSUE_COLUMNS
 
 BRACE_FUNCTION_LANGUAGES = ["javascript", "typescript"]
+# A line without any of these has no brace and starts no function.
+BRACE_NEEDLES = ("{", "}", "function", "=>")
 
 
 def brace_columns(line: Column) -> list[Column]:

@@ -1,47 +1,122 @@
 """Everything the static rules ask of a text, in one pass over it.
 
-A text is split once, inside its own row, and every line becomes one narrow row
-that carries what any rule may want: the rules it breaks as bits, its braces, the
-fingerprint of the block it opens. The texts end here. What follows reads the
+A text is cut up once, where it is read, and a line becomes a narrow row that carries
+what any rule may want: the rules it breaks as bits, its braces, the fingerprint of the
+block it opens. Lines that hold none of what some rule looks for go without their text,
+and the rules are asked of the others only. The texts end here. What follows reads the
 columns it needs of the written rows, and Parquet skips the others.
 """
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintmill.functions.text import with_lines
-from lintmill.operators.duplicates import block_columns, neighbours
 from lintmill.operators.line_rules import overlong_files, rule_bits
-from lintmill.operators.long_functions import BRACE_FUNCTION_LANGUAGES, brace_columns
-from lintmill.operators.rule_catalog import BLOCK_LINES, LANGUAGE_RULES, MAX_FUNCTION_LINES
-
-
-def scan_texts(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+from lintmill.operators.long_functions import BRACE_FUNCTION_LANGUAGES, BRACE_NEEDLES, brace_columns
+from lintmill.operators.rule_catalog import BLOCK_LINES, COMMON_RULES, LANGUAGE_RULES, MAX_FUNCTION_LINES, MAX_LINE_LENGTH
+
+BATCH_ROWS = 20_000
+_COMMENTS = ("//", "#")
+# What a line must hold to break a rule of the language, besides being long.
+_NEEDLES = {name: tuple(dict.fromkeys(n for r in [*COMMON_RULES, *rules] for n in r.needles)) for name, rules in LANGUAGE_RULES.items()}
+
+_CUT = pa.schema(
+    [(c, pa.string()) for c in ("review_id", "file_path", "language")]
+    + [("n_lines", pa.int32()), ("line_no", pa.int32()), ("line", pa.string()), ("fingerprint", pa.binary())]
+)
+CUT_SCHEMA = "review_id string, file_path string, language string, n_lines int, line_no int, line string, fingerprint binary"
+
+
+def _fingerprint(block: tuple[str, ...]) -> bytes | None:
+    """As ``duplicates.block_columns`` has it; null for a block of comments."""
+    if all(not line or line.startswith(_COMMENTS) for line in block):
+        return None
+    return hashlib.sha256("\n".join(block).encode()).digest()
+
+
+def _blocks_of(lines: list[str], size: int, places: int) -> dict[int, bytes]:
+    """Fingerprints by the position of their first line; of equal blocks the first ``places``."""
+    bare = list(map(str.strip, lines))
+    times: dict[tuple[str, ...], int] = {}
+    marked: list[tuple[int, tuple[str, ...]]] = []
+    for at, block in enumerate(zip(*[bare[k:] for k in range(size)], strict=False)):
+        n = times.get(block, 0)
+        if n < places:
+            times[block] = n + 1
+            marked.append((at, block))
+    prints = {block: _fingerprint(block) for block in times}
+    return {at: found for at, block in marked if (found := prints[block])}
+
+
+def _suspects(text: str, lines: list[str], language: str | None) -> set[int]:
+    """Positions of the lines that may break a rule, or in a long file open or close a function."""
+    if language not in _NEEDLES:
+        return set()
+    braced = language in BRACE_FUNCTION_LANGUAGES and len(lines) > MAX_FUNCTION_LINES
+    found: set[int] = set()
+    if max(map(len, lines), default=0) > MAX_LINE_LENGTH:
+        found.update([at for at, line in enumerate(lines) if len(line) > MAX_LINE_LENGTH])
+    for needle in _NEEDLES[language] + (BRACE_NEEDLES if braced else ()):
+        if needle in text:
+            found.update([at for at, line in enumerate(lines) if needle in line])
+    return found
+
+
+def scan_texts(files: DataFrame, size: int = BLOCK_LINES, places: int | None = None) -> DataFrame:
     """One row for each line of each file, and one without a line number for an empty file.
 
-    Columns: review_id, file_path, language, n_lines, line_no, n_chars, bits, opened,
-    closed, name, fingerprint. Braces are counted only in files that can hold an overlong
-    function. Nothing is shuffled or filtered here: a filter on what is computed for a line
-    would be pushed below it and compute it twice.
+    Columns: review_id, file_path, language, n_lines, line_no, n_chars (of lines that may break
+    a rule), bits, opened, closed, name, fingerprint. Braces are counted only in files that can
+    hold an overlong function. With ``places``, blocks that are equal within a file are marked at
+    the first so many places, and lines that carry nothing are left out but for the first.
+    Nothing is shuffled here.
     """
-    split = with_lines(files.select("review_id", "file_path", "language", "content"))
-    around = F.posexplode_outer(neighbours(F.col("lines"), size)).alias("_pos", "_block")
-    rows = split.select("review_id", "file_path", "language", F.size("lines").alias("n_lines"), around)
-    line = F.col("_block.l0")
+    most = sys.maxsize if places is None else places
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines in batches of about BATCH_ROWS rows; a text is at most one file."""
+        columns: list[list] = [[] for _ in _CUT]
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT, strict=True)], schema=_CUT)
+
+        for taken in batches:
+            for review_id, path, language, text in zip(*[c.to_pylist() for c in taken.columns], strict=True):
+                lines = [] if text is None else text.splitlines()
+                n_lines = None if text is None else len(lines)
+                if lines:
+                    blocks, suspects = _blocks_of(lines, size, most), _suspects(text, lines, language)
+                    kept = range(len(lines)) if places is None else sorted({0, *blocks, *suspects})
+                    own = [at + 1 for at in kept], [lines[at] if at in suspects else None for at in kept], [*map(blocks.get, kept)]
+                else:
+                    own = [None], [None], [None]
+                n = len(own[0])
+                for column, values in zip(columns, ([review_id] * n, [path] * n, [language] * n, [n_lines] * n, *own), strict=True):
+                    column += values
+                if len(columns[0]) >= BATCH_ROWS:
+                    yield batch()
+                    columns = [[] for _ in _CUT]
+        yield batch()
+
+    texts = files.select("review_id", "file_path", "language", F.make_valid_utf8("content").alias("content"))
+    line = F.col("line")
     braced = F.col("language").isin(BRACE_FUNCTION_LANGUAGES) & (F.col("n_lines") > MAX_FUNCTION_LINES)
-    has_code, fingerprint = block_columns([F.col(f"_block.l{k}") for k in range(size)])
-    return rows.select(
+    return texts.mapInArrow(cut, CUT_SCHEMA).select(
         "review_id",
         "file_path",
         "language",
         "n_lines",
-        (F.col("_pos") + 1).alias("line_no"),
+        "line_no",
         F.length(line).alias("n_chars"),
         F.coalesce(rule_bits(F.coalesce("language", F.lit("")), line), F.lit(0).cast("long")).alias("bits"),
         *brace_columns(F.when(braced, line)),
-        F.when(has_code, fingerprint).alias("fingerprint"),
+        "fingerprint",
     )
 
 
@@ -56,6 +131,7 @@ def braces(texts: DataFrame) -> DataFrame:
 
 
 def blocks(texts: DataFrame) -> DataFrame:
+    """The blocks as ``duplicates.shingles`` has them, at those places that the scan has marked."""
     found = texts.where(F.col("fingerprint").isNotNull())
     return found.select("review_id", "file_path", F.col("line_no").alias("line_start"), "fingerprint")
 

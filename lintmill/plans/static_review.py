@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 from functools import cached_property, reduce
 from typing import NamedTuple
 
@@ -19,6 +20,12 @@ from lintmill.operators.text_scan import blocks, braces, counted_lines, large_fi
 from lintmill.session import setting, written
 
 
+def _small_methods(df: DataFrame) -> AbstractContextManager[None]:
+    """All rules in one generated method are more than the JVM compiles; beyond this many
+    bytes Spark generates small ones instead, four times as fast here."""
+    return setting(df.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 class StaticReview(NamedTuple):
     issues: DataFrame
     file_results: DataFrame
@@ -29,7 +36,8 @@ class Scanned:
     """A corpus as detectors see it: its files, and what one pass over the texts says of them.
 
     Texts are split once and Python is parsed once, when a detector first asks, and written;
-    everything after works on these tables.
+    everything after works on these tables. Of a block within a file two places are enough: an
+    issue names the first two of the review.
     """
 
     def __init__(self, files: DataFrame):
@@ -37,11 +45,9 @@ class Scanned:
 
     @cached_property
     def texts(self) -> DataFrame:
-        """One row for each line; see ``text_scan``."""
-        # All rules in one generated method are more than the JVM compiles; beyond this many
-        # bytes Spark generates small ones instead, four times as fast here.
-        with setting(self.files.sparkSession, "spark.sql.codegen.hugeMethodLimit", "8000"):
-            return written(scan_texts(self.files), "texts")
+        """One row for each line that carries something; see ``text_scan``."""
+        with _small_methods(self.files):
+            return written(scan_texts(self.files, places=2), "texts")
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -78,7 +84,8 @@ def run_static_review(
     """Issues, file results and finished review rows for ``files``."""
     scanned = Scanned(files)
     facts = scanned.facts
-    issues = written(all_issues(scanned, detectors), "issues")
+    with _small_methods(files):
+        issues = written(all_issues(scanned, detectors), "issues")
     failures = parser_failures(facts)
     results = scored_files(scanned, issues)
     done = review_summaries(results, issues, reviews, repositories)
