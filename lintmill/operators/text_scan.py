@@ -35,9 +35,10 @@ CUT_SCHEMA = "review_id string, file_path string, language string, n_lines int,
 
 def _fingerprint(block: tuple[str, ...]) -> bytes | None:
     """As ``duplicates.block_columns`` has it; null for a block of comments."""
-    if all(not line or line.startswith(_COMMENTS) for line in block):
-        return None
-    return hashlib.sha256("\n".join(block).encode()).digest()
+    for line in block:
+        if line and not line.startswith(_COMMENTS):
+            return hashlib.sha256("\n".join(block).encode()).digest()
+    return None
 
 
 def _blocks_of(lines: list[str], size: int, places: int) -> dict[int, bytes]:
