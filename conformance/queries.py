@@ -249,7 +249,7 @@ def long_functions_js(spark, sf):
 
 def _python_rule(key: str, rule_id: str) -> None:
     def run(spark, sf):
-        facts = python_facts.python_facts(V.python_files(spark, sf))
+        facts = python_facts.python_facts(V.python_files(spark, sf), {rule_id})
         return _places(python_rules.python_issues(facts).where(F.col("rule_id") == rule_id))
 
     QUERIES[key] = run
@@ -270,7 +270,7 @@ for _key, _rule in [
 
 @query
 def py_unused_import(spark, sf):
-    facts = python_facts.python_facts(V.python_files(spark, sf))
+    facts = python_facts.python_facts(V.python_files(spark, sf), {"unused-import"})
     issues = python_rules.python_issues(facts).where(F.col("rule_id") == "unused-import")
     name = F.regexp_extract("title", "'(.*)'", 1)
     return issues.select("review_id", "file_path", "line_start", name.alias("name"))
@@ -278,7 +278,7 @@ def py_unused_import(spark, sf):
 
 @query
 def py_syntax_error(spark, sf):
-    facts = python_facts.python_facts(V.python_files(spark, sf, broken=True))
+    facts = python_facts.python_facts(V.python_files(spark, sf, broken=True), {"python-syntax-error"})
     return _places(python_rules.python_issues(facts).where(F.col("rule_id") == "python-syntax-error"))
 
 

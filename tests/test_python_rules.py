@@ -97,3 +97,63 @@ def test_facts_are_made_in_arrow_and_all_names_count(spark):
     assert "MapInArrow" in facts._jdf.queryExecution().executedPlan().toString()
     [module] = facts.where("kind = 'module'").collect()
     assert module.imported == ["X", "a", "b", "c", "d", "e", "z"] and module.used == ["X", "a", "b", "c", "d", "e"]
+
+
+ODD_MODULES = [
+    "",
+    "x = 1\n",
+    "# text\n'''Doc.'''\n",
+    '"""Doc."""',
+    '"""Doc.""" ; x = 1\n',
+    '"""Doc.""".strip()\n',
+    '"""Doc."""\\\n"more"\n',
+    '"""Doc."""\ndef f(:\n',
+    '"Doc."\r\ndef \\\r\nab(): pass\r\n',
+    '"""  """\nclass \\\n  C: pass\n',
+    "def\tz(): pass\ndef\\\n\\\nyy(a): pass\ndef abc(): 'd'\ndef _x(): pass\ndef __y(): pass\n",
+    "ｅval('1')\nimport subprocess as ｓ\nｓubprocess.ｒun('x', ｓhell=True)\ndef ａb(): pass\n",
+    "f = f'{eval(1)}'\nsubprocess \\\n . call('x', shell=(True))\nsubprocess.run('x', shell = 1)\n",
+    "a.subprocess.run('x', shell=True)\nexec('eval')\n",
+    "def far(a):\r  'd'\r" + "  a += 1\r" * 49,
+    "def near(a):\n  'd'\n" + "  a += 1\n" * 48,
+    "async \\\ndef far(a):\n" + "  a += 1\n" * 49,
+    "def words(a):\n  return " + "1or " * 10 + "a\n",
+    "def words(a):\n  return " + "1or " * 9 + "a\n",
+    "if a:\n  pass\nelse:\n  try: pass\n  except E:\n    class K:\n      def ab(self): pass\n",
+    "match a:\n  case 1:\n    with b:\n      def cd(): return lambda: eval('1')\n",
+    "from __future__ import a\nimport b.c, d as e\nprint(e)\n",
+]
+
+
+def test_facts_for_one_rule_give_its_issues(files):
+    from lintmill.operators.python_facts import _NEEDS
+
+    df = files(*[(f"{i}.py", text) for i, text in enumerate(ODD_MODULES)])
+
+    def issues(rules, asked=None):
+        rows = [r.asDict() for r in python_issues(python_facts(df, asked)).collect()]
+        return sorted(tuple(r.values()) for r in rows if r["rule_id"] in rules)
+
+    every = issues(set(_NEEDS))
+    place = python_issues(python_facts(df)).columns.index("rule_id")
+    whole = {rule: [r for r in every if r[place] == rule] for rule in _NEEDS}
+    assert all(whole.values())
+    for rule, rows in whole.items():
+        assert issues({rule}, {rule}) == rows, rule
+    two = {"missing-class-docstring", "high-cyclomatic-complexity"}
+    assert issues(two, two) == [r for r in every if r[place] in two]
+
+
+def test_texts_that_cannot_break_a_rule_are_not_parsed(monkeypatch):
+    import ast
+
+    parsed = []
+    parse = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text: parsed.append(text) or parse(text))
+    plain = '"""Doc."""\ndef work(a):\n  "d"\n  subprocess.run("x", shell=False)\n'
+    rules = ["missing-module-docstring", "short-function-name", "long-function", "high-cyclomatic-complexity",
+             "missing-class-docstring", "python-eval-exec", "subprocess-shell-true", "unused-import"]
+    assert facts_of(plain, rules) == [] and parsed == []
+    assert [f["kind"] for f in facts_of(plain, ["missing-function-docstring"])] == ["function"]
+    assert facts_of(plain, ["python-syntax-error"]) == [] and len(parsed) == 2
+    assert {f["kind"] for f in facts_of(plain)} == {"function", "call", "module"}
